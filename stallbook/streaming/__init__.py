@@ -1,0 +1 @@
+"""Every input of this library is a finished export, so no streaming job is defined."""
