@@ -166,42 +166,48 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _span_range(k: Column) -> tuple[Column, Column]:
+    start = k * SPAN_STEP + k % 3
+    return start.cast("int"), (start + 5 + k % 7).cast("int")
+
+
+def _last_span(length: Column) -> Column:
+    return F.floor((length - 21) / SPAN_STEP).cast("int")
+
+
 def _spans(length: Column) -> Column:
     """A span every SPAN_STEP characters, cut without regard to words."""
-    starts = F.when(length > 20, F.sequence(F.lit(0), (length - 21).cast("int"), F.lit(SPAN_STEP))).otherwise(
-        F.array().cast("array<int>")
-    )
     labels = F.array(*[F.lit(x) for x in SPAN_LABELS])
 
-    def span(p: Column, k: Column) -> Column:
-        start = p + k % 3
-        return F.struct(
-            start.cast("int").alias("start"), (start + 5 + k % 7).cast("int").alias("end"), F.get(labels, k % 6).alias("label")
-        )
+    def span(k: Column) -> Column:
+        start, end = _span_range(k)
+        return F.struct(start.alias("start"), end.alias("end"), F.get(labels, k % 6).alias("label"))
 
-    return F.transform(starts, span)
+    spans = F.transform(F.sequence(F.lit(0), _last_span(length)), span)
+    return F.when(length > 20, spans).otherwise(F.array().cast("array<struct<start: int, end: int, label: string>>"))
 
 
-def _relations(spans: Column) -> Column:
+def _relations(length: Column) -> Column:
     """Neighbouring product and price, price and length."""
 
     def relation(k: Column) -> Column:
-        one, two = F.get(spans, k), F.get(spans, k + 1)
+        (start1, end1), (start2, end2) = _span_range(k), _span_range(k + 1)
         return F.struct(
-            one["start"].alias("start1"),
-            one["end"].alias("end1"),
-            two["start"].alias("start2"),
-            two["end"].alias("end2"),
-            F.when(one["label"] == "PROD", PROD_PRICE).otherwise(PRICE_CRIT).alias("label"),
+            start1.alias("start1"),
+            end1.alias("end1"),
+            start2.alias("start2"),
+            end2.alias("end2"),
+            F.when(k % 6 == 0, PROD_PRICE).otherwise(PRICE_CRIT).alias("label"),
         )
 
-    places = F.when(F.size(spans) > 1, F.sequence(F.lit(0), F.size(spans) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(places, lambda k: F.get(spans, k)["label"].isin("PROD", "MONEY")), relation)
+    heads = F.filter(F.sequence(F.lit(0), _last_span(length) - 1), lambda k: k % 6 < 2)
+    nothing = F.array().cast("array<struct<start1: int, end1: int, start2: int, end2: int, label: string>>")
+    return F.when(length > 20 + SPAN_STEP, F.transform(heads, relation)).otherwise(nothing)
 
 
 def annotated(df: DataFrame) -> DataFrame:
-    with_spans = df.withColumn("spans", _spans(F.length("text")))
-    return with_spans.withColumn("relations", _relations(F.col("spans")))
+    length = F.length("text")
+    return df.withColumns({"spans": _spans(length), "relations": _relations(length)})
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:

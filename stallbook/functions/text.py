@@ -130,6 +130,16 @@ def is_number_like(token: Column) -> Column:
     return token.rlike(rf"^[+\-±~]?{digits}(/{digits})?$") | F.lower(token).isin(list(NUMBER_WORDS))
 
 
+def spread(docs: DataFrame, key: list[str]) -> DataFrame:
+    """Whole texts over all shuffle partitions before each becomes many rows.
+
+    The number is explicit because texts are small next to what is cut from them, and adaptive coalescing would
+    put them back together.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(partitions, *key)
+
+
 def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """One row per token: key, idx (from 0), token, start, end (exclusive).
 
@@ -137,7 +147,7 @@ def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     lengths is the token end. The shuffle moves whole texts; tokens are only sorted where they arise.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(TOKEN_WITH_GAP_PATTERN), F.lit(0))
-    exploded = docs.select(*key, text).repartition(*key).select(*key, F.posexplode(pieces).alias("idx", "piece"))
+    exploded = spread(docs.select(*key, text), key).select(*key, F.posexplode(pieces).alias("idx", "piece"))
     upto = Window.partitionBy(*key).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     token = F.regexp_replace("piece", f"^{_SPACE}+", "")
     end = F.sum(F.length("piece")).over(upto).cast("int")

@@ -40,7 +40,7 @@ def nearest_price(
     `tie`: `text` prefers the price that comes first in the text, `annotation` the one annotated first. With
     `max_distance`, prices at that distance or more do not count and products without a price are dropped.
     """
-    before_wins = F.lit(True) if tie == "text" else F.col("before.pos") < F.col("after.pos")
+    before_wins = F.lit(True) if tie == "text" else F.col("before.pos") <= F.col("after.pos")
     near = _nearest_positions(entities, key).select(
         *key, F.col("at").alias("end"), closer(F.col("at"), F.col("before"), F.col("after"), before_wins).alias("price")
     )

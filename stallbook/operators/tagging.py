@@ -2,11 +2,13 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stallbook.functions.text import NUMBER_WORDS, is_number_like, tokenize, tokens_of
+from stallbook.functions.text import NUMBER_WORDS, is_number_like, spread, tokenize, tokens_of
 from stallbook.schemas import MONEY, PATTERN_LABELS
 
 
@@ -37,7 +39,7 @@ def longest_pattern(patterns: DataFrame) -> int:
 def _starts(docs: DataFrame, key: list[str], longest: int) -> DataFrame:
     """Every token position with the tokens that a pattern beginning there can read."""
     words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
-    per_doc = docs.select(*key, words.alias("words")).filter(F.size("words") > 0)
+    per_doc = spread(docs.select(*key, "text"), key).select(*key, words.alias("words")).filter(F.size("words") > 0)
     ahead = F.transform(
         F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(longest))
     )
@@ -88,28 +90,44 @@ def pattern_matches(docs: DataFrame, patterns: DataFrame, key: list[str]) -> Dat
     )
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _accepted(first: pd.Series, n: pd.Series) -> pd.Series:
+    """Per document: which matches, taken in order, touch no token of an accepted one."""
+
+    def accept(starts: np.ndarray, sizes: np.ndarray) -> list[bool]:
+        used = np.zeros(int((starts + sizes).max()), dtype=bool)
+        flags = []
+        for start, end in zip(starts, starts + sizes):
+            free = not used[start:end].any()
+            if free:
+                used[start:end] = True
+            flags.append(free)
+        return flags
+
+    return pd.Series([accept(a, b) for a, b in zip(first, n)])
+
+
 def _without_overlap(matches: DataFrame, key: list[str]) -> DataFrame:
     """Longest match first, then the earliest; a match that touches an accepted one is dropped."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "first", "label", "n")))
     per_doc = matches.groupBy(*key).agg(ranked.alias("matches"))
-    accepted_type = "array<struct<first: int, last: int, label: string>>"
-
-    def accept(kept, m):
-        last = m["first"] + m["n"] - 1
-        free = ~F.exists(kept, lambda k: (k["first"] <= last) & (m["first"] <= k["last"]))
-        entry = F.array(F.struct(m["first"].alias("first"), last.alias("last"), m["label"].alias("label")))
-        return F.when(free, F.concat(kept, entry.cast(accepted_type))).otherwise(kept)
-
-    kept = F.aggregate("matches", F.array().cast(accepted_type), accept)
-    return per_doc.select(*key, F.inline(kept))
+    flagged = per_doc.withColumn("accepted", _accepted(F.col("matches.first"), F.col("matches.n")))
+    kept = F.filter(F.arrays_zip("matches", "accepted"), lambda m: m["accepted"])
+    return flagged.select(*key, F.explode(kept).alias("m")).select(
+        *key,
+        F.col("m.matches.first").alias("first"),
+        (F.col("m.matches.first") + F.col("m.matches.n") - 1).alias("last"),
+        F.col("m.matches.label").alias("label"),
+    )
 
 
-def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
+def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str], tokens: DataFrame | None = None) -> DataFrame:
     """Dictionary entities without overlap, then number-like tokens outside them as prices.
 
-    Columns: key, label, text, first, last (tokens), start, end (characters).
+    Columns: key, label, text, first, last (tokens), start, end (characters). `tokens` spares cutting the
+    documents again.
     """
-    tokens = tokenize(docs, key)
+    tokens = tokenize(docs, key) if tokens is None else tokens
     entities = _without_overlap(pattern_matches(docs, patterns, key), key)
     covered = entities.select(*key, F.explode(F.sequence("first", "last")).alias("idx"))
     numbers = (
@@ -118,11 +136,17 @@ def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFr
         .select(*key, F.col("idx").alias("first"), F.col("idx").alias("last"), F.lit(MONEY).alias("label"))
     )
     edges = tokens.select(*key, "idx", "start", "end")
-    return (
+    placed = (
         entities.unionByName(numbers)
         .join(edges.select(*key, F.col("idx").alias("first"), "start"), [*key, "first"])
         .join(edges.select(*key, F.col("idx").alias("last"), "end"), [*key, "last"])
-        .join(docs.select(*key, F.col("text").alias("doc_text")), key)
+    )
+    # A document's text meets its entities once, as one row, and is cut there.
+    per_doc = placed.groupBy(*key).agg(F.collect_list(F.struct("label", "first", "last", "start", "end")).alias("found"))
+    return (
+        docs.select(*key, "text")
+        .join(per_doc, key)
+        .select(*key, F.col("text").alias("doc_text"), F.inline("found"))
         .select(
             *key,
             "label",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stallbook.functions.text import tokenize
 from stallbook.operators import clustering, corpus, evaluation, messages, pairing, summaries, tagging, vectors
 from stallbook.schemas import MESSAGE_KEY
+from stallbook.scratch import stored
 
 
 def extract_profiles(annotated: DataFrame) -> dict[str, DataFrame]:
@@ -72,7 +73,8 @@ def embedding_report(class_vectors: DataFrame) -> DataFrame:
 
 def score_tagger(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """Dictionary tagger against the gold spans of the same documents, both as token ranges."""
-    predicted = tagging.tag_entities(docs, patterns, key)
-    gold = corpus.contract_to_tokens(docs, tokenize(docs, key), key)
+    tokens = stored(tokenize(docs, key), "tokens")
+    predicted = tagging.tag_entities(docs, patterns, key, tokens)
+    gold = stored(corpus.contract_to_tokens(docs, tokens, key), "gold")
     return evaluation.rule_scores(predicted, gold.filter("aligned"), [*key, "first", "last"], gold)
 
