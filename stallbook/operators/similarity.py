@@ -57,19 +57,26 @@ def _placed(points: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
 def _blocked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Residents and visitors cut into blocks, so that a crowded cell becomes many small comparisons."""
     residents = placed.select("id", "unit", F.col("home").alias("cell"))
-    visitors = placed.select("id", "unit", "home", F.explode("cells").alias("cell"))
+    visitors = placed.select(
+        F.col("id").alias("visitor"), F.col("unit").alias("direction"), "home", F.explode("cells").alias("cell")
+    )
     blocks = lambda df, name: df.groupBy("cell").agg(
         F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name)
     )
     # One row per cell, at most MAX_CELLS.
     sizes = F.broadcast(blocks(residents, "home_blocks").join(blocks(visitors, "visit_blocks"), "cell"))
-    pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    pick = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home_side = residents.join(sizes, "cell").select(
-        "cell", pick("home_blocks").alias("home_block"), every("visit_blocks").alias("visit_block"), "id", "unit"
+        "cell", pick("id", "home_blocks").alias("home_block"), every("visit_blocks").alias("visit_block"), "id", "unit"
     )
     visit_side = visitors.join(sizes, "cell").select(
-        "cell", every("home_blocks").alias("home_block"), pick("visit_blocks").alias("visit_block"), "id", "unit", "home"
+        "cell",
+        every("home_blocks").alias("home_block"),
+        pick("visitor", "visit_blocks").alias("visit_block"),
+        "visitor",
+        "direction",
+        "home",
     )
     return home_side, visit_side
 
@@ -89,10 +96,10 @@ def cosine_pairs(points: DataFrame, threshold: float, inclusive: bool = False) -
     def compare(home: pd.DataFrame, visit: pd.DataFrame) -> pd.DataFrame:
         if not len(home) or not len(visit):
             return pd.DataFrame({"id_a": [], "id_b": [], "distance": []})
-        distance = 1.0 - np.stack(visit["unit"].to_numpy()) @ np.stack(home["unit"].to_numpy()).T
+        distance = 1.0 - np.stack(visit["direction"].to_numpy()) @ np.stack(home["unit"].to_numpy()).T
         near = distance <= threshold if inclusive else distance < threshold
         v, h = np.nonzero(near)
-        a, b = visit["id"].to_numpy()[v], home["id"].to_numpy()[h]
+        a, b = visit["visitor"].to_numpy()[v], home["id"].to_numpy()[h]
         same_cell = visit["home"].to_numpy()[v] == visit["cell"].to_numpy()[v]
         keep = ~same_cell | (a < b)
         a, b, d = a[keep], b[keep], distance[v, h][keep]
