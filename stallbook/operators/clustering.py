@@ -133,6 +133,8 @@ def silhouette_samples(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
     partial = None
     for chunk in range(n_chunks):
         part = sums.filter(F.pmod(F.xxhash64("class"), F.lit(n_chunks)) == chunk).collect()
+        if not part:
+            continue
         names = np.array([r["class"] for r in part], dtype=object)
         n = np.array([r["n"] for r in part], dtype=float)
         squares = np.array([r["squares"] for r in part], dtype=float)
@@ -156,6 +158,8 @@ def silhouette_samples(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
 
         scored = rows.mapInPandas(score, schema)
         partial = scored if partial is None else partial.unionByName(scored)
+    if partial is None:
+        partial = rows.select("id", "class", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
     best = partial if n_chunks == 1 else partial.groupBy("id", "class").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     ratio = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     score = F.when(F.col("b") == float("inf"), None).when(F.col("a") == float("-inf"), 0.0).otherwise(ratio)

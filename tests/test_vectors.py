@@ -86,10 +86,9 @@ def brute_clusters(x, threshold, how):
         groups[best[1]] += groups.pop(best[2])
 
 
-@pytest.mark.parametrize("how", ["average", "complete", "single"])
-@pytest.mark.parametrize("local_points", [1000, 0])
-def test_clusters_equal_brute_force(spark, how, local_points):
-    x = crowd(9, n=60, noise=0.5)
+@pytest.mark.parametrize("how, local_points, n", [("average", 1000, 60), ("complete", 1000, 60), ("single", 1000, 60), ("average", 0, 24), ("complete", 0, 24)])
+def test_clusters_equal_brute_force(spark, how, local_points, n):
+    x = crowd(9, n=n, noise=0.5)
     found = clustering.agglomerative_clusters(table(spark, x), 0.3, how, local_points).collect()
     groups = {}
     for r in found:
