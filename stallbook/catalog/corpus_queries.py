@@ -334,7 +334,7 @@ def n11(spark, folder):
 
 
 def tagged_tokens(spark, folder):
-    tokens = doc_tokens(spark, folder)
+    tokens = stored(doc_tokens(spark, folder), "tokens")
     return corpus.bio_tags(tokens, corpus.span_tokens(docs(spark, folder), tokens, ID), ID)
 
 

@@ -17,7 +17,7 @@ from stallbook.catalog.registry import flat, query, r6
 from stallbook.functions.text import is_float, normalize_price, normalize_product_name, number_word, subscription_length
 from stallbook.operators import activity, corpus, messages, offers, pairing, summaries
 from stallbook.plans import jobs
-from stallbook.scratch import fresh_dir
+from stallbook.scratch import fresh_dir, stored
 from stallbook.sources import chats, profiles
 
 # --- nearest prices and product summaries -------------------------------------------------------------
@@ -551,7 +551,7 @@ RANGES_SQL = f"""{SUMMARY_SQL}, listed AS (SELECT DISTINCT m.author, lower(m.tex
 
 
 def price_ranges(spark, folder):
-    found = mentions(spark, folder)
+    found = stored(mentions(spark, folder), "mentions")
     names = summaries.product_summary(found).select("user", "product_key", "product")
     return offers.product_price_ranges(summaries.product_prices(found).join(names, ["user", "product_key"]))
 

@@ -36,27 +36,36 @@ def longest_pattern(patterns: DataFrame) -> int:
     return patterns.agg(F.max(F.size("tokens"))).first()[0] or 0
 
 
+def _words(docs: DataFrame, key: list[str]) -> DataFrame:
+    words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
+    return spread(docs.select(*key, "text"), key).select(*key, words.alias("words")).filter(F.size("words") > 0)
+
+
 def _starts(docs: DataFrame, key: list[str], longest: int) -> DataFrame:
     """Every token position with the tokens that a pattern beginning there can read."""
-    words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
-    per_doc = spread(docs.select(*key, "text"), key).select(*key, words.alias("words")).filter(F.size("words") > 0)
-    ahead = F.transform(
-        F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(longest))
-    )
-    return per_doc.select(*key, F.posexplode(ahead).alias("first", "ahead"))
+    ahead = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(longest)))
+    return _words(docs, key).select(*key, F.posexplode(ahead).alias("first", "ahead"))
 
 
 def dictionary_match(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """All places where a whole phrase occurs: key, first, last (token numbers), label."""
-    longest = longest_pattern(patterns)
+    lengths = sorted(r[0] for r in patterns.select(F.size("tokens")).distinct().collect()) or [1]
     phrases = patterns.select("label", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("phrase"))
-    sizes = F.sequence(F.lit(1), F.size("ahead"))
-    grams = _starts(docs, key, longest).select(*key, "first", "ahead", F.explode(sizes).alias("n")).select(
-        *key, "first", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("phrase")
-    )
-    return grams.join(phrases, ["n", "phrase"]).select(
-        *key, "first", (F.col("first") + F.col("n") - 1).alias("last"), "label"
+
+    def grams(n: int):
+        """Runs of n tokens; the run at place i begins with token i."""
+        places = F.sequence(F.lit(1), F.size("words") - (n - 1))
+        run = lambda i: F.array_join(F.slice("words", i, F.lit(n)), " ")
+        return F.when(F.size("words") >= n, F.transform(places, run) if n > 1 else F.col("words"))
+
+    per_length = F.array(*[F.struct(F.lit(n).alias("n"), grams(n).alias("runs")) for n in lengths])
+    found = (
+        _words(docs, key)
+        .select(*key, F.inline(per_length))
+        .select(*key, "n", F.posexplode("runs").alias("first", "phrase"))
+        .join(phrases, ["n", "phrase"])
     )
+    return found.select(*key, "first", (F.col("first") + F.col("n") - 1).alias("last"), "label")
 
 
 def pattern_matches(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
