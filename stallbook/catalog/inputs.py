@@ -171,17 +171,20 @@ def _span_range(k: Column) -> tuple[Column, Column]:
     return start.cast("int"), (start + 5 + k % 7).cast("int")
 
 
+def _span_label(k: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in SPAN_LABELS]), k % len(SPAN_LABELS))
+
+
 def _last_span(length: Column) -> Column:
     return F.floor((length - 21) / SPAN_STEP).cast("int")
 
 
 def _spans(length: Column) -> Column:
     """A span every SPAN_STEP characters, cut without regard to words."""
-    labels = F.array(*[F.lit(x) for x in SPAN_LABELS])
 
     def span(k: Column) -> Column:
         start, end = _span_range(k)
-        return F.struct(start.alias("start"), end.alias("end"), F.get(labels, k % 6).alias("label"))
+        return F.struct(start.alias("start"), end.alias("end"), _span_label(k).alias("label"))
 
     spans = F.transform(F.sequence(F.lit(0), _last_span(length)), span)
     return F.when(length > 20, spans).otherwise(F.array().cast("array<struct<start: int, end: int, label: string>>"))
@@ -197,10 +200,10 @@ def _relations(length: Column) -> Column:
             end1.alias("end1"),
             start2.alias("start2"),
             end2.alias("end2"),
-            F.when(k % 6 == 0, PROD_PRICE).otherwise(PRICE_CRIT).alias("label"),
+            F.when(_span_label(k) == "PROD", PROD_PRICE).otherwise(PRICE_CRIT).alias("label"),
         )
 
-    heads = F.filter(F.sequence(F.lit(0), _last_span(length) - 1), lambda k: k % 6 < 2)
+    heads = F.filter(F.sequence(F.lit(0), _last_span(length) - 1), lambda k: _span_label(k).isin("PROD", "MONEY"))
     nothing = F.array().cast("array<struct<start1: int, end1: int, start2: int, end2: int, label: string>>")
     return F.when(length > 20 + SPAN_STEP, F.transform(heads, relation)).otherwise(nothing)
 
