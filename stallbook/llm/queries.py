@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import line_dedup
+from stallbook.llm import decontamination, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,45 @@ FROM judged GROUP BY doc_id
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     joined = line_dedup.with_bitmaps(table(spark, folder, "documents"))
     return joined.select("row.doc_id", line_dedup.kept_digest("row.text", "keep").alias("d")).select("doc_id", "d.*")
+
+
+@query(
+    "op3_decontamination",
+    r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), sized AS (
+    SELECT item, ws, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0
+), windows AS (
+    SELECT DISTINCT item, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS g
+    FROM (SELECT item, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM sized)
+), grams AS (
+    SELECT doc_id, s, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS g
+    FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM windows) WHERE len(ws) >= k)
+), hits AS (
+    SELECT doc_id, s, k, item FROM grams JOIN windows USING (k, g)
+), words AS (
+    SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id
+), found AS (
+    SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+)
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    index = decontamination.build_index(table(spark, folder, "documents"))
+    found = decontamination.matches(index, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        decontamination.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
