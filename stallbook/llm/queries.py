@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import decontamination, line_dedup, mixing, ngram_join
+from stallbook.llm import decontamination, learning, line_dedup, mixing, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,14 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
+def may_learn(spark: SparkSession, folder: str, folds: int, out: int) -> DataFrame:
+    return table(spark, folder, "labels").filter(~learning.held_out(folds, out))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, may_learn(spark, folder, 4, 2)))
+    return scored.select("doc_id", learning.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
