@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import decontamination, learning, line_dedup, mixing, ngram_join, quality, toxicity
+from stallbook.llm import decontamination, language, learning, line_dedup, mixing, ngram_join, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,3 +119,10 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = quality.score(docs, quality.fit(docs, may_learn(spark, folder, 3, 1)))
     return scored.select("doc_id", learning.held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labelled = language.label(docs, language.fit(docs.filter(~learning.held_out(4, 2))))
+    return labelled.select("doc_id", learning.held_out(4, 2).alias("held_out"), "lang_pred", "score")
