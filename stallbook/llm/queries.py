@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import decontamination, language, learning, line_dedup, mixing, ngram_join, quality, toxicity
+from stallbook.llm import decontamination, language, learning, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,13 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labelled = language.label(docs, language.fit(docs.filter(~learning.held_out(4, 2))))
     return labelled.select("doc_id", learning.held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.encoded_lengths(table(spark, folder, "documents"))))
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.per_document(table(spark, folder, "documents"))
