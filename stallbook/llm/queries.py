@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import decontamination, language, learning, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
+from stallbook.llm import decontamination, embedding_dedup, language, learning, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,3 +136,28 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secrets")
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.per_document(table(spark, folder, "documents"))
+
+
+@query(
+    "op7_embedding_dedup",
+    r"""
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), roots AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)
+""",
+)
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(table(spark, folder, "embeddings"))
