@@ -121,12 +121,14 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Conversations as messages. A user who goes on after the third turn has changed the user name.
+# Conversations as messages. A user who goes on after the third turn has changed the user name. Offsets are one or two
+# hours by turn; some messages are null or blank.
 MESSAGES = """
 SELECT 'chat' || CAST(conv_id AS STRING) AS chat_id, turn AS message_id,
        role || '_' || CAST(conv_id % 10 AS STRING) AS user_id, CASE WHEN turn > 3 THEN role END AS username,
        TIMESTAMP '2024-01-01 00:00:00' + CAST((conv_id * 7 + turn * 3) * 10 AS INT) * INTERVAL '1' MINUTE AS ts_local,
-       text
+       TIMESTAMP '2024-01-01 00:00:00' + CAST((conv_id * 7 + turn * 3) * 10 - 60 * (1 + turn % 2) AS INT) * INTERVAL '1' MINUTE AS ts,
+       CASE WHEN (conv_id + turn) % 11 = 3 THEN NULL WHEN (conv_id + turn) % 13 = 5 THEN ' ' ELSE text END AS text
 FROM {conversations}
 """
 MESSAGES_SQL = MESSAGES.format(conversations="conversations")
@@ -146,6 +148,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         "chat_id",
         F.col("message_id").cast("long").alias("message_id"),
         user.alias("user"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.col("ts_local").cast("timestamp_ntz").alias("ts_local"),
         "text",
     )

@@ -14,7 +14,7 @@ from stallbook.catalog.inputs import (
     user_name,
 )
 from stallbook.catalog.registry import flat, query, r6
-from stallbook.functions.text import is_float, normalize_price, normalize_product_name, number_word, subscription_length
+from stallbook.functions.text import LENGTH_PATTERN, NUMBER_WORDS, is_float, normalize_price, normalize_product_name, number_word, subscription_length
 from stallbook.operators import activity, corpus, messages, offers, pairing, summaries
 from stallbook.plans import jobs
 from stallbook.scratch import fresh_dir, stored
@@ -238,7 +238,7 @@ for _label, _name in (("LOC", "locations"), ("PER", "persons"), ("PAYM", "paymen
 def line_times(spark, folder):
     """Ship dates of an author's lines as posting times."""
     lines = inputs.lines(spark, folder)
-    return lines.select(F.col("author").alias("user"), F.col("shipped").cast("timestamp_ntz").alias("ts_local"), F.col("prod").alias("text"))
+    return lines.select(F.col("author").alias("user"), F.col("shipped").cast("timestamp_ntz").alias("ts"), F.col("shipped").cast("timestamp_ntz").alias("ts_local"), F.col("prod").alias("text"))
 
 
 SUMMARIES_SQL = f"""WITH {SUMMARY_SQL},
@@ -273,7 +273,7 @@ MSG_NEAR_SQL = f"""{ANNOTATED_SQL}, prods AS (SELECT * FROM ents WHERE label = '
 A5_SQL = f"""WITH {MSG_NEAR_SQL},
   people AS (SELECT author, count(*) FILTER (label = 'LOC') AS n_locations, count(*) FILTER (label = 'PER') AS n_persons,
     count(*) FILTER (label = 'PAYM') AS n_payments FROM ents GROUP BY author),
-  times AS (SELECT {USER_NAME_SQL} AS author, count(DISTINCT ts_local) AS n_post_times FROM msgs GROUP BY ALL),
+  times AS (SELECT {USER_NAME_SQL} AS author, count(DISTINCT ts) FILTER (regexp_matches(text, '[^\\s\\p{{Z}}]')) AS n_post_times FROM msgs GROUP BY ALL),
   prod AS (SELECT author, count(*) AS n_products, sum(n_prices) AS n_prices, sum(n_messages) AS n_product_messages FROM summary GROUP BY author)
   SELECT t.author, coalesce(n_products, 0) AS n_products, CAST(coalesce(n_prices, 0) AS BIGINT) AS n_prices,
     CAST(coalesce(n_product_messages, 0) AS BIGINT) AS n_product_messages, coalesce(n_locations, 0) AS n_locations,
@@ -289,32 +289,68 @@ def a5(spark, folder):
 
 @query("p7_summary_only", A5_SQL)
 def p7(spark, folder):
-    tables = jobs.extract_profiles(annotated_messages(spark, folder))
-    return flat(tables["summary"].withColumn("user", user_name()))
+    return flat(jobs.summary_only(annotated_messages(spark, folder)).withColumn("user", user_name()))
 
 
-@query(
-    "p8_components_of",
-    f"WITH {ANNOTATED_SQL} SELECT author, chat_id, message_id, text, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at FROM ents WHERE label = 'LOC'",
-)
-def p8(spark, folder):
-    components = jobs.profile_components(jobs.extract_profiles(annotated_messages(spark, folder)))
-    found = jobs.components_of(components, "location")
-    return flat(found.select(user_name().alias("user"), "chat_id", "message_id", "entity.text", "entity.start", "entity.end"))
+def components(spark, folder):
+    return jobs.profile_components(jobs.extract_profiles(annotated_messages(spark, folder)))
+
+
+def stored_components(spark, folder, rows_per_part=50):
+    """Components of all profiles after a round trip; parts are small, so most profiles have several."""
+    found = annotated_messages(spark, folder)
+    path = fresh_dir(spark, "profiles")
+    made = jobs.profile_components(jobs.extract_profiles(found))
+    profiles.write_profiles(profiles.nest_profiles(made, messages.users_of(found), rows_per_part), path)
+    return profiles.read_profiles(spark, path)
+
+
+def shown_entities(found):
+    columns = [F.col(f"entity.{c}").alias(c) for c in ("label", "text", "start", "end")]
+    return flat(found.select(user_name().alias("user"), "chat_id", "message_id", *columns))
+
+
+def shown_relations(found):
+    ends = [F.col(f"{side}.{part}").alias(f"{side}_{part}") for side in ("head", "tail") for part in ("text", "start", "end")]
+    return flat(found.select(user_name().alias("user"), "chat_id", "message_id", *ends, "label"))
+
+
+_ENTS = "author, chat_id, message_id, label, text, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at"
+for _kind, _where in (("named_entity", "true"), ("product", "label = 'PROD'"), ("location", "label = 'LOC'"), ("person", "label = 'PER'"), ("payment", "label = 'PAYM'")):
+
+    def _p8(spark, folder, kind=_kind):
+        return shown_entities(jobs.components_of(components(spark, folder), kind))
+
+    query(f"p8_{_kind}", f"WITH {ANNOTATED_SQL} SELECT {_ENTS} FROM ents WHERE {_where}")(_p8)
+
+MSG_RELATIONS_SQL = """SELECT a.author, a.chat_id, a.message_id, a.text AS head_text, CAST(a.s AS INT) AS head_start,
+        CAST(a.e AS INT) AS head_end, b.text AS tail_text, CAST(b.s AS INT) AS tail_start, CAST(b.e AS INT) AS tail_end,
+        CASE a.label WHEN 'PROD' THEN 'PROD_PRICE' ELSE 'PRICE_CRIT' END AS label
+        FROM ents a JOIN ents b ON a.chat_id = b.chat_id AND a.message_id = b.message_id AND b.pos = a.pos + 1
+        WHERE a.label IN ('PROD', 'MONEY')"""
+
+
+@query("p8_relation", f"WITH {ANNOTATED_SQL} {MSG_RELATIONS_SQL}")
+def p8_relation(spark, folder):
+    return shown_relations(jobs.relations_of(components(spark, folder)))
+
+
+@query("p8_summary", A5_SQL)
+def p8_summary(spark, folder):
+    return flat(jobs.summaries_of(components(spark, folder)).withColumn("user", user_name()))
 
 
 @query(
     "p9_profile_for",
-    f"""WITH {MSG_SQL}, p AS (SELECT user_id, username, count(*) AS n_messages FROM m GROUP BY ALL)
-        SELECT user_id, username, n_messages FROM p WHERE user_id = 'user_1' ORDER BY username NULLS FIRST LIMIT 1""",
+    f"""WITH {ANNOTATED_SQL}, chosen AS (SELECT {USER_NAME_SQL} AS author FROM msgs WHERE user_id = 'user_1' ORDER BY username NULLS FIRST LIMIT 1)
+        SELECT {_ENTS} FROM ents WHERE author = (SELECT author FROM chosen)""",
 )
 def p9(spark, folder):
-    users = messages.messages_per_user(inputs.messages(spark, folder))
-    found = messages.profile_for(users, user_id="user_1")
-    return found.select(F.col("user.id").alias("user_id"), F.col("user.username").alias("username"), "n_messages")
+    chosen = messages.profile_for(stored_components(spark, folder, rows_per_part=5), user_id="user_1")
+    return shown_entities(jobs.components_of(profiles.components_in(chosen), "named_entity"))
 
 
-@query("a3_post_times", f"WITH {MSG_SQL} SELECT DISTINCT author, ts_local FROM m WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')")
+@query("a3_post_times", f"WITH {MSG_SQL} SELECT author, ts, min(ts_local) AS ts_local FROM m WHERE regexp_matches(text, '[^\\s\\p{{Z}}]') GROUP BY author, ts")
 def a3(spark, folder):
     return flat(summaries.post_times(inputs.messages(spark, folder)).withColumn("user", user_name()))
 
@@ -341,7 +377,7 @@ def write_exports(spark, folder):
     message = F.struct(
         F.col("message_id").alias("id"),
         "user",
-        F.date_format("ts_local", "yyyy-MM-dd'T'HH:mm:ss'+0200'").alias("datetime"),
+        F.concat(F.date_format("ts_local", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("message_id") % 2 == 1, "+02:00").otherwise("+0100")).alias("datetime"),
         F.col("text").alias("message"),
         F.lit(None).cast("long").alias("reply_to"),
         F.array(F.lit("text")).alias("type"),
@@ -362,13 +398,14 @@ def write_exports(spark, folder):
 
 @query(
     "s1_read_chat",
-    f"""WITH {MSG_SQL} SELECT chat_id AS source, message_id, user_id, username, ts_local - INTERVAL '2' HOUR AS ts, ts_local, text FROM m""",
+    f"""WITH {MSG_SQL} SELECT chat_id AS source, message_id, user_id, username, ts, ts_local, text FROM m""",
 )
 def s1(spark, folder):
     exports = chats.read_exports(spark, write_exports(spark, folder), multi_line=False)
-    found = chats.messages_of(exports.withColumn("chat_id", F.col("info.source")))
-    return found.select(
-        F.col("chat_id").alias("source"),
+    # Each export is a chat of its own: its id leads to one source.
+    sources = exports.select("chat_id", F.col("info.source").alias("source")).distinct()
+    return chats.messages_of(exports).join(sources, "chat_id").select(
+        "source",
         "message_id",
         F.col("user.id").alias("user_id"),
         F.col("user.username").alias("username"),
@@ -385,34 +422,41 @@ def s1(spark, folder):
 )
 def s2(spark, folder):
     exports = chats.read_exports(spark, write_exports(spark, folder), multi_line=False)
-    return chats.count_violations(exports.withColumn("chat_id", F.col("info.source"))).withColumnRenamed("chat_id", "source")
+    sources = exports.select("chat_id", F.col("info.source").alias("source")).distinct()
+    return chats.count_violations(exports).join(sources, "chat_id").drop("chat_id")
 
 
-@query("s9_profile_round_trip")
+@query("s9_profile_round_trip", f"WITH {ANNOTATED_SQL} SELECT {_ENTS} FROM ents")
 def s9(spark, folder):
-    found = annotated_messages(spark, folder).withColumn("user", user_name())
-    components = jobs.profile_components(jobs.extract_profiles(found))
-    path = fresh_dir(spark, "profiles")
-    profiles.write_profiles(profiles.nest_profiles(components, messages.users_of(found)), path)
-    back = profiles.components_in(profiles.read_profiles(spark, path))
-    return flat(
-        back.select(
-            "user", "name", "chat_id", "message_id", "entity.label", "entity.text", "entity.start", "entity.end",
-            F.col("price.text").alias("price_text"),
-        )
-    )
+    return shown_entities(jobs.components_of(profiles.components_in(stored_components(spark, folder)), "named_entity"))
 
 
-# --- offers and prices --------------------------------------------------------------------------------
+@query("s9_stored_relations", f"WITH {ANNOTATED_SQL} {MSG_RELATIONS_SQL}")
+def s9_relations(spark, folder):
+    return shown_relations(jobs.relations_of(profiles.components_in(stored_components(spark, folder))))
+
+
+@query("s9_stored_summaries", A5_SQL)
+def s9_summaries(spark, folder):
+    return flat(jobs.summaries_of(profiles.components_in(stored_components(spark, folder))).withColumn("user", user_name()))
 
-_LENGTH = "(\\d+|ein|eins|zwei|drei|vier|f[uü]nf|sechs|sieben|acht|neun|zehn|elf|zw[oö]lf)(?:\\s+)?(jahr|monat|)[e]?"
-_WORDS = " ".join(
-    f"WHEN '{w}' THEN {n}"
-    for w, n in {
-        "ein": 1, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "funf": 5, "sechs": 6, "sieben": 7,
-        "acht": 8, "neun": 9, "zehn": 10, "elf": 11, "zwölf": 12, "zwolf": 12,
-    }.items()
+
+@query(
+    "j5_offers_from_profiles",
+    f"""WITH {ANNOTATED_SQL}, r AS ({MSG_RELATIONS_SQL}), p AS (SELECT * FROM r WHERE label = 'PROD_PRICE'), c AS (SELECT * FROM r WHERE label <> 'PROD_PRICE')
+        SELECT p.author, p.chat_id, p.message_id, p.head_text AS product, p.tail_text AS price, c.tail_text AS crit FROM p LEFT JOIN c
+          ON c.author = p.author AND c.chat_id = p.chat_id AND c.message_id = p.message_id
+          AND (c.head_text, c.head_start, c.head_end) = (p.tail_text, p.tail_start, p.tail_end)""",
 )
+def j5_from_profiles(spark, folder):
+    relations = jobs.relations_of(profiles.components_in(stored_components(spark, folder)))
+    return flat(offers.offer_candidates(relations).withColumn("user", user_name()))
+
+
+# --- offers and prices --------------------------------------------------------------------------------
+
+_LENGTH = LENGTH_PATTERN
+_WORDS = " ".join(f"WHEN '{w}' THEN {n}" for w, n in NUMBER_WORDS.items())
 
 
 def price_sql(text: str) -> str:
@@ -644,14 +688,18 @@ def a18(spark, folder):
     return flat(activity.daily_activity(post_times(spark, folder)))
 
 
-@query(
-    "j11_calendar_fill",
-    f"""WITH {DAILY_SQL}, big AS (SELECT author, date, n FROM daily WHERE n > 2),
-        span AS (SELECT author, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM big GROUP BY author)
-        SELECT s.author, s.date, coalesce(b.n, 0) AS n FROM span s LEFT JOIN big b ON s.author = b.author AND s.date = b.date""",
-)
+# The activities of an author one by one: each has days without an event.
+BY_TYPE_SQL = """times AS (SELECT DISTINCT CAST(user_id AS STRING) || event_type AS author, ts FROM events),
+  daily AS (SELECT author, CAST(ts AS DATE) AS date, count(*) AS n FROM times GROUP BY ALL),
+  span AS (SELECT author, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily GROUP BY author)"""
+
+
+@query("j11_calendar_fill", f"WITH {BY_TYPE_SQL} SELECT s.author, s.date, coalesce(d.n, 0) AS n FROM span s LEFT JOIN daily d ON s.author = d.author AND s.date = d.date")
 def j11(spark, folder):
-    return flat(activity.calendar_fill(activity.posts_per_day(post_times(spark, folder)).filter("n > 2")))
+    events = inputs.table(spark, folder, "events")
+    author = F.concat(F.col("user_id").cast("string"), "event_type")
+    times = events.select(author.alias("user"), F.col("ts").cast("timestamp_ntz").alias("ts_local")).distinct()
+    return flat(activity.calendar_fill(activity.posts_per_day(times)))
 
 
 @query(

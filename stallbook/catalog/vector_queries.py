@@ -245,10 +245,10 @@ _PIVOT = ", ".join(f"round(max(value) FILTER (class_b = '{c}'), 6) + 0.0 AS {c}"
 def s13(spark, folder):
     path = fresh_dir(spark, "matrix")
     affinity = vectors.affinity_matrix(inputs.class_vectors(spark, folder))
-    corpora.write_matrix_csv(affinity, path, CLASSES)
-    schema = "class_a string, " + ", ".join(f"{c} double" for c in CLASSES)
+    columns = corpora.write_matrix_csv(affinity, path)
+    schema = "class_a string, " + ", ".join(f"`{c}` double" for c in columns)
     back = spark.read.schema(schema).option("header", True).csv(path)
-    return back.select("class_a", *[r6(c).alias(c) for c in CLASSES])
+    return back.select("class_a", *[r6(c).alias(c) for c in columns])
 
 
 def silhouette_sql(distance: str) -> str:

@@ -53,25 +53,26 @@ def exact_quantiles(
     return picked.select(*by, "n", F.array(*[interpolated(i, q) for i, q in enumerate(quantiles)]).alias("q"))
 
 
-def hashed_order(df: DataFrame, key: list[str], seed: int, bucket_digits: int = 3) -> DataFrame:
-    """Adds `rank` (from 1): the position of each row in a seeded random order of the whole table.
+def order_digest(key: list[str], seed: int) -> Column:
+    """Hex digest whose order is a seeded random order of rows with a unique key."""
+    return F.md5(F.concat_ws("_", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
 
-    The order is that of a hex digest. Its first digits cut the table into even ranges, so ranking needs the
-    range sizes and one sort per range, never a single-task sort.
+
+def digest_at(keys: DataFrame, rank: int, digits: int = 3) -> str:
+    """The digest at a rank (from 1) in digest order, without sorting: only `digest` is read.
+
+    Rows are counted by a prefix, the prefix that holds the rank is kept, and its next digits are counted. A step returns
+    at most 16 ** digits counts, and leaves that fraction of the rows.
     """
-    digest = F.md5(F.concat_ws("_", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    hashed = df.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, bucket_digits))
-    before = Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 16 ** bucket_digits rows, whatever the size of the table.
-    offsets = (
-        hashed.groupBy("bucket")
-        .agg(F.count("*").alias("n"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("bucket", "offset")
-    )
-    in_bucket = Window.partitionBy("bucket").orderBy("digest", *key)
-    return (
-        hashed.join(F.broadcast(offsets), "bucket")
-        .withColumn("rank", F.col("offset") + F.row_number().over(in_bucket))
-        .drop("bucket", "digest", "offset")
-    )
+    prefix = ""
+    while True:
+        size = min(len(prefix) + digits, 32)
+        inside = keys.filter(F.col("digest").startswith(prefix)) if prefix else keys
+        counts = inside.groupBy(F.substring("digest", 1, size).alias("p")).agg(F.count("*").alias("n"), F.min("digest").alias("first")).collect()
+        for row in sorted(counts):
+            if rank <= row["n"]:
+                break
+            rank -= row["n"]
+        if row["n"] == 1 or size == 32:
+            return row["first"]
+        prefix = row["p"]

@@ -1,7 +1,5 @@
 """Column functions over free text. All of them stay inside the JVM."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +23,7 @@ NUMBER_WORDS = {
 }
 
 # Fixed values: "<number> <unit>" in a subscription length; the unit may be missing.
-LENGTH_PATTERN = (
-    r"(\d+|ein|eins|zwei|drei|vier|f[uü]nf|sechs|sieben|acht|neun|zehn|elf|zw[oö]lf)"
-    r"(?:\s+)?(jahr|monat|)[e]?"
-)
+LENGTH_PATTERN = r"(\d+|ein|eins|zwei|drei|vier|f[uü]nf|sechs|sieben|acht|neun|zehn|elf|zw[oö]lf)(?:\s+)?(jahr|monat|)[e]?"
 
 # Code points that count as printable. Letters, digits, white space, ASCII, symbols and
 # the single code point emoji blocks; joiners and variation selectors are outside.
@@ -62,7 +57,8 @@ def or_empty(value: Column) -> Column:
 
 
 def is_float(text: Column) -> Column:
-    return text.try_cast("double").isNotNull()
+    """Whether the text is a decimal number; a cast alone would also take the suffixes of Java literals."""
+    return text.try_cast("double").isNotNull() & text.rlike(r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|nan|inf|infinity)\s*$")
 
 
 def normalize_price(text: Column) -> Column:
@@ -156,7 +152,3 @@ def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         .withColumn("token", token)
         .select(*key, "idx", "token", (F.col("end") - F.length("token")).alias("start"), "end")
     )
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

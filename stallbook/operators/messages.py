@@ -25,10 +25,12 @@ def messages_per_user(messages: DataFrame) -> DataFrame:
 
 
 def profile_for(profiles: DataFrame, user: Column | None = None, user_id: str | None = None) -> DataFrame:
-    """The profile of a full user, or the first profile (in user order) with an id."""
+    """All rows of the profile of a full user, or of the first user (in user order) with an id; a large profile has several."""
     if user is not None:
         return profiles.filter(F.col("user").eqNullSafe(user))
-    return profiles.filter(F.col("user.id") == user_id).orderBy("user").limit(1)
+    having = profiles.filter(F.col("user.id") == user_id)
+    first = having.agg(F.min("user").alias("chosen")).filter("chosen IS NOT NULL")  # one row
+    return having.join(F.broadcast(first), F.col("user").eqNullSafe(F.col("chosen"))).drop("chosen")
 
 
 def named_entities(annotated: DataFrame) -> DataFrame:

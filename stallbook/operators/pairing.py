@@ -136,6 +136,3 @@ def nn_scores(matches: DataFrame) -> DataFrame:
         F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"),
     )
 
-
-def occurrence(key: list[str], order: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -10,6 +10,10 @@ from stallbook.operators.messages import non_blank, with_label
 from stallbook.schemas import LOC, MESSAGE_KEY, PAYM, PER
 
 
+# What a summary counts for an author.
+COUNTS = ["n_products", "n_prices", "n_product_messages", "n_locations", "n_persons", "n_payments", "n_post_times"]
+
+
 def _product_key():
     return F.lower("text").alias("product_key")
 
@@ -45,8 +49,8 @@ def mention_counts(entities: DataFrame, label: str) -> DataFrame:
 
 
 def post_times(messages: DataFrame) -> DataFrame:
-    """Distinct time stamps of visible messages per author."""
-    return non_blank(messages).select("user", "ts_local").distinct()
+    """Distinct instants of visible messages per author, with the earliest wall clock seen for each."""
+    return non_blank(messages).groupBy("user", "ts").agg(F.min("ts_local").alias("ts_local"))
 
 
 def summaries(mentions: DataFrame, entities: DataFrame, times: DataFrame, users: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def summaries(mentions: DataFrame, entities: DataFrame, times: DataFrame, users:
     Every part is aggregated per author first; the parts are then summed as one narrow table, which needs a
     single shuffle instead of one join per part.
     """
-    columns = ["n_products", "n_prices", "n_product_messages", "n_locations", "n_persons", "n_payments", "n_post_times"]
+    columns = COUNTS
 
     def part(df: DataFrame, **values) -> DataFrame:
         return df.select("user", *[values.get(c, F.lit(0)).cast("long").alias(c) for c in columns])

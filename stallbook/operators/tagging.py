@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallbook.functions.text import NUMBER_WORDS, is_number_like, spread, tokenize, tokens_of
+from stallbook.operators.messages import non_blank
 from stallbook.schemas import MONEY, PATTERN_LABELS
 
 
@@ -172,7 +173,10 @@ Annotator = Callable[[str], list[tuple[int, int, str]]]
 
 
 def annotate(messages: DataFrame, make_annotator: Callable[[], Annotator], key: list[str]) -> DataFrame:
-    """Span rows from a caller's tagger, created once per partition: key, pos, label, text, start, end."""
+    """Span rows from a caller's tagger, created once per partition: key, pos, label, text, start, end.
+
+    Null and blank messages have no spans and do not reach the tagger.
+    """
     key_fields = ", ".join(f"{k} {messages.schema[k].dataType.simpleString()}" for k in key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +189,7 @@ def annotate(messages: DataFrame, make_annotator: Callable[[], Annotator], key:
             yield pd.DataFrame(rows, columns=[*key, "pos", "label", "text", "start", "end"])
 
     schema = f"{key_fields}, pos int, label string, text string, start int, end int"
-    return messages.select(*key, "text").mapInPandas(run, schema)
+    return non_blank(messages).select(*key, "text").mapInPandas(run, schema)
 
 
 def number_annotator() -> Annotator:

@@ -120,16 +120,12 @@ def difference_margins(differences: DataFrame) -> DataFrame:
     return rows.unionByName(columns).unionByName(overall)
 
 
-
-
 def train_word_vectors(docs: DataFrame, dims: int = 32, min_count: int = 5, rounds: int = 1, seed: int = 17) -> DataFrame:
     """token, vector for the words of a lower-cased corpus that occur at least `min_count` times.
 
     The learner keeps its vocabulary on the driver; `min_count` bounds it.
     """
     words = docs.select(tokens_of(F.lower("text")).alias("words"))
-    learner = Word2Vec(
-        vectorSize=dims, minCount=min_count, maxIter=rounds, seed=seed, inputCol="words", numPartitions=4
-    )
+    learner = Word2Vec(vectorSize=dims, minCount=min_count, maxIter=rounds, seed=seed, inputCol="words", numPartitions=max(1, words.rdd.getNumPartitions()))
     vectors = learner.fit(words).getVectors()
     return vectors.select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))

@@ -7,10 +7,11 @@ from stallbook.functions.text import tokenize
 from stallbook.operators import clustering, corpus, evaluation, messages, pairing, summaries, tagging, vectors
 from stallbook.schemas import MESSAGE_KEY
 from stallbook.scratch import stored
+from stallbook.sources import profiles
 
 
 def extract_profiles(annotated: DataFrame) -> dict[str, DataFrame]:
-    """All profile tables of annotated messages (chat_id, message_id, user, ts_local, text, spans, relations)."""
+    """All profile tables of annotated messages (chat_id, message_id, user, ts, ts_local, text, spans, relations)."""
     visible = messages.non_blank(annotated)
     entities = messages.named_entities(visible)
     mentions = pairing.nearest_price(entities)
@@ -30,10 +31,12 @@ def extract_profiles(annotated: DataFrame) -> dict[str, DataFrame]:
 def profile_components(tables: dict[str, DataFrame]) -> DataFrame:
     """All findings of the extraction as one table with the kind in `name`."""
     entity = F.struct("label", "text", "start", "end")
-    no_price = F.lit(None).cast("struct<label: string, text: string, start: int, end: int>")
+    empty = {name: F.lit(None).cast(kind) for name, kind in profiles.FINDINGS.items()}
+    no_message = [F.lit(None).cast(kind).alias(name) for name, kind in zip(MESSAGE_KEY, ("string", "long"), strict=True)]
 
-    def part(df: DataFrame, name: str, price=no_price) -> DataFrame:
-        return df.select("user", F.lit(name).alias("name"), *MESSAGE_KEY, entity.alias("entity"), price.alias("price"))
+    def part(df: DataFrame, name: str, message=tuple(MESSAGE_KEY), **found) -> DataFrame:
+        columns = [c.cast(profiles.FINDINGS[f]).alias(f) for f, c in (empty | found).items()]
+        return df.select("user", F.lit(name).alias("name"), *message, *columns)
 
     price = F.when(
         F.col("price_text").isNotNull(),
@@ -45,11 +48,13 @@ def profile_components(tables: dict[str, DataFrame]) -> DataFrame:
         ),
     )
     return (
-        part(tables["entities"], "named_entity")
-        .unionByName(part(tables["products"].withColumn("label", F.lit("PROD")), "product", price))
-        .unionByName(part(tables["locations"], "location"))
-        .unionByName(part(tables["persons"], "person"))
-        .unionByName(part(tables["payments"], "payment"))
+        part(tables["entities"], "named_entity", entity=entity)
+        .unionByName(part(tables["relations"], "relation", relation=F.struct("head", "tail", "label")))
+        .unionByName(part(tables["products"].withColumn("label", F.lit("PROD")), "product", entity=entity, price=price))
+        .unionByName(part(tables["locations"], "location", entity=entity))
+        .unionByName(part(tables["persons"], "person", entity=entity))
+        .unionByName(part(tables["payments"], "payment", entity=entity))
+        .unionByName(part(tables["summary"], "summary", no_message, summary=F.struct(*summaries.COUNTS)))
     )
 
 
@@ -57,6 +62,21 @@ def components_of(components: DataFrame, name: str) -> DataFrame:
     return components.filter(F.col("name") == name)
 
 
+def relations_of(components: DataFrame) -> DataFrame:
+    """Relation rows of stored profiles, as the offers are made from."""
+    return components_of(components, "relation").select("user", *MESSAGE_KEY, "relation.*")
+
+
+def summaries_of(components: DataFrame) -> DataFrame:
+    return components_of(components, "summary").select("user", "summary.*")
+
+
+def summary_only(annotated: DataFrame) -> DataFrame:
+    """Just the summary rows of the extraction: entities and times are read, relations and mentions by kind are not."""
+    entities = messages.named_entities(messages.non_blank(annotated))
+    return summaries.summaries(pairing.nearest_price(entities), entities, summaries.post_times(annotated), messages.users_of(annotated))
+
+
 def embedding_report(class_vectors: DataFrame) -> DataFrame:
     """Silhouette, cohesion, affinity and difference cells of labelled vectors (id, class, vector) as one table."""
     affinity = vectors.affinity_matrix(class_vectors)

@@ -1,33 +1,52 @@
 """Chat exports."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.schemas import CHAT
 
-# Fixed value: time stamp format of the exports, with the sender's own UTC offset.
-EXPORT_TIME = "yyyy-MM-dd'T'HH:mm:ssXX"
+# An ISO 8601 stamp may end in Z, +02:00, +0200 or +02, or have no offset.
+_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2})?)$"
 
 
 def read_exports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per export: chat_id (file name), export_no inside the file, info, messages.
+    """One row per export: chat_id, info, messages.
 
-    The usual export is one JSON object over many lines per file; `multi_line=False` reads files with one
-    export per line, which Spark can split.
+    The usual export is one JSON object over many lines per file, and its chat_id is the file name. `multi_line=False`
+    reads files with one export per line, which Spark can split; their chat_id is the file name with a digest of
+    the line, so equal lines of a file are one chat.
     """
-    exports = spark.read.schema(CHAT).option("multiLine", multi_line).json(path)
-    return exports.select(F.col("_metadata.file_name").alias("chat_id"), "info", "messages")
+    name = F.col("_metadata.file_name")
+    if multi_line:
+        return spark.read.schema(CHAT).option("multiLine", True).json(path).select(name.alias("chat_id"), "info", "messages")
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    chat_id = F.concat_ws("#", name, F.substring(F.sha2("value", 256), 1, 16))
+    return lines.select(chat_id.alias("chat_id"), F.from_json("value", CHAT).alias("export")).select("chat_id", "export.info", "export.messages")
+
+
+def instant(stamp: Column) -> Column:
+    """ISO 8601 stamp as an instant; without an offset it counts as session time. Null if unreadable."""
+    with_colon = F.regexp_replace(stamp, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(stamp.rlike(r"T.*[+-]\d{2}$"), F.concat(stamp, F.lit(":00"))).otherwise(with_colon).try_cast("timestamp")
+
+
+def wall_clock(stamp: Column) -> Column:
+    """The sender's own date and time of an ISO 8601 stamp."""
+    return F.when(stamp.contains("T"), F.regexp_replace(stamp, _OFFSET, "")).otherwise(stamp).try_cast("timestamp_ntz")
 
 
 def messages_of(exports: DataFrame) -> DataFrame:
-    """One row per message, `ts` as an instant and `ts_local` as the sender's wall clock."""
+    """One row per message, `ts` as an instant and `ts_local` as the sender's wall clock. An unreadable stamp fails and names the message."""
     m = F.col("m")
+    stamp = m["datetime"]
+    unreadable = F.raise_error(F.concat_ws(" ", F.lit("no time stamp:"), stamp, F.lit("in message"), m["id"].cast("string"), F.lit("of"), F.col("chat_id")))
+    ts = F.when(stamp.isNull() | instant(stamp).isNotNull(), instant(stamp)).otherwise(unreadable)
     return exports.select("chat_id", F.explode("messages").alias("m")).select(
         "chat_id",
         m["id"].alias("message_id"),
         m["user"].alias("user"),
-        F.to_timestamp(m["datetime"], EXPORT_TIME).alias("ts"),
-        F.to_timestamp_ntz(F.substring(m["datetime"], 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("ts_local"),
+        ts.alias("ts"),
+        wall_clock(stamp).alias("ts_local"),
         m["message"].alias("text"),
         m["reply_to"].alias("reply_to"),
         m["type"].alias("type"),

@@ -151,10 +151,20 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("label", F.col("pattern.LOWER").alias("tokens"))
 
 
-def write_matrix_csv(cells: DataFrame, path: str, classes: list[str]) -> None:
-    """Square matrix with one row and one column per class; `classes` fixes the column order."""
-    matrix_of(cells, classes).write.option("header", True).csv(path)
-
-
-def matrix_of(cells: DataFrame, classes: list[str]) -> DataFrame:
-    return cells.groupBy("class_a").pivot("class_b", classes).agg(F.first("value"))
+def write_matrix_csv(cells: DataFrame, path: str, classes: list[str] | None = None) -> list[str]:
+    """Square matrix with one row and one column per class; returns the classes in column order."""
+    matrix, columns = matrix_of(cells, classes)
+    matrix.write.option("header", True).csv(path)
+    return columns
+
+
+def matrix_of(cells: DataFrame, classes: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """The matrix and its columns: the classes of the data in order, or the given ones, which must hold all of the data.
+
+    A column per class is what the matrix is, so its classes are few by nature.
+    """
+    seen = sorted(r["class_b"] for r in cells.select("class_b").distinct().collect())
+    columns = seen if classes is None else list(classes)
+    if missing := sorted(set(seen) - set(columns)):
+        raise ValueError(f"classes without a column: {missing}")
+    return cells.groupBy("class_a").pivot("class_b", columns).agg(F.first("value")), columns

@@ -6,30 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.functions.text import strip
-
-PROFILE = """
-    user string, part int,
-    components array<struct<
-        name: string, chat_id: string, message_id: bigint,
-        entity: struct<label: string, text: string, start: int, end: int>,
-        price: struct<label: string, text: string, start: int, end: int>>>
+from stallbook.operators import summaries
+
+_USER = "struct<id: string, first_name: string, last_name: string, username: string, phone: string>"
+_ENTITY = "struct<label: string, text: string, start: int, end: int>"
+_POINT = "struct<text: string, start: int, end: int>"
+_COUNTS = ", ".join(f"{name}: bigint" for name in summaries.COUNTS)
+
+#: What a component can hold besides its name and message; each kind fills its own.
+FINDINGS = {"entity": _ENTITY, "price": _ENTITY, "relation": f"struct<head: {_POINT}, tail: {_POINT}, label: string>", "summary": f"struct<{_COUNTS}>"}
+PROFILE = f"""
+    user {_USER}, part int,
+    components array<struct<name: string, chat_id: string, message_id: bigint, {", ".join(f"{name}: {kind}" for name, kind in FINDINGS.items())}>>
 """
 
 
 def nest_profiles(components: DataFrame, users: DataFrame, rows_per_part: int = 10_000) -> DataFrame:
     """Profiles as nested rows. A large profile becomes several parts, so no row grows with its author.
 
-    `components` has user, name, chat_id, message_id, entity, price; every user gets at least one row.
+    `components` has user (all five fields), name, chat_id, message_id and the findings; every user gets at least one row.
     """
     sizes = components.groupBy("user").agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("chat_id", "message_id", "name", "entity"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("chat_id", "message_id", "name", "entity", "relation"), F.col("parts")).cast("int")
+    sizes = sizes.withColumnRenamed("user", "sized")
     nested = (
-        components.join(sizes, "user")
+        components.join(sizes, F.col("user").eqNullSafe(F.col("sized")))
         .withColumn("part", part)
         .groupBy("user", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("name", "chat_id", "message_id", "entity", "price"))).alias("components"))
+        .agg(F.array_sort(F.collect_list(F.struct("name", "chat_id", "message_id", *FINDINGS))).alias("components"))
     )
-    empty = users.join(sizes, "user", "left_anti").select(
+    empty = users.join(sizes, F.col("user").eqNullSafe(F.col("sized")), "left_anti").select(
         "user", F.lit(0).alias("part"), F.array().cast(nested.schema["components"].dataType).alias("components")
     )
     return nested.unionByName(empty)

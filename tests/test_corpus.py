@@ -41,10 +41,11 @@ def test_corpus_folder_finds_its_splits(spark, tmp_path, rows):
     assert rows(found) == [("dev", "testa.jsonl"), ("test", "testb.jsonl"), ("train", "my_train.jsonl")]
 
 
-@pytest.mark.parametrize("train, dev, test, n", [(1, 1, 1, 30), (1, 1, 0, 20), (1, 0, 0, 10), (0, 0, 1, 10), (2, 1, 1, 40)])
-def test_union_counts_repeated_files(spark, train, dev, test, n):
-    ten = spark.range(10)
-    assert corpora.union_corpus([ten] * train, [ten] * dev, [ten] * test).count() == n
+@pytest.mark.parametrize("files", [{"train": 3}, {"dev": 2, "test": 1}, {"train": 1, "dev": 1, "test": 3}])
+def test_union_keeps_every_given_file(spark, files):
+    seven = spark.range(7)
+    found = corpora.union_corpus(**{split: [seven] * n for split, n in files.items()})
+    assert {r["split"]: r["count"] for r in found.groupBy("split").count().collect()} == {split: 7 * n for split, n in files.items()}
 
 
 def test_union_of_nothing():
@@ -52,20 +53,26 @@ def test_union_of_nothing():
         corpora.union_corpus()
 
 
-@pytest.mark.parametrize("dev, test, sizes", [(0.2, 0.2, (6, 2, 2)), (0.1, 0.2, (7, 1, 2))])
-def test_split(spark, dev, test, sizes):
-    ids = spark.range(10)
-    found = corpus.train_dev_test_split(ids, ["id"], dev, test, seed=3)
-    counts = {r["split"]: r["count"] for r in found.groupBy("split").count().collect()}
-    assert (counts["train"], counts["dev"], counts["test"]) == sizes and found.select("id").distinct().count() == 10
-    again = corpus.train_dev_test_split(ids.repartition(3), ["id"], dev, test, seed=3)
+# 25 rows: 25 * 0.1 = 2.5 and 25 * 0.5 = 12.5 round to the even neighbour.
+@pytest.mark.parametrize("n, dev, test, cuts", [(25, 0.05, 0.05, (1, 2)), (25, 0.25, 0.25, (6, 12)), (200, 0.1, 0.3, (60, 80)), (7, 0.0, 0.3, (2, 2))])
+def test_cut_ranks(n, dev, test, cuts):
+    assert corpus.cut_ranks(n, dev, test) == cuts
+
+
+def test_split_is_exact_and_repeatable(spark):
+    ids = spark.range(500)
+    found = corpus.train_dev_test_split(ids, ["id"], 0.1, 0.3, seed=3)
+    assert {r["split"]: r["count"] for r in found.groupBy("split").count().collect()} == {"train": 300, "dev": 50, "test": 150}
+    again = corpus.train_dev_test_split(ids.repartition(3), ["id"], 0.1, 0.3, seed=3)
     assert sorted(found.collect()) == sorted(again.collect())
+    other = corpus.train_dev_test_split(ids, ["id"], 0.1, 0.3, seed=4)
+    assert sorted(found.collect()) != sorted(other.collect())
 
 
-@pytest.mark.parametrize("dev, test, message", [(0.5, 0.5, "less than 1"), (0.49, 0.5, "not possible")])
-def test_impossible_splits(dev, test, message):
-    with pytest.raises(ValueError, match=message):
-        corpus.split_sizes(10, dev, test)
+@pytest.mark.parametrize("n, dev, test", [(40, 0.7, 0.6), (3, 0.4, 0.4), (12, 0.3, 0.0)])
+def test_impossible_splits(n, dev, test):
+    with pytest.raises(ValueError, match="cannot be cut"):
+        corpus.cut_ranks(n, dev, test)
 
 
 def test_excluded_documents(spark, rows):
