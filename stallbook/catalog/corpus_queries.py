@@ -126,7 +126,7 @@ def s4(spark, folder):
     return both.groupBy("split", "id").agg(F.count("*").alias("n"))
 
 
-@query("s6_write_jsonl")
+@query("s6_write_jsonl", f"WITH {inputs.DOCS_SQL} SELECT id, text, split FROM docs")
 def s6(spark, folder):
     path = fresh_dir(spark, "jsonl")
     corpora.write_jsonl(docs(spark, folder).select("id", "text", "split"), path)
@@ -229,23 +229,21 @@ def w5(spark, folder):
 
 @query(
     "w6_set_operations",
-    """SELECT p_name AS name, bool_or(p_type = 'PROMO') AS in_promo, bool_or(p_type = 'ECONOMY') AS in_economy FROM part
-       WHERE p_type IN ('PROMO', 'ECONOMY') GROUP BY p_name HAVING NOT bool_or(p_type = 'PROMO') OR NOT bool_or(p_type = 'ECONOMY')""",
+    """WITH kinds AS (SELECT count(DISTINCT p_type) AS n FROM part)
+       SELECT p_name AS item, count(DISTINCT p_type) AS n_sets, count(DISTINCT p_type) = (SELECT n FROM kinds) AS in_all FROM part GROUP BY p_name""",
 )
 def w6(spark, folder):
-    parts = inputs.table(spark, folder, "part")
-    names = lambda kind: parts.filter(F.col("p_type") == kind).select(F.col("p_name").alias("name")).distinct()
-    promo, economy = names("PROMO"), names("ECONOMY")
-    only = lambda a, b, p, e: a.exceptAll(b).withColumns({"in_promo": F.lit(p), "in_economy": F.lit(e)})
-    return only(promo, economy, True, False).unionByName(only(economy, promo, False, True))
+    parts = inputs.table(spark, folder, "part").select(F.col("p_type").alias("set"), F.col("p_name").alias("item"))
+    return corpus.set_membership(parts)
 
 
 @query(
     "n7_replace_nonprint",
-    f"""SELECT page_id, md5(regexp_replace(html, {NOTE}, ' ', 'g')) AS clean_md5, len(regexp_extract_all(html, {NOTE})) AS n_replaced FROM pages""",
+    f"""WITH t AS (SELECT page_id, {inputs.dirty_sql('html', 'page_id')} AS html FROM pages)
+        SELECT page_id, md5(regexp_replace(html, {NOTE}, ' ', 'g')) AS clean_md5, len(regexp_extract_all(html, {NOTE})) AS n_replaced FROM t""",
 )
 def n7(spark, folder):
-    pages = inputs.table(spark, folder, "pages")
+    pages = inputs.table(spark, folder, "pages").withColumn("html", inputs.dirty(F.col("html"), F.col("page_id")))
     return pages.select(
         "page_id",
         F.md5(replace_nonprint(F.col("html"))).alias("clean_md5"),
@@ -255,11 +253,12 @@ def n7(spark, folder):
 
 @query(
     "a24_sanitize_report",
-    f"""WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages)
+    f"""WITH t AS (SELECT {inputs.dirty_sql('text', 'doc_id')} AS text FROM documents UNION ALL SELECT {inputs.dirty_sql('html', 'page_id')} FROM pages)
         SELECT hex(char) AS char_hex, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {NOTE})) AS char FROM t) GROUP BY ALL""",
 )
 def a24(spark, folder):
-    texts = docs(spark, folder).select("text").union(inputs.table(spark, folder, "pages").select("html"))
+    pages = inputs.table(spark, folder, "pages").select(inputs.dirty(F.col("html"), F.col("page_id")))
+    texts = docs(spark, folder).select(inputs.dirty(F.col("text"), F.col("id")).alias("text")).union(pages)
     return corpus.sanitize_report(texts).select(F.hex("char").alias("char_hex"), "n")
 
 
@@ -293,11 +292,13 @@ def a9(spark, folder):
 
 @query(
     "a12_mention_share",
-    f"""WITH {SPANS_SQL} SELECT count(*) FILTER (substring(text, CAST(s + 1 AS BIGINT), 1) = '@') AS n_at, count(*) AS n_persons,
-        round(count(*) FILTER (substring(text, CAST(s + 1 AS BIGINT), 1) = '@') / count(*), 6) + 0.0 AS share FROM spans WHERE label = 'PER'""",
+    f"""WITH {SPANS_SQL} SELECT count(*) FILTER (substring(text, CAST(s + 1 AS BIGINT), 1) = 'e') AS n_at, count(*) AS n_persons,
+        round(count(*) FILTER (substring(text, CAST(s + 1 AS BIGINT), 1) = 'e') / count(*), 6) + 0.0 AS share FROM spans WHERE label = 'PER'""",
 )
 def a12(spark, folder):
-    return corpus.mention_share(docs(spark, folder)).withColumn("share", r6("share"))
+    # Every e is an @ here, so that some spans begin with one.
+    marked = docs(spark, folder).withColumn("text", F.replace("text", F.lit("e"), F.lit("@")))
+    return corpus.mention_share(marked).withColumn("share", r6("share"))
 
 
 @query(
@@ -431,7 +432,7 @@ def d2(spark, folder):
     return tagging.pattern_rows(train_patterns(spark, folder))
 
 
-@query("s15_write_patterns")
+@query("s15_write_patterns", f"WITH {PATTERNS_SQL} SELECT label, phrase FROM dict")
 def s15(spark, folder):
     path = fresh_dir(spark, "patterns")
     corpora.write_patterns(train_patterns(spark, folder), path)
@@ -518,12 +519,12 @@ def a20(spark, folder):
     return _shown_scores(pairing.nn_scores(relation_matches(spark, folder)))
 
 
-@query("s14_write_metrics")
+@query("s14_write_metrics", f"WITH {DOC_NEAR_SQL} SELECT {_SCORES} FROM per_doc")
 def s14(spark, folder):
     scores = pairing.nn_scores(relation_matches(spark, folder))
     path = fresh_dir(spark, "metrics")
     corpora.write_metrics(scores, path)
-    return corpora.read_metrics(spark, path, scores.schema)
+    return _shown_scores(corpora.read_metrics(spark, path, scores.schema))
 
 
 def report_sql(gold: str, with_weighted: bool, extra: str = "") -> str:

@@ -121,6 +121,22 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Texts with characters that are not printable: a joiner, a bell, or a soft mark, by key.
+_MARKS = (("an", "a\u200dn"), ("er", "\u0007er"), ("on", "on\u00ad"))
+
+
+def dirty(text: Column, key: Column) -> Column:
+    out = text
+    for i, (old, new) in enumerate(_MARKS):
+        out = F.when(key % 4 == i, F.replace(text, F.lit(old), F.lit(new))).otherwise(out)
+    return out
+
+
+def dirty_sql(text: str, key: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN replace({text}, '{old}', '{new}')" for i, (old, new) in enumerate(_MARKS))
+    return f"CASE {key} % 4 {cases} ELSE {text} END"
+
+
 # Conversations as messages. A user who goes on after the third turn has changed the user name. Offsets are one or two
 # hours by turn; some messages are null or blank.
 MESSAGES = """

@@ -1,7 +1,10 @@
 """Column functions over free text. All of them stay inside the JVM."""
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # German number words and what they stand for.
 NUMBER_WORDS = {
@@ -126,29 +129,31 @@ def is_number_like(token: Column) -> Column:
     return token.rlike(rf"^[+\-±~]?{digits}(/{digits})?$") | F.lower(token).isin(list(NUMBER_WORDS))
 
 
-def spread(docs: DataFrame, key: list[str]) -> DataFrame:
-    """Whole texts over all shuffle partitions before each becomes many rows.
+def spread(docs: DataFrame) -> DataFrame:
+    """Texts of an input with fewer partitions than cores are dealt out before each becomes many rows; others stay in place."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
-    The number is explicit because texts are small next to what is cut from them, and adaptive coalescing would
-    put them back together.
-    """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartition(partitions, *key)
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _ends(lengths: pd.Series) -> pd.Series:
+    """Running sums of each row's lengths."""
+    return lengths.map(lambda n: np.cumsum(n, dtype=np.int32))
 
 
 def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """One row per token: key, idx (from 0), token, start, end (exclusive).
 
     Each match carries the white space before it, so matches tile the text and a running sum of their
-    lengths is the token end. The shuffle moves whole texts; tokens are only sorted where they arise.
+    lengths is the token end. All of it happens inside the row of the text, without a shuffle.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(TOKEN_WITH_GAP_PATTERN), F.lit(0))
-    exploded = spread(docs.select(*key, text), key).select(*key, F.posexplode(pieces).alias("idx", "piece"))
-    upto = Window.partitionBy(*key).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = spread(docs.select(*key, text)).filter(F.col(text).isNotNull()).select(*key, pieces.alias("piece"))
+    placed = cut.withColumn("end", _ends(F.transform("piece", lambda p: F.length(p))))
+    exploded = placed.select(*key, F.posexplode(F.arrays_zip("piece", "end")).alias("idx", "at"))
     token = F.regexp_replace("piece", f"^{_SPACE}+", "")
-    end = F.sum(F.length("piece")).over(upto).cast("int")
     return (
-        exploded.withColumn("end", end)
+        exploded.select(*key, "idx", "at.piece", "at.end")
         .withColumn("token", token)
         .select(*key, "idx", "token", (F.col("end") - F.length("token")).alias("start"), "end")
     )

@@ -3,7 +3,8 @@
 Only clusters joined by an edge (a pair of points nearer than the cut) can ever merge, so the connected
 components of the edge graph are clustered on their own. Components of moderate size are finished by one
 grouped map; larger ones by rounds of joins in which all mutually nearest clusters merge at once. For single,
-complete and average linkage that gives the same partition as merging one pair at a time.
+complete and average linkage that gives the same partition as merging one pair at a time: both ways compare
+distances rounded to DECIMALS and order equal ones by the smaller, then the larger cluster name.
 """
 
 import numpy as np
@@ -17,6 +18,8 @@ from stallbook.scratch import cut_lineage
 
 # Largest component that one task clusters in memory; larger ones go through the join rounds.
 LOCAL_POINTS = 1024
+# Distances count as equal if they agree to this many decimals; sums in another order differ far below that.
+DECIMALS = 9
 
 
 def _merge_locally(units: np.ndarray, sizes: np.ndarray, linkage: str, threshold: float) -> np.ndarray:
@@ -26,8 +29,9 @@ def _merge_locally(units: np.ndarray, sizes: np.ndarray, linkage: str, threshold
     group = np.arange(len(units))
     weight = sizes.astype(float)
     while len(units) > 1:
-        i, j = divmod(int(distance.argmin()), len(units))
-        if not distance[i, j] < threshold:
+        shown = np.round(distance, DECIMALS)
+        i, j = divmod(int(shown.argmin()), len(units))
+        if not shown[i, j] < threshold:
             break
         if linkage == "average":
             merged = (weight[i] * distance[i] + weight[j] * distance[j]) / (weight[i] + weight[j])
@@ -57,7 +61,7 @@ def _average_links(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Mean distance over all point pairs of two clusters, from their vector sums."""
     a = clusters.select(F.col("cluster").alias("a"), F.col("total").alias("t_a"), F.col("n").alias("n_a"))
     b = clusters.select(F.col("cluster").alias("b"), F.col("total").alias("t_b"), F.col("n").alias("n_b"))
-    mean = 1.0 - dot(F.col("t_a"), F.col("t_b")) / (F.col("n_a") * F.col("n_b"))
+    mean = F.round(1.0 - dot(F.col("t_a"), F.col("t_b")) / (F.col("n_a") * F.col("n_b")), DECIMALS)
     return pairs.join(a, "a").join(b, "b").select("a", "b", mean.alias("d"))
 
 
@@ -81,7 +85,7 @@ def _cluster_large(members: DataFrame, edges: DataFrame, linkage: str, threshold
         )
     )
     pairs = cut_lineage(
-        edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("distance").alias("d"), F.lit(1).cast("long").alias("n_edges"))
+        edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("distance", DECIMALS).alias("d"), F.lit(1).cast("long").alias("n_edges"))
     )
     while True:
         links = _average_links(pairs, clusters) if linkage == "average" else _complete_links(pairs, clusters)

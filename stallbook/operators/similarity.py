@@ -1,4 +1,8 @@
-"""Exact similarity joins: all pairs of vectors within a cosine distance, without comparing everything."""
+"""Exact similarity joins: all pairs of vectors within a cosine distance.
+
+Dense vectors are compared block by block; cells that can hold no neighbour are left out, which depends on the data:
+vectors without any grouping are all compared. Sparse vectors meet on their rare terms only.
+"""
 
 import math
 
@@ -10,9 +14,8 @@ from pyspark.sql import functions as F
 from stallbook.functions.vectors import doubles, unit
 from stallbook.scratch import stored
 
-# Rows of one comparison block, and the largest number of cells. Both bound memory, not results.
+# Rows of one comparison block; bounds memory, not results.
 BLOCK_ROWS = 2048
-MAX_CELLS = 1024
 _SLACK = 1e-9
 
 
@@ -25,7 +28,7 @@ def distinct_directions(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _pivots(points: DataFrame, n_cells: int) -> np.ndarray:
-    """A bounded, reproducible sample of points to build cells around."""
+    """A reproducible sample of points to build cells around; their number follows the root of the number of points."""
     rows = points.select("id", "unit", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(n_cells).collect()
     return np.array([r["unit"] for r in rows])
 
@@ -63,8 +66,7 @@ def _blocked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = lambda df, name: df.groupBy("cell").agg(
         F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name)
     )
-    # One row per cell, at most MAX_CELLS.
-    sizes = F.broadcast(blocks(residents, "home_blocks").join(blocks(visitors, "visit_blocks"), "cell"))
+    sizes = blocks(residents, "home_blocks").join(blocks(visitors, "visit_blocks"), "cell")  # one row per cell
     pick = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home_side = residents.join(sizes, "cell").select(
@@ -85,7 +87,7 @@ def cosine_pairs(points: DataFrame, threshold: float, inclusive: bool = False) -
     """All pairs id_a < id_b of distinct unit vectors (id, unit) with cosine distance below `threshold`."""
     points = points.select("id", "unit")
     n = points.count()
-    pivots = _pivots(points, max(1, min(MAX_CELLS, math.ceil(n / BLOCK_ROWS))))
+    pivots = _pivots(points, max(1, math.ceil(math.sqrt(n) / 8)))
     id_type = points.schema["id"].dataType.simpleString()
     schema = f"id_a {id_type}, id_b {id_type}, distance double"
     if not len(pivots):

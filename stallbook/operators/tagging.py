@@ -4,7 +4,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ def longest_pattern(patterns: DataFrame) -> int:
 
 def _words(docs: DataFrame, key: list[str]) -> DataFrame:
     words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
-    return spread(docs.select(*key, "text"), key).select(*key, words.alias("words")).filter(F.size("words") > 0)
+    return spread(docs.select(*key, "text")).select(*key, words.alias("words")).filter(F.size("words") > 0)
 
 
 def _starts(docs: DataFrame, key: list[str], longest: int) -> DataFrame:
@@ -48,22 +48,24 @@ def _starts(docs: DataFrame, key: list[str], longest: int) -> DataFrame:
     return _words(docs, key).select(*key, F.posexplode(ahead).alias("first", "ahead"))
 
 
+def _head(words: Column) -> Column:
+    return F.get(words, F.lit(0))
+
+
+def _heads(patterns: DataFrame) -> DataFrame:
+    """First words of the phrases with the phrases' lengths."""
+    return patterns.groupBy(_head(F.col("tokens")).alias("head")).agg(F.collect_set(F.size("tokens")).alias("lengths"))
+
+
 def dictionary_match(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """All places where a whole phrase occurs: key, first, last (token numbers), label."""
-    lengths = sorted(r[0] for r in patterns.select(F.size("tokens")).distinct().collect()) or [1]
     phrases = patterns.select("label", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("phrase"))
-
-    def grams(n: int):
-        """Runs of n tokens; the run at place i begins with token i."""
-        places = F.sequence(F.lit(1), F.size("words") - (n - 1))
-        run = lambda i: F.array_join(F.slice("words", i, F.lit(n)), " ")
-        return F.when(F.size("words") >= n, F.transform(places, run) if n > 1 else F.col("words"))
-
-    per_length = F.array(*[F.struct(F.lit(n).alias("n"), grams(n).alias("runs")) for n in lengths])
+    heads = _heads(patterns).select("head", F.explode("lengths").alias("n"))
+    # Only places whose first words begin a phrase get any further, and only with that head's lengths.
+    starts = _starts(docs, key, longest_pattern(patterns)).withColumn("head", _head(F.col("ahead"))).join(heads, "head")
     found = (
-        _words(docs, key)
-        .select(*key, F.inline(per_length))
-        .select(*key, "n", F.posexplode("runs").alias("first", "phrase"))
+        starts.filter(F.size("ahead") >= F.col("n"))
+        .select(*key, "first", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("phrase"))
         .join(phrases, ["n", "phrase"])
     )
     return found.select(*key, "first", (F.col("first") + F.col("n") - 1).alias("last"), "label")

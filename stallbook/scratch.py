@@ -1,33 +1,37 @@
 """Shared storage for lineage cuts and intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Where a single machine keeps its tables if the session names no folder, as in tests.
+_SINGLE_MACHINE = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the checkpoint folder the cluster names.
+    """Folder every executor can reach: the checkpoint folder that the session names.
 
-    Only a single-machine session without that setting (tests) gets a folder of its own.
+    A session without that setting gets one only if driver and executors are one process; a cluster has to name its own.
     """
-    configured = spark.conf.get(_CHECKPOINT_DIR, None)
-    if configured:
-        return configured
     context = spark.sparkContext
-    already_set = context._jsc.sc().getCheckpointDir()
-    if already_set.isDefined():
-        return already_set.get()
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="stallbook-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get(_CHECKPOINT_DIR, None) or context.getConf().get(_CHECKPOINT_DIR)
+    if named:
+        return named
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return f"file://{_SINGLE_MACHINE}/{context.applicationId}"
+    raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It belongs to the session: what is written there goes when the session's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place.getParent())
+    system.deleteOnExit(place)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
