@@ -97,6 +97,19 @@ def test_clusters_equal_brute_force(spark, how, local_points, n):
     assert all(min(g) == c for c, g in groups.items())
 
 
+@pytest.mark.parametrize("how", ["average", "complete"])
+def test_ties_merge_alike_in_memory_and_by_joins(spark, how):
+    # Evenly spaced points on arcs: most distances are equal, and every arc is a component of its own.
+    arcs, points, width = 6, 9, 96
+    x = np.zeros((arcs * points, 2 * arcs))
+    for a in range(arcs):
+        angle = 0.2 * np.arange(points)
+        x[a * points : (a + 1) * points, 2 * a : 2 * a + 2] = np.column_stack([np.cos(angle), np.sin(angle)])
+    assert len(x) < width
+    ways = [{r["id"]: r["cluster"] for r in clustering.agglomerative_clusters(table(spark, x), 0.08, how, size).collect()} for size in (1000, 2)]
+    assert ways[0] == ways[1] and 1 < len(set(ways[0].values())) < len(x)
+
+
 def test_small_clusters_and_zero_vectors(spark):
     x = np.array([[1, 0], [1, 0.01], [1, 0.02], [0, 1], [0, 0]])
     found = {r["id"]: r["cluster_id"] for r in clustering.cluster_profiles(table(spark, x), 0.1, min_size=3).collect()}
