@@ -157,7 +157,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Model:
     """Learn from text and lang of the given documents."""
     known = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    # One row for each language. The hash threshold keeps about `documents` rows of each.
+    # One row for each language, as the model has a column for each. The hash threshold keeps about `documents` rows of each.
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     sample = known.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("n")) < documents)
     rows = sample.select("doc_id", "lang", "text").mapInArrow(_stretches, "doc_id long, lang string, words array<binary>").collect()
