@@ -10,26 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stallbook.llm import decontamination, line_dedup, mixing, ngram_join, toxicity
 from stallbook.llm.queries import may_learn
+from stallbook.llm.tokens import small_batches
 from stallbook.scratch import stored
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go. The model learns from the labels that op5 learns from."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, may_learn(spark, sf_dir, 4, 2))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go."""
+    small_batches(spark)
     return line_dedup.drop_repeated_lines(docs)
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more connect, the smallest doc_id stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Text bytes that are worked on at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -18,6 +19,17 @@ for _first, _last in ((b"0", b"9"), (b"a", b"z")):
     _FOLD[_first[0] : _last[0] + 1] = np.arange(_first[0], _last[0] + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
+#: Rows of documents that cross between Spark and Python at once. Texts can be long, and every task holds such a batch on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to BATCH_ROWS; a smaller one stays."""
+    now = int(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
 
 @dataclass
 class Words:
