@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stallbook.catalog import inputs
 from stallbook.catalog.inputs import DOC_RELATIONS_SQL, DOCS_SQL, MESSAGE_SPANS_SQL, SPANS_SQL, USER_NAME_SQL
+from stallbook.catalog.profile_queries import adjacent_sql
 from stallbook.catalog.registry import flat, query, r6
 from stallbook.functions.text import (
     NUMBER_WORDS,
@@ -561,15 +562,43 @@ def a22(spark, folder):
     return scores.withColumns({c: r6(c) for c in ("precision", "recall", "f1", "misaligned")})
 
 
+# Pairs of both kinds with their features and whether the gold relations join them.
+D5_KINDS = (("PROD", "MONEY", "PROD_PRICE"), ("MONEY", "CRIT", "PRICE_CRIT"))
+
+
+def labelled_pairs(spark, folder, head, tail, label):
+    pairs = evaluation.pair_features(pairing.adjacent_candidates(inputs.entities(spark, folder), pair=(head, tail)))
+    gold = inputs.relations(spark, folder).filter(F.col("label") == label)
+    return evaluation.label_pairs(pairs, gold).withColumn("label", F.lit(label))
+
+
+def _features_sql(head, tail, label):
+    return f"""(WITH {adjacent_sql(head, tail)}, gold AS (SELECT DISTINCT chat_id, message_id, h_s, h_e, t_s FROM ({gold_ends_sql(label)}))
+      SELECT '{label}' AS label, p.chat_id, p.message_id, p.s AS start_at, p.e AS end_at, p.text, p.price_s AS price_start,
+        CAST(abs(p.price_s - p.e) AS DOUBLE) AS distance, CAST(is_after AS DOUBLE) AS is_after, CAST(length(p.text) AS DOUBLE) AS product_length,
+        CAST(length(p.price_text) AS DOUBLE) AS price_length, CAST(gold.h_s IS NOT NULL AS INT) + 0.0 :: DOUBLE AS related
+      FROM pairs p LEFT JOIN gold ON p.chat_id = gold.chat_id AND p.message_id = gold.message_id AND p.s = gold.h_s AND p.e = gold.h_e AND p.price_s = gold.t_s)"""
+
+
+def gold_ends_sql(label):
+    head, tail = {"PROD_PRICE": ("prod", "money"), "PRICE_CRIT": ("money", "crit")}[label]
+    return f"""SELECT chat_id, message_id, {head}_at AS h_s, {head}_at + CAST(length({head}) AS INT) AS h_e, {tail}_at AS t_s
+      FROM lines WHERE money IS NOT NULL AND {tail} IS NOT NULL"""
+
+
+@query("d5_pair_features", " UNION ALL ".join(f"SELECT * FROM {_features_sql(*kind)}" for kind in D5_KINDS))
+def d5_features(spark, folder):
+    first, second = (labelled_pairs(spark, folder, *kind) for kind in D5_KINDS)
+    columns = ["label", "chat_id", "message_id", "start", "end", "text", "price_start", *evaluation.PAIR_FEATURES, "related"]
+    return flat(first.select(columns).unionByName(second.select(columns)))
+
+
 @query("d5_score_relations")
 def d5(spark, folder):
-    pairs = evaluation.pair_features(pairing.adjacent_candidates(inputs.entities(spark, folder)))
-    gold = inputs.relations(spark, folder).filter("label = 'PROD_PRICE'")
-    labelled = stored(evaluation.label_pairs(pairs, gold), "pairs")
-    scored = evaluation.score_relations(labelled, labelled)
-    return scored.groupBy("related").agg(
-        F.count("*").alias("n"), F.count_if(F.col("probability").between(0, 1)).alias("n_scored")
-    )
+    """Scores of all pairs of both kinds, each kind with a model of its own; the pairs themselves are checked by d5_pair_features."""
+    scored = [evaluation.score_relations(p, p) for p in (stored(labelled_pairs(spark, folder, *kind), "pairs") for kind in D5_KINDS)]
+    columns = ["label", "chat_id", "message_id", "start", "end", "text", "price_start", "related", r6("probability").alias("probability")]
+    return flat(scored[0].select(columns).unionByName(scored[1].select(columns)))
 
 
 # --- vectors in context -------------------------------------------------------------------------------

@@ -108,20 +108,41 @@ def j4(spark, folder):
     return pairing.candidate_counts(inputs.entities(spark, folder))
 
 
-@query(
-    "j4_adjacent_candidates",
-    f"""WITH {NEAR_SQL}, p AS (SELECT DISTINCT chat_id, message_id, s, e, text FROM prods),
+def adjacent_sql(head, tail):
+    return f"""{ENTITIES_SQL}, p AS (SELECT DISTINCT chat_id, message_id, s, e, text FROM ents WHERE label = '{head}'),
+        other AS (SELECT chat_id, message_id, s, e, text, pos FROM ents WHERE label = '{tail}'),
         sided AS (SELECT p.*, m.text AS price_text, m.s AS price_s, CAST(m.s > p.e AS INT) AS is_after, m.pos, m.e AS price_e
-          FROM p JOIN money m ON p.chat_id = m.chat_id AND p.message_id = m.message_id),
+          FROM p JOIN other m ON p.chat_id = m.chat_id AND p.message_id = m.message_id),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY chat_id, message_id, s, e, text, is_after
-          ORDER BY abs(price_s - e), pos, price_e, price_text) AS rk FROM sided)
-        SELECT chat_id, message_id, s AS start_at, e AS end_at, text, is_after, price_text, price_s AS price_start
-        FROM ranked WHERE rk = 1""",
-)
-def j4_adjacent(spark, folder):
-    pairs = pairing.adjacent_candidates(inputs.entities(spark, folder))
-    shown = pairs.withColumns({"price_text": F.col("price.text"), "price_start": F.col("price.start")}).drop("price")
-    return flat(shown)
+          ORDER BY abs(price_s - e), pos, price_e, price_text) AS rk FROM sided),
+        pairs AS (SELECT chat_id, message_id, s, e, text, is_after, price_text, price_s FROM ranked WHERE rk = 1)"""
+
+
+PAIR_KINDS = {"candidates": ("PROD", "MONEY", "PROD_PRICE"), "lengths": ("MONEY", "CRIT", "PRICE_CRIT")}
+for _name, (_head, _tail, _label) in PAIR_KINDS.items():
+
+    def _j4(spark, folder, pair=(_head, _tail)):
+        pairs = pairing.adjacent_candidates(inputs.entities(spark, folder), pair=pair)
+        shown = pairs.withColumns({"price_text": F.col("price.text"), "price_start": F.col("price.start")}).drop("price")
+        return flat(shown)
+
+    query(
+        f"j4_adjacent_{_name}",
+        f"""WITH {adjacent_sql(_head, _tail)} SELECT chat_id, message_id, s AS start_at, e AS end_at, text, is_after, price_text,
+            price_s AS price_start FROM pairs""",
+    )(_j4)
+
+    def _j4_missed(spark, folder, pair=(_head, _tail), label=_label):
+        gold = inputs.relations(spark, folder).filter(F.col("label") == label)
+        return pairing.missed_relations(pairing.adjacent_candidates(inputs.entities(spark, folder), pair=pair), gold)
+
+    query(
+        f"j4_missed_{_name}",
+        f"""WITH {adjacent_sql(_head, _tail)}, rels AS{RELATIONS_SQL.split(", rels AS", 1)[1]}, built AS (SELECT DISTINCT chat_id, message_id, s, e, price_s FROM pairs)
+            SELECT count(*) AS n_gold, count(*) FILTER (built.s IS NULL) AS n_missed FROM rels r LEFT JOIN built ON r.chat_id = built.chat_id
+              AND r.message_id = built.message_id AND r.head_s = built.s AND r.head_e = built.e AND r.tail_s = built.price_s
+            WHERE r.label = '{_label}'""",
+    )(_j4_missed)
 
 
 # --- messages and annotated messages ------------------------------------------------------------------

@@ -22,6 +22,7 @@ NO_CLUSTER, EMPTY_PROFILE, NO_NAME = "NO_CLUSTER", "EMPTY_PROFILE", "NO_NAME"
 
 # Classes compared at once by the silhouette; further classes are handled in further passes.
 CLASS_CHUNK = 2048
+ROW_CHUNK = 8192
 
 
 def cluster_sizes(clusters: DataFrame, min_size: int) -> DataFrame:
@@ -119,48 +120,37 @@ def silhouette_samples(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
     """id, class, silhouette from the class sums alone: no pair of rows is formed.
 
     `cosine` equals the pairwise definition. `sqeuclidean` uses squared distances. A class of one scores 0.
-    `vectors` has id, class, vector; class tables beyond CLASS_CHUNK rows are compared in several passes.
+    `vectors` has id, class, vector.
     """
     v = doubles(F.col("vector"))
     rows = vectors.select("id", "class", (unit(v) if metric == "cosine" else v).alias("vector"))
     rows = rows.withColumn("square", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     sums = stored(sum_vectors(rows, ["class"]), "classes")
-    n_classes = sums.count()
-    n_chunks = max(1, -(-n_classes // CLASS_CHUNK))
-    class_type = rows.schema["class"].dataType.simpleString()
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, class {class_type}, a double, b double"
-    partial = None
-    for chunk in range(n_chunks):
-        part = sums.filter(F.pmod(F.xxhash64("class"), F.lit(n_chunks)) == chunk).collect()
-        if not part:
-            continue
-        names = np.array([r["class"] for r in part], dtype=object)
-        n = np.array([r["n"] for r in part], dtype=float)
-        squares = np.array([r["squares"] for r in part], dtype=float)
-        totals = np.array([r["total"] for r in part], dtype=float)
-
-        def score(batches, names=names, n=n, squares=squares, totals=totals):
-            for batch in batches:
-                x, square = np.stack(batch["vector"].to_numpy()), batch["square"].to_numpy()
-                dots = x @ totals.T
-                if metric == "cosine":
-                    summed, to_itself = n - dots, 1.0 - square
-                else:
-                    summed, to_itself = n * square[:, None] + squares - 2.0 * dots, np.zeros(len(x))
-                own = batch["class"].to_numpy()[:, None] == names[None, :]
-                others = np.maximum(n - 1.0, 1.0)
-                inside = np.where(own & (n > 1.0), (summed - to_itself[:, None]) / others, -np.inf)
-                outside = np.where(own, np.inf, summed / n)
-                yield pd.DataFrame(
-                    {"id": batch["id"], "class": batch["class"], "a": inside.max(axis=1), "b": outside.min(axis=1)}
-                )
-
-        scored = rows.mapInPandas(score, schema)
-        partial = scored if partial is None else partial.unionByName(scored)
-    if partial is None:
-        partial = rows.select("id", "class", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    best = partial if n_chunks == 1 else partial.groupBy("id", "class").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    rows = stored(rows, "silhouette_rows")
+    row_blocks, class_blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, ROW_CHUNK), (sums, CLASS_CHUNK)))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, class {rows.schema['class'].dataType.simpleString()}, a double, b double"
+
+    def score(batch: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        if not len(batch) or not len(classes):
+            return pd.DataFrame({"id": [], "class": [], "a": [], "b": []})
+        x, square, n = np.stack(batch["vector"].to_numpy()), batch["square"].to_numpy(), classes["n"].to_numpy(dtype=float)
+        dots = x @ np.stack(classes["total"].to_numpy()).T
+        if metric == "cosine":
+            summed, to_itself = n - dots, 1.0 - square
+        else:
+            summed, to_itself = n * square[:, None] + classes["squares"].to_numpy() - 2.0 * dots, np.zeros(len(x))
+        own = batch["class"].to_numpy()[:, None] == classes["class"].to_numpy()[None, :]
+        inside = np.where(own & (n > 1.0), (summed - to_itself[:, None]) / np.maximum(n - 1.0, 1.0), -np.inf)
+        outside = np.where(own, np.inf, summed / n)
+        return pd.DataFrame({"id": batch["id"], "class": batch["class"], "a": inside.max(axis=1), "b": outside.min(axis=1)})
+
+    # A block of rows meets a block of class sums in one task; neither side is ever whole in one place.
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    left = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).alias("rows_of"), every(class_blocks, "classes_of"))
+    right = sums.select("*", F.pmod(F.xxhash64("class"), F.lit(class_blocks)).alias("classes_of"), every(row_blocks, "rows_of"))
+    key = ["rows_of", "classes_of"]
+    partial = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, schema)
+    best = partial.groupBy("id", "class").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     ratio = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     score = F.when(F.col("b") == float("inf"), None).when(F.col("a") == float("-inf"), 0.0).otherwise(ratio)
     return best.select("id", "class", score.alias("silhouette"))

@@ -7,21 +7,21 @@ from stallbook.functions.neighbors import closer, neighbors_in
 from stallbook.schemas import CANDIDATE_LABELS, MESSAGE_KEY, MONEY, PROD, PROD_PRICE
 
 
-def _nearest_positions(entities: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct product ends with the price starts around them.
+def _nearest_positions(entities: DataFrame, key: list[str], head: str = PROD, tail: str = MONEY) -> DataFrame:
+    """Distinct ends of `head` entities with the starts of `tail` entities around them.
 
     Positions are reduced to one row before the window, so a message is never larger than its text however
     many entities repeat in it.
     """
-    is_product = F.col("label") == PROD
+    is_head = F.col("label") == head
     point = F.struct("start", "pos", "end", "text")
     both = (
-        entities.filter(F.col("label").isin(PROD, MONEY))
+        entities.filter(F.col("label").isin(head, tail))
         .select(
             *key,
-            is_product.cast("int").alias("probe"),
-            F.when(is_product, F.col("end")).otherwise(F.col("start")).alias("at"),
-            F.when(~is_product, point).alias("point"),
+            is_head.cast("int").alias("probe"),
+            F.when(is_head, F.col("end")).otherwise(F.col("start")).alias("at"),
+            F.when(~is_head, point).alias("point"),
         )
         .groupBy(*key, "probe", "at")
         .agg(F.min("point").alias("point"))
@@ -80,10 +80,13 @@ def candidate_counts(entities: DataFrame, pairs=CANDIDATE_LABELS, key: list[str]
     return counts.select(*key, F.inline(combos)).filter("n_pairs > 0")
 
 
-def adjacent_candidates(entities: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
-    """Product and price pairs worth scoring: each distinct product with the nearest price on either side."""
-    near = _nearest_positions(entities, key)
-    products = entities.filter(F.col("label") == PROD).select(*key, "start", "end", "text").distinct()
+def adjacent_candidates(entities: DataFrame, key: list[str] = MESSAGE_KEY, pair: tuple[str, str] = (PROD, MONEY)) -> DataFrame:
+    """Pairs worth scoring: each distinct entity of the first label (columns start, end, text) with the nearest one of the second on
+    either side (column price). Relations to an entity farther away are not among them; `missed_relations` counts these.
+    """
+    head, tail = pair
+    near = _nearest_positions(entities, key, head, tail)
+    products = entities.filter(F.col("label") == head).select(*key, "start", "end", "text").distinct()
     sides = F.array(
         F.struct(F.lit(0).alias("is_after"), F.col("before").alias("price")),
         F.struct(F.lit(1).alias("is_after"), F.col("after").alias("price")),
@@ -95,6 +98,14 @@ def adjacent_candidates(entities: DataFrame, key: list[str] = MESSAGE_KEY) -> Da
     )
 
 
+def missed_relations(candidates: DataFrame, relations: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
+    """One row: gold relations, and those of them that no candidate pair joins."""
+    ends = [F.col("head.start").alias("start"), F.col("head.end").alias("end"), F.col("tail.start").alias("price_start")]
+    gold = relations.select(*key, *ends)
+    built = candidates.select(*key, "start", "end", F.col("price.start").alias("price_start"), F.lit(1).alias("built")).distinct()
+    return gold.join(built, [*key, "start", "end", "price_start"], "left").agg(F.count("*").alias("n_gold"), F.count_if(F.col("built").isNull()).alias("n_missed"))
+
+
 def _pair_key(r: Column | None = None) -> list[Column]:
     """Both ends of a relation, smaller range first, so that the direction does not matter."""
     one = F.struct(F.col("start1").alias("start"), F.col("end1").alias("end"))

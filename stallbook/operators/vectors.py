@@ -1,5 +1,7 @@
 """Vectors of items, profiles and classes, and how well classes separate."""
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -8,6 +10,10 @@ from pyspark.sql import functions as F
 from stallbook.functions.text import tokens_of
 from stallbook.functions.vectors import cosine_distance, doubles, dot, is_zero, mean_vectors, sum_vectors, unit
 from stallbook.operators.tfidf import product_frequencies, weighted_mentions
+from stallbook.scratch import stored
+
+# Classes whose sums meet the sums of another block in one task.
+BLOCK_CLASSES = 512
 
 
 def item_vectors(items: DataFrame, token_vectors: DataFrame, item: str = "item") -> DataFrame:
@@ -77,20 +83,33 @@ def cohesion(class_vectors: DataFrame) -> DataFrame:
 
 
 def affinity_matrix(class_vectors: DataFrame) -> DataFrame:
-    """class_a, class_b, value: mean similarity between two classes, cohesion on the diagonal."""
-    cells = _class_sums(class_vectors).select("class", "n", "squares", F.posexplode("total").alias("dim", "x"))
-    a = cells.withColumnsRenamed({"class": "class_a", "n": "n_a", "x": "x_a"})
-    b = cells.drop("squares").withColumnsRenamed({"class": "class_b", "n": "n_b", "x": "x_b"})
-    sums = (
-        a.join(b, "dim")
-        .groupBy("class_a", "class_b", "n_a", "n_b", "squares")
-        .agg(F.sum(F.col("x_a") * F.col("x_b")).alias("s"))
-    )
-    same = F.col("class_a") == F.col("class_b")
-    value = F.when(same, F.try_divide(F.col("s") - F.col("squares"), F.col("n_a") * (F.col("n_a") - 1))).otherwise(
-        F.col("s") / (F.col("n_a") * F.col("n_b"))
-    )
-    return sums.select("class_a", "class_b", value.alias("value"))
+    """class_a, class_b, value: mean similarity between two classes, cohesion on the diagonal.
+
+    The sums of a block of classes meet those of another block in one task; a cell of the matrix is all that leaves it.
+    """
+    sums = stored(_class_sums(class_vectors), "class_sums")
+    blocks = max(1, -(-sums.count() // BLOCK_CLASSES))
+    class_type = sums.schema["class"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("class"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    rows = sums.select("class", "n", "squares", "total", block.alias("block_a"), every.alias("block_b"))
+    columns = sums.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("total").alias("sum"), block.alias("block_b"), every.alias("block_a"))
+
+    def cells(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"class_a": [], "class_b": [], "value": []})
+        total = np.stack(a["total"].to_numpy()) @ np.stack(b["sum"].to_numpy()).T
+        same = a["class"].to_numpy()[:, None] == b["other"].to_numpy()[None, :]
+        pairs = a["n"].to_numpy()[:, None] * (b["m"].to_numpy()[None, :] - same)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(pairs > 0, (total - same * a["squares"].to_numpy()[:, None]) / pairs, np.nan)
+        i, j = np.indices(value.shape)
+        return pd.DataFrame({"class_a": a["class"].to_numpy()[i.ravel()], "class_b": b["other"].to_numpy()[j.ravel()], "value": value.ravel()})
+
+    key = ["block_a", "block_b"]
+    met = rows.groupBy(*key).cogroup(columns.groupBy(*key))
+    found = met.applyInPandas(cells, f"class_a {class_type}, class_b {class_type}, value double")
+    return found.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def coupling(class_vectors: DataFrame) -> DataFrame:
