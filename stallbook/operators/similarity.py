@@ -16,6 +16,8 @@ from stallbook.scratch import stored
 
 # Rows of one comparison block; bounds memory, not results.
 BLOCK_ROWS = 2048
+# Vectors that share a term, on either side of one join key.
+TERM_ROWS = 1024
 _SLACK = 1e-9
 
 
@@ -126,14 +128,14 @@ def sparse_cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     prefix = ranked.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).filter(
         F.col("rest") >= wanted * wanted - _SLACK
     )
-    sides = prefix.select("id", "term")
-    candidates = (
-        sides.withColumnRenamed("id", "id_a")
-        .join(sides.withColumnRenamed("id", "id_b"), "term")
-        .filter("id_a < id_b")
-        .select("id_a", "id_b")
-        .distinct()
-    )
+    # The vectors of a frequent term are cut into blocks, and each pair of blocks is a join key of its own.
+    sides = stored(prefix.select("id", "term"), "prefixes")
+    blocks = sides.groupBy("term").agg(F.ceil(F.count("*") / TERM_ROWS).cast("int").alias("blocks"))
+    cut = sides.join(blocks, "term").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = cut.select("term", F.col("id").alias("id_a"), F.col("block").alias("block_a"), every.alias("block_b"))
+    second = cut.select("term", F.col("id").alias("id_b"), F.col("block").alias("block_b"), every.alias("block_a"))
+    candidates = first.join(second, ["term", "block_a", "block_b"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
     a = weights.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("w_a"))
     b = weights.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("w_b"))
     return (
