@@ -132,7 +132,7 @@ def silhouette_samples(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
 
     def score(batch: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
         if not len(batch) or not len(classes):
-            return pd.DataFrame({"id": [], "class": [], "a": [], "b": []})
+            return pd.DataFrame()  # no rows
         x, square, n = np.stack(batch["vector"].to_numpy()), batch["square"].to_numpy(), classes["n"].to_numpy(dtype=float)
         dots = x @ np.stack(classes["total"].to_numpy()).T
         if metric == "cosine":

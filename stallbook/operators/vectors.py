@@ -97,7 +97,7 @@ def affinity_matrix(class_vectors: DataFrame) -> DataFrame:
 
     def cells(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"class_a": [], "class_b": [], "value": []})
+            return pd.DataFrame()  # no rows
         total = np.stack(a["total"].to_numpy()) @ np.stack(b["sum"].to_numpy()).T
         same = a["class"].to_numpy()[:, None] == b["other"].to_numpy()[None, :]
         pairs = a["n"].to_numpy()[:, None] * (b["m"].to_numpy()[None, :] - same)

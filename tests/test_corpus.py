@@ -69,7 +69,7 @@ def test_split_is_exact_and_repeatable(spark):
     assert sorted(found.collect()) != sorted(other.collect())
 
 
-@pytest.mark.parametrize("n, dev, test", [(40, 0.7, 0.6), (3, 0.4, 0.4), (12, 0.3, 0.0)])
+@pytest.mark.parametrize("n, dev, test", [(40, 0.7, 0.6), (2, 0.4, 0.4), (12, 0.3, 0.0)])
 def test_impossible_splits(n, dev, test):
     with pytest.raises(ValueError, match="cannot be cut"):
         corpus.cut_ranks(n, dev, test)

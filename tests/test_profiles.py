@@ -9,7 +9,7 @@ from stallbook.plans import jobs
 from stallbook.sources import chats, profiles
 
 USER = "struct<id: string, first_name: string, last_name: string, username: string, phone: string>"
-ANNOTATED = f"""chat_id string, message_id long, user {USER}, ts_local timestamp_ntz, text string,
+ANNOTATED = f"""chat_id string, message_id long, user {USER}, ts timestamp, ts_local timestamp_ntz, text string,
     spans array<struct<start: int, end: int, label: string>>,
     relations array<struct<start1: int, end1: int, start2: int, end2: int, label: string>>"""
 
@@ -30,7 +30,7 @@ def annotated(spark):
         ("c", 4, user(2), t(2), " \n", [], []),
         ("c", 5, user(2), t(3), None, [], []),
     ]
-    return spark.createDataFrame(data, ANNOTATED)
+    return spark.createDataFrame([(*row[:3], row[3], *row[3:]) for row in data], ANNOTATED)
 
 
 def test_summary_per_full_user(annotated):
@@ -70,14 +70,17 @@ def test_profile_lookup(annotated):
 
 
 def test_large_profiles_are_stored_in_parts(spark, annotated, tmp_path, rows):
-    named = annotated.withColumn("user", F.concat_ws("/", "user.id", "user.username"))
-    components = jobs.profile_components(jobs.extract_profiles(named))
-    nested = profiles.nest_profiles(components, messages.users_of(named), rows_per_part=2)
-    assert nested.filter("user = '1'").count() > 1
-    assert nested.filter("user = '2' AND size(components) = 0").count() == 1
+    components = jobs.profile_components(jobs.extract_profiles(annotated))
+    nested = profiles.nest_profiles(components, messages.users_of(annotated), rows_per_part=2)
+    assert nested.filter("user.id = '1' AND user.username IS NULL").count() > 1
+    # The lookup returns every part of the first user with that id, and nothing of the renamed one.
+    whole = components.filter("user.id = '1' AND user.username IS NULL").count()
+    assert profiles.components_in(messages.profile_for(nested, user_id="1")).count() == whole
     profiles.write_profiles(nested, str(tmp_path / "p"))
     back = profiles.components_in(profiles.read_profiles(spark, str(tmp_path / "p")))
     assert rows(back) == rows(components.select(back.columns))
+    assert rows(jobs.relations_of(back).select("head.text", "tail.text", "label")) == [("Netflix", "5€", "PROD_PRICE")]
+    assert sorted(r["n_products"] for r in jobs.summaries_of(back).collect()) == [0, 0, 2]
 
 
 def export(n_declared, texts, offset="+0200"):
@@ -98,6 +101,33 @@ def test_chat_file(spark, tmp_path):
     assert chats.read_chat(spark, str(tmp_path)).select(F.hour("ts")).first()[0] == 21
 
 
+def test_two_exports_of_one_file_are_two_chats(spark, tmp_path):
+    (tmp_path / "two.jsonl").write_text("\n".join(json.dumps(export(1, [t])) for t in ("a", "b")))
+    found = chats.read_chat(spark, str(tmp_path), multi_line=False).collect()
+    assert {r["text"] for r in found} == {"a", "b"} and len({r["chat_id"] for r in found}) == 2
+    assert all(r["chat_id"].startswith("two.jsonl#") for r in found)
+
+
+@pytest.mark.parametrize("offset, hour", [("+02:00", 21), ("+0200", 21), ("+02", 21), ("Z", 23), ("", 23), (".250+02:00", 21), ("-0130", 25)])
+def test_iso_stamps(spark, tmp_path, offset, hour):
+    (tmp_path / "a.json").write_text(json.dumps(export(1, ["a"], offset)))
+    found = chats.read_chat(spark, str(tmp_path)).select(F.hour("ts"), F.hour("ts_local")).first()
+    assert tuple(found) == (hour % 24, 23)
+
+
+def test_unreadable_stamp_names_the_message(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(export(1, ["a"], " tomorrow")))
+    with pytest.raises(PySparkException, match="in message 0"):
+        chats.read_chat(spark, str(tmp_path)).collect()
+
+
+def test_post_times_are_instants(spark, annotated):
+    twice = annotated.filter("message_id = 1")
+    later = twice.withColumn("ts", F.expr("ts + INTERVAL '1' HOUR"))
+    assert summaries.post_times(twice.unionByName(later)).count() == 2
+    assert summaries.post_times(twice.unionByName(twice)).count() == 1
+
+
 def test_wrong_message_count(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(export(3, ["a"])))
     exports = chats.read_exports(spark, str(tmp_path))

@@ -89,3 +89,9 @@ def test_reports(spark):
     aligned = gold.withColumn("aligned", F.col("first") == 0)
     scores = evaluation.rule_scores(predicted, gold, ["id", "first", "last"], aligned)
     assert scores.select("misaligned").distinct().first()[0] == pytest.approx(1 / 3)
+
+
+def test_annotate_skips_null_and_blank_messages(spark):
+    messages = spark.createDataFrame([(1, "zwei 3,5"), (2, None), (3, " \n")], "id long, text string")
+    found = tagging.annotate(messages, tagging.number_annotator, ["id"]).select("id", "text").collect()
+    assert [tuple(r) for r in found] == [(1, "zwei"), (1, "3,5")]

@@ -81,3 +81,11 @@ def test_tokens_keep_their_places(spark):
     assert [r["token"] for r in found] == ["Air", "-", "Max", "1.50", "€", ",", "neu", "😀", "!", "Ende"]
     assert all(raw[r["start"] : r["end"]] == r["token"] for r in found)
     assert [r["idx"] for r in found] == list(range(10))
+
+
+def test_numbers_are_not_java_literals(spark):
+    from stallbook.functions.text import is_float
+
+    given = {"1": True, "-2.5": True, ".5": True, "3.": True, "1e3": True, "1d": False, "1f": False, "2.0D": False, "": False, "x": False, "1,5": False}
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    assert {r["t"]: r["f"] for r in df.select("t", is_float(F.col("t")).alias("f")).collect()} == given
