@@ -19,19 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        return f"file://{_SINGLE_MACHINE}/{context.applicationId}"
+        return f"file://{_SINGLE_MACHINE}"
     raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. It belongs to the session: what is written there goes when the session's process ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(place.getParent())
-    system.deleteOnExit(place)
-    return path
+    """A new path in the session's own folder of the shared storage. That folder goes when the session's process ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/stallbook-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
