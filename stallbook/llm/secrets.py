@@ -73,10 +73,9 @@ def _matches(docs: DataFrame) -> DataFrame:
     for pattern in (*_LONG.values(), _TOKEN):
         some = some | F.regexp_like(text, F.lit(pattern))
     hits = rows.filter(some).dropDuplicates(["doc_id", "row"])
-    exploded = None
-    for kind, pattern, group in patterns:
-        part = hits.select("doc_id", "row", F.posexplode(_found(text, kind, pattern, group)).alias("place", "m"))
-        exploded = part if exploded is None else exploded.unionByName(part)
+    # One pass over a text for all kinds; places rise within a kind.
+    found = F.concat(*(_found(text, kind, pattern, group) for kind, pattern, group in patterns))
+    exploded = hits.select("doc_id", "row", F.posexplode(found).alias("place", "m"))
     so_far = Window.partitionBy("doc_id", "row", "m.kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.char_length("m.found")
     placed = exploded.withColumn("end", F.sum(F.col("m.before") + length).over(so_far))
