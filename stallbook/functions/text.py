@@ -1,7 +1,10 @@
 """Column functions over free text. All of them stay inside the JVM."""
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,10 +138,21 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _ends(lengths: pd.Series) -> pd.Series:
-    """Running sums of each row's lengths."""
-    return lengths.map(lambda n: np.cumsum(n, dtype=np.int32))
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a list of pieces as one row per piece: the other columns, idx, piece, end."""
+    for batch in batches:
+        pieces = batch.column("pieces")
+        counts = pc.list_value_length(pieces).to_numpy()
+        flat = pieces.flatten()
+        upto = np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(counts)), counts)
+        before = np.concatenate([[0], upto])[first[owner]]
+        rest = [batch.column(c).take(pa.array(owner)) for c in batch.schema.names[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [*rest, pa.array((np.arange(len(owner)) - first[owner]).astype(np.int32)), flat, pa.array((upto - before).astype(np.int32))],
+            [*batch.schema.names[:-1], "idx", "piece", "end"],
+        )
 
 
 def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -148,12 +162,8 @@ def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     lengths is the token end. All of it happens inside the row of the text, without a shuffle.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(TOKEN_WITH_GAP_PATTERN), F.lit(0))
-    cut = spread(docs.select(*key, text)).filter(F.col(text).isNotNull()).select(*key, pieces.alias("piece"))
-    placed = cut.withColumn("end", _ends(F.transform("piece", lambda p: F.length(p))))
-    exploded = placed.select(*key, F.posexplode(F.arrays_zip("piece", "end")).alias("idx", "at"))
+    cut = spread(docs.select(*key, text)).filter(F.col(text).isNotNull()).select(*key, pieces.alias("pieces"))
+    fields = [f for f in cut.schema.fields if f.name != "pieces"]
+    tiled = cut.mapInArrow(_tile, T.StructType(fields).add("idx", T.IntegerType()).add("piece", T.StringType()).add("end", T.IntegerType()))
     token = F.regexp_replace("piece", f"^{_SPACE}+", "")
-    return (
-        exploded.select(*key, "idx", "at.piece", "at.end")
-        .withColumn("token", token)
-        .select(*key, "idx", "token", (F.col("end") - F.length("token")).alias("start"), "end")
-    )
+    return tiled.withColumn("token", token).select(*key, "idx", "token", (F.col("end") - F.length("token")).alias("start"), "end")

@@ -89,7 +89,7 @@ def cosine_pairs(points: DataFrame, threshold: float, inclusive: bool = False) -
     """All pairs id_a < id_b of distinct unit vectors (id, unit) with cosine distance below `threshold`."""
     points = points.select("id", "unit")
     n = points.count()
-    pivots = _pivots(points, max(1, math.ceil(math.sqrt(n) / 8)))
+    pivots = _pivots(points, max(1, math.ceil(math.sqrt(n) / 32)))
     id_type = points.schema["id"].dataType.simpleString()
     schema = f"id_a {id_type}, id_b {id_type}, distance double"
     if not len(pivots):
