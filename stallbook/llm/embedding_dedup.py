@@ -4,9 +4,10 @@
 2. A vector is padded and rotated at random; the signs are its code, and the inner product of the vector with its code is stored as the
    correction factor. A rotated query's inner product with a code, divided by that factor, is an unbiased estimate of the cosine,
    with a known error bound.
-3. Buckets hold vectors that agree in a drawn set of code bits. The number of bits follows the logarithm of the largest label, and the
-   number of sets is chosen so that a pair at the threshold shares a bucket with probability `recall`. A pair is compared in the
-   first bucket it shares, so no pair is formed twice, and buckets are cut into blocks of bounded size.
+3. Buckets hold vectors on the same side of each direction of a key. The number of directions of a key follows the logarithm of the
+   largest label, and the number of keys is chosen so that a pair at the threshold shares a bucket with probability `recall`. All
+   directions of all keys are independent Gaussian ones, so keys fail independently and the probability holds at any size. A pair is
+   compared in the first bucket it shares, so no pair is formed twice, and buckets are cut into blocks of bounded size.
 4. In a task, pairs whose estimate plus error bound stays below the threshold are dropped. All others are recomputed exactly in double
    precision. A task returns for each representative the number of linked vectors and the smallest representative that links
    reach there; pairs are never written.
@@ -55,17 +56,18 @@ def bands(largest: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
 
 
-def _drawn(total: int, bits: int, keys: int) -> np.ndarray:
-    rng = np.random.default_rng(21)
-    return np.stack([rng.choice(total, bits, replace=False) for _ in range(keys)])
+@lru_cache(2)
+def directions(dims: int, bits: int, keys: int) -> np.ndarray:
+    """keys x dims x bits independent Gaussian directions, the same everywhere; each serves one key."""
+    return np.random.default_rng(21).standard_normal((keys, dims, bits), np.float32)
 
 
-def _keys(signs: np.ndarray, drawn: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Bucket keys (row x key) of 0/1 signs; a key belongs to one label and one set of bits."""
-    powers = np.uint64(1) << np.arange(drawn.shape[1], dtype=np.uint64)
-    out = np.empty((len(signs), len(drawn)), np.uint64)
-    for i, places in enumerate(drawn):
-        out[:, i] = (signs[:, places].astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64) + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)
+def _keys(unit: np.ndarray, bits: int, keys: int, label: np.ndarray) -> np.ndarray:
+    """Bucket keys (row x key) of unit vectors; a key belongs to one label and one set of directions."""
+    powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    rows, out = unit.astype(np.float32), np.empty((len(unit), keys), np.uint64)
+    for i, drawn in enumerate(directions(unit.shape[1], bits, keys)):
+        out[:, i] = (rows @ drawn >= 0) @ powers + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)
     out ^= label.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -84,10 +86,11 @@ def _code(threshold: float, largest: int, recall: float):
             dims = np.asarray(batch.column("dims").to_pylist())
             for d in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                turned = _unit(part.column("embedding").to_pylist()) @ rotation(int(d))
+                unit = _unit(part.column("embedding").to_pylist())
+                turned = unit @ rotation(int(d))
                 signs = turned >= 0
                 factor = np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1])
-                keys = _keys(signs, _drawn(turned.shape[1], *bands(largest, threshold, recall)), part.column("label").to_numpy() * 4096 + d)
+                keys = _keys(unit, *bands(largest, threshold, recall), part.column("label").to_numpy() * 4096 + d)
                 codes = np.packbits(signs, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,21 @@ def test_vectors_equal_brute_force(spark):
             assert found[i]["kept"] == (found[i]["component_id"] == i)
 
 
+@pytest.mark.parametrize("largest", [10**3, 10**6, 10**8])
+def test_buckets_hold_pairs_at_the_threshold_at_any_size(largest):
+    rng = np.random.default_rng(6)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 6000, 64)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    n = len(x)
+    table = {"rep": np.arange(n), "copies": np.ones(n, np.int64), "label": np.zeros(n, np.int64), "dims": np.full(n, 64)}
+    keys = []
+    for side in (x, y):
+        batch = pa.RecordBatch.from_pydict(table | {"embedding": pa.array(side.tolist())})
+        keys.append(np.array(next(embedding_dedup._code(0.93, largest, 0.995)(iter([batch]))).column("keys").to_pylist()))
+    assert (keys[0] != keys[1]).all(axis=1).mean() < 0.009  # 0.005 is promised
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     x, y = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 64)))
