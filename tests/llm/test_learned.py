@@ -120,6 +120,24 @@ def test_quality(spark, rows):
     assert all(0 <= s <= 1 for s in found.values()) and set(found) >= {900, 901, 902, 903, None}
 
 
+def test_ranking_sample_is_whole(spark, monkeypatch):
+    seen = {}
+
+    def rank(x, better, worse):
+        seen.update(rows=len(x), pairs=len(better), features=x.shape[1])
+        return np.zeros(x.shape[1])
+
+    monkeypatch.setattr(quality, "rank", rank)
+    rare = {0: "#", 1: "@"}  # held by one example each
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7000)], "doc_id long, quality int")
+    docs = lambda marks: frame(spark, [(i, f"word {i % 7} more words" + marks.get(i, ""), "en", i % 2) for i in range(7000)])
+    quality.fit(docs({}), labels)
+    assert (seen["rows"], seen["pairs"]) == (7000, 7000 * 8)
+    plain = seen["features"]
+    quality.fit(docs(rare), labels)
+    assert seen["features"] > plain
+
+
 def test_ranking_maximises_the_pair_likelihood():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((60, 3))
