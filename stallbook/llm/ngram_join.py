@@ -9,8 +9,8 @@
 4. A task returns a row for each representative: its number of linked documents and the smallest representative that
    links reach within the task. Pairs are never written, however large a group is.
 
-A pair at the threshold shares no bucket with probability (1 - threshold^ROWS)^BANDS, 6e-5 for 0.8; each comparison step loses
-at most `tolerance`. Nothing is capped: large groups only have more tasks.
+Rows and bands follow from the threshold: a pair at it shares no bucket with probability (1 - threshold^rows)^bands, at most `MISS`;
+each comparison step loses at most `tolerance`. Nothing is capped: large groups only have more tasks.
 
 Defined cases: null or empty texts and texts without words link with nothing. A text of fewer than `n` words has one n-gram, all its
 words. A null doc_id takes no part and has null class_id and copy_of. Rows that share a doc_id are one node and end up in one class.
@@ -31,7 +31,8 @@ from stallbook.llm.tokens import chunks, split_words
 from stallbook.operators.components import connected_components
 from stallbook.scratch import stored
 
-ROWS, BANDS = 6, 32
+#: Probability that a pair at the threshold shares no bucket, and MinHash values of all bands (more where one row a band needs them).
+MISS, VALUES = 6e-5, 192
 #: MinHash values compared one step after the other, and values in a step.
 SKETCH, STEP = 256, 32
 #: Documents and n-grams of a block.
@@ -61,8 +62,20 @@ def _grams(words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _signatures(n: int):
-    factors, mix = _odd(5, ROWS * BANDS), _odd(7, ROWS)
+def rows_and_bands(threshold: float) -> tuple[int, int]:
+    """The most rows of a band, and the bands they need, within `VALUES`."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not in (0, 1]")
+    needed = lambda rows: max(1, math.ceil(math.log(MISS) / math.log1p(-(threshold**rows)))) if threshold**rows < 1 else 1
+    rows = 1
+    while rows < VALUES and (rows + 1) * needed(rows + 1) <= VALUES:
+        rows += 1
+    return rows, needed(rows)
+
+
+def _signatures(n: int, threshold: float):
+    per_band, n_bands = rows_and_bands(threshold)
+    factors, mix = _odd(5, per_band * n_bands), _odd(7, per_band)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -74,16 +87,16 @@ def _signatures(n: int):
                 same = [xxhash.xxh3_128_digest(order[a:b].tobytes()) if b > a else None for a, b in zip(words.starts[:-1], words.starts[1:], strict=True)]
                 grams, starts = _grams(words, n)
                 full = np.flatnonzero(np.diff(starts))
-                bands = np.zeros((len(full), BANDS), np.uint64)
+                bands = np.zeros((len(full), n_bands), np.uint64)
                 hashed = np.empty_like(grams)
                 for k, factor in enumerate(factors if len(full) else ()):
                     np.multiply(grams, factor, out=hashed)
-                    bands[:, k // ROWS] += (np.minimum.reduceat(hashed, starts[full]) >> np.uint64(32)) * mix[k % ROWS]
-                bands += np.arange(BANDS, dtype=np.uint64)  # a key belongs to one band
+                    bands[:, k // per_band] += (np.minimum.reduceat(hashed, starts[full]) >> np.uint64(32)) * mix[k % per_band]
+                bands += np.arange(n_bands, dtype=np.uint64)  # a key belongs to one band
                 bands ^= bands >> np.uint64(31)
                 bands *= np.uint64(0x94D049BB133111EB)
                 offsets = np.zeros(part.num_rows + 1, np.int32)
-                offsets[full + 1] = BANDS
+                offsets[full + 1] = n_bands
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))],
                     ["doc_id", "words", "bands"],
@@ -202,7 +215,7 @@ def candidate_groups(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """doc_id, class_id (smallest doc_id that links reach), copy_of (smallest doc_id with the same words), n_links for each row."""
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    signed = stored(docs.select(F.col("doc_id").cast("long"), binary).mapInArrow(_signatures(n), "doc_id long, words binary, bands array<long>"), "signatures")
+    signed = stored(docs.select(F.col("doc_id").cast("long"), binary).mapInArrow(_signatures(n, threshold), "doc_id long, words binary, bands array<long>"), "signatures")
     classes, nodes = candidate_groups(signed)
 
     wanted = nodes.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "copies")

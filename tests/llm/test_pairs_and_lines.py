@@ -157,6 +157,22 @@ def test_similar_documents_equal_brute_force(spark, texts, monkeypatch, block):
     assert kept.filter("doc_id is null").count() == 1
 
 
+def test_bands_serve_every_threshold(spark):
+    assert ngram_join.rows_and_bands(0.8) == (6, 32)
+    for threshold in (0.01, 0.3, 0.5, 0.6, 0.7, 0.9, 0.99):
+        rows, bands = ngram_join.rows_and_bands(threshold)
+        assert (1 - threshold**rows) ** bands <= ngram_join.MISS * 1.001
+    assert ngram_join.rows_and_bands(1.0)[1] == 1
+    for threshold in (0, -1, 1.1):
+        with pytest.raises(ValueError):
+            ngram_join.rows_and_bands(threshold)
+    # Pairs of 60 words of which the first 46 are equal: 42 of 70 5-grams, a similarity of 0.6.
+    words = lambda i, k, a, b: [f"{k}{i}x{n}" for n in range(a, b)]
+    rows = [(2 * i + side, " ".join(words(i, "w", 0, 46) + words(i, "ab"[side], 0, 14))) for i in range(300) for side in (0, 1)]
+    found = ngram_join.similar_documents(frame(spark, rows), threshold=0.6).collect()
+    assert [r["doc_id"] for r in found if r["n_links"] != 1] == []
+
+
 def test_rows_with_one_doc_id_are_one_node(spark):
     long = " ".join(f"w{n}" for n in range(50))
     docs = frame(spark, [(5, long), (5, long), (9, long + " x"), (5, "something else"), (7, "something else")])
