@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import decontamination, embedding_dedup, language, learning, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
+from stallbook.llm import (
+    conversation_trie,
+    decontamination,
+    embedding_dedup,
+    exact_dedup,
+    language,
+    learning,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    spelling,
+    token_counts,
+    toxicity,
+)
 from stallbook.llm.tokens import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +178,107 @@ FROM roots LEFT JOIN counts USING (vec_id)
 )
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.similar_vectors(table(spark, folder, "embeddings"))
+
+
+# crc32 of a string, byte by byte: SQL engines have none. The parts fit into any expression over a list of bytes.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}), lambda crc, b:
+    list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query(
+    "op11_conversation_trie",
+    """
+WITH RECURSIVE turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS own FROM turns GROUP BY conv_id
+), headed AS (
+    SELECT *, """
+    + _CRC32.format(bytes="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))")
+    + """ % 6 AS h FROM convs
+), rebuilt AS (
+    SELECT a.conv_id, list_concat(coalesce(list_slice(b.own, 1, a.h), []), list_slice(a.own, a.h + 1, len(a.own))) AS seq
+    FROM headed a LEFT JOIN convs b ON b.conv_id = a.conv_id - a.conv_id % 100
+), members AS (
+    SELECT conv_id, len(seq) AS n, d, list_slice(seq, 1, d) AS prefix
+    FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+        (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(prefix[d].text) END AS saved, bool_and(n = d) AS leaf
+    FROM members GROUP BY prefix, d
+), above AS (
+    SELECT conv_id, d, conv_id AS at, d AS at_d, prefix FROM nodes
+    UNION ALL
+    SELECT a.conv_id, a.d, p.conv_id, p.d, p.prefix FROM above a JOIN nodes p ON p.d = a.at_d - 1 AND p.prefix = list_slice(a.prefix, 1, a.at_d - 1)
+), totals AS (
+    SELECT above.at AS conv_id, above.at_d AS d, sum(n.saved) AS saved_tokens, count(*) FILTER (n.leaf) AS n_leaves,
+        count(*) FILTER (n.d = above.at_d + 1) AS n_children
+    FROM above JOIN nodes n ON n.conv_id = above.conv_id AND n.d = above.d GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, t.n_children, t.n_leaves,
+    CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON t.conv_id = n.conv_id AND t.d = n.d
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = list_slice(n.prefix, 1, n.d - 1)
+""",
+)
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"), family=100, heads=6)
+
+
+@query(
+    "op12_exact_dedup",
+    r"""
+WITH t AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY text)
+""",
+)
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.equal_texts(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op13_spelling",
+    r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run
+), summed AS (
+    SELECT run, n, """.replace("\u00C0", chr(0xC0)).replace("\u00FF", chr(0xFF))
+    + _CRC32.format(
+        bytes="""list_transform(range(1, octet_length(encode(CAST(doc_id AS VARCHAR) || ':' || run)) + 1),
+        lambda i: CAST(('0x' || hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)[i:i])) AS BIGINT))"""
+    )
+    + """ AS h FROM counted
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM summed
+    ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), holes AS (
+    SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n FROM holes a JOIN holes b USING (i, rest) WHERE a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word
+), formed AS (
+    SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * words.n THEN form END AS form,
+        CASE WHEN form_n >= 2 * words.n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, word AS root, 0 AS step FROM formed
+    UNION ALL SELECT walk.word, formed.form, step + 1 FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+), roots AS (
+    SELECT word, last(root ORDER BY step) AS root FROM walk GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+""",
+)
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
