@@ -54,7 +54,11 @@ def test_union_of_nothing():
 
 
 # 25 rows: 25 * 0.1 = 2.5 and 25 * 0.5 = 12.5 round to the even neighbour.
-@pytest.mark.parametrize("n, dev, test, cuts", [(25, 0.05, 0.05, (1, 2)), (25, 0.25, 0.25, (6, 12)), (200, 0.1, 0.3, (60, 80)), (7, 0.0, 0.3, (2, 2))])
+# 29 * (0.1 / 0.2) is 14.5 and 43 * (0.1 / 0.2) is 21.5: the quotient comes first.
+CUTS = [(25, 0.05, 0.05, (1, 2)), (25, 0.25, 0.25, (6, 12)), (200, 0.1, 0.3, (60, 80)), (7, 0.0, 0.3, (2, 2)), (213, 0.1, 0.1, (22, 43))]
+
+
+@pytest.mark.parametrize("n, dev, test, cuts", CUTS + [(n, 0.1, 0.1, (14, 29)) for n in range(143, 148)])
 def test_cut_ranks(n, dev, test, cuts):
     assert corpus.cut_ranks(n, dev, test) == cuts
 
