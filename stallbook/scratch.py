@@ -4,22 +4,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CHECKPOINT_DIR = "spark.checkpoint.dir"
-# Where a single machine keeps its tables if the session names no folder, as in tests.
-_SINGLE_MACHINE = "/tmp/checkpoints"
+_CHECKPOINT_DIR, _WAREHOUSE = "spark.checkpoint.dir", "spark.sql.warehouse.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the checkpoint folder that the session names.
 
-    A session without that setting gets one only if driver and executors are one process; a cluster has to name its own.
+    A session without that setting, as in tests, keeps its tables beside its warehouse; a cluster has to name its folder.
     """
     context = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT_DIR, None) or context.getConf().get(_CHECKPOINT_DIR)
     if named:
         return named
     if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        return f"file://{_SINGLE_MACHINE}"
+        return f"{spark.conf.get(_WAREHOUSE)}/_rounds"
     raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
 
 

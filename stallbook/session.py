@@ -1,6 +1,7 @@
 """A Spark session with the settings this library is written for."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,7 +17,7 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def local_session(cpus: str | None = None) -> SparkSession:
-    """Single-machine session for tests and measurements."""
+    """Single-machine session for tests and measurements; its intermediate tables lie in the machine's temporary folder."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -24,6 +25,7 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}")
         .config("spark.log.level", "ERROR")
     )
     return configured(builder).getOrCreate()
