@@ -1,7 +1,7 @@
 """Exact similarity joins: all pairs of vectors within a cosine distance.
 
-Dense vectors are compared block by block; cells that can hold no neighbour are left out, which depends on the data:
-vectors without any grouping are all compared. Sparse vectors meet on their rare terms only.
+Dense vectors lie in the leaves of a pivot tree and are compared leaf by leaf; pairs of leaves that can hold no neighbour are left
+out, which depends on the data: vectors without any grouping are all compared. Sparse vectors meet on their rare terms only.
 """
 
 import math
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallbook.functions.vectors import doubles, unit
+from stallbook.operators.pivot_tree import build_tree, packed, unpacked, visits
 from stallbook.scratch import stored
 
-# Rows of one comparison block; bounds memory, not results.
-BLOCK_ROWS = 2048
+# Blocks of visitors that a task compares with a block of residents, and visitors in one product; bounds memory, not results.
+VISITS, PRODUCT_ROWS = 16, 1024
 # Vectors that share a term, on either side of one join key.
 TERM_ROWS = 1024
 _SLACK = 1e-9
@@ -29,88 +30,71 @@ def distinct_directions(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return points.select(F.col("rep").alias("id"), "unit", "copies"), members
 
 
-def _pivots(points: DataFrame, n_cells: int) -> np.ndarray:
-    """A reproducible sample of points to build cells around; their number follows the root of the number of points."""
-    rows = points.select("id", "unit", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(n_cells).collect()
-    return np.array([r["unit"] for r in rows])
+def _meetings(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Packed blocks of all leaves, and the blocks that come to each leaf, its own included: leaf, own, block, ids, n, data."""
+    tree = build_tree(points)
+    if tree is None:
+        return None
+    blocks = stored(packed(tree), "blocks")
+    coming = visits(tree, blocks, math.sqrt(2.0 * threshold)).select(F.col("at").alias("leaf"), F.lit(False).alias("own"), "block", "ids", "n", "data")
+    at_home = blocks.select("leaf", F.lit(True).alias("own"), "block", "ids", "n", "data")
+    guests = stored(coming.unionByName(at_home), "visits")
+    return blocks, guests
 
 
-def _placed(points: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """Each point with its home cell and the later cells that may hold a neighbour of it.
+def cosine_pairs(points: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
+    """All pairs id_a < id_b of distinct unit vectors (id, unit) with cosine distance below `threshold`.
 
-    Home is the nearest pivot. A point y with home j is at least as near to pivot j as to pivot h, so a point x
-    with home h can be within `radius` of y only if x is within `radius` of the plane halfway between h and j.
+    Leaves of a pivot tree are compared with themselves and with the points that visit them. Every group of visitors is cut, so
+    that a task holds one block of residents and at most VISITS blocks of visitors.
     """
-    squares = (pivots**2).sum(axis=1)
-    gaps = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2.0 * pivots @ pivots.T, 0.0))
-    later = np.triu(np.ones(gaps.shape, dtype=bool), 1)
-
-    def place(batches):
-        for batch in batches:
-            x = np.stack(batch["unit"].to_numpy())
-            squared = 1.0 + squares[None, :] - 2.0 * (x @ pivots.T)
-            home = squared.argmin(axis=1)
-            own = squared[np.arange(len(home)), home]
-            reach = (squared - own[:, None] <= 2.0 * gaps[home] * radius + _SLACK) & later[home]
-            cells = [[int(h), *np.flatnonzero(row).tolist()] for h, row in zip(home, reach)]
-            yield pd.DataFrame({"id": batch["id"], "unit": batch["unit"], "home": home.astype("int32"), "cells": cells})
-
-    schema = f"id {points.schema['id'].dataType.simpleString()}, unit array<double>, home int, cells array<int>"
-    return points.select("id", "unit").mapInPandas(place, schema)
-
-
-def _blocked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Residents and visitors cut into blocks, so that a crowded cell becomes many small comparisons."""
-    residents = placed.select("id", "unit", F.col("home").alias("cell"))
-    visitors = placed.select(
-        F.col("id").alias("visitor"), F.col("unit").alias("direction"), "home", F.explode("cells").alias("cell")
-    )
-    blocks = lambda df, name: df.groupBy("cell").agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name)
-    )
-    sizes = blocks(residents, "home_blocks").join(blocks(visitors, "visit_blocks"), "cell")  # one row per cell
-    pick = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home_side = residents.join(sizes, "cell").select(
-        "cell", pick("id", "home_blocks").alias("home_block"), every("visit_blocks").alias("visit_block"), "id", "unit"
-    )
-    visit_side = visitors.join(sizes, "cell").select(
-        "cell",
-        every("home_blocks").alias("home_block"),
-        pick("visitor", "visit_blocks").alias("visit_block"),
-        "visitor",
-        "direction",
-        "home",
-    )
-    return home_side, visit_side
-
-
-def cosine_pairs(points: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
-    """All pairs id_a < id_b of distinct unit vectors (id, unit) with cosine distance below `threshold`."""
-    points = points.select("id", "unit")
-    n = points.count()
-    pivots = _pivots(points, max(1, math.ceil(math.sqrt(n) / 32)))
     id_type = points.schema["id"].dataType.simpleString()
     schema = f"id_a {id_type}, id_b {id_type}, distance double"
-    if not len(pivots):
+    met = _meetings(points, threshold)
+    if met is None:
         return points.sparkSession.createDataFrame([], schema)
-    placed = stored(_placed(points, pivots, math.sqrt(2.0 * threshold)), "cells")
-    home_side, visit_side = _blocked(placed)
-
-    def compare(home: pd.DataFrame, visit: pd.DataFrame) -> pd.DataFrame:
-        if not len(home) or not len(visit):
-            return pd.DataFrame({"id_a": [], "id_b": [], "distance": []})
-        distance = 1.0 - np.stack(visit["direction"].to_numpy()) @ np.stack(home["unit"].to_numpy()).T
-        near = distance <= threshold if inclusive else distance < threshold
-        v, h = np.nonzero(near)
-        a, b = visit["visitor"].to_numpy()[v], home["id"].to_numpy()[h]
-        same_cell = visit["home"].to_numpy()[v] == visit["cell"].to_numpy()[v]
-        keep = ~same_cell | (a < b)
-        a, b, d = a[keep], b[keep], distance[v, h][keep]
-        return pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "distance": np.maximum(d, 0.0)})
-
-    key = ["cell", "home_block", "visit_block"]
-    return home_side.groupBy(*key).cogroup(visit_side.groupBy(*key)).applyInPandas(compare, schema)
+    blocks, guests = met
+    turns = guests.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("turns"))
+    homes = blocks.groupBy("leaf").agg(F.count("*").cast("int").alias("homes"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = blocks.join(turns, "leaf").select("leaf", F.col("block").alias("home"), every("turns").alias("turn"), "ids", "n", "data")
+    turn = F.pmod(F.xxhash64(F.col("ids")[0], "block"), F.col("turns")).cast("int").alias("turn")
+    visitors = guests.join(turns, "leaf").join(homes, "leaf").select("leaf", every("homes").alias("home"), turn, "own", "block", "ids", "n", "data")
+
+    def compare(home: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for here in home.itertuples(index=False):
+            ids, x = np.asarray(here.ids), unpacked(here.data, here.n)
+            for there in others.itertuples(index=False):
+                if there.own and there.block > here.home:
+                    continue  # two blocks of one leaf meet once
+                same = there.own and there.block == here.home
+                y, theirs = unpacked(there.data, there.n), np.asarray(there.ids)
+                for at in range(0, len(y), PRODUCT_ROWS):
+                    distance = 1.0 - y[at : at + PRODUCT_ROWS] @ x.T
+                    v, h = np.nonzero(distance <= threshold if inclusive else distance < threshold)
+                    a, b, d = theirs[at + v], ids[h], distance[v, h]
+                    keep = a < b if same else np.ones(len(a), bool)
+                    a, b, d = a[keep], b[keep], d[keep]
+                    out.append(pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "distance": np.maximum(d, 0.0)}))
+        return pd.concat(out) if out else pd.DataFrame({"id_a": [], "id_b": [], "distance": []})
+
+    key = ["leaf", "home", "turn"]
+    return residents.groupBy(*key).cogroup(visitors.groupBy(*key)).applyInPandas(compare, schema)
+
+
+def compared_pairs(points: DataFrame, threshold: float) -> DataFrame:
+    """One row of work that `cosine_pairs` does: n_points, n_leaves, n_meetings (of blocks), n_compared (pairs of vectors)."""
+    met = _meetings(points, threshold)
+    if met is None:
+        return points.agg(*(F.lit(0).cast("long").alias(c) for c in ("n_points", "n_leaves", "n_meetings", "n_compared")))
+    blocks, guests = met
+    homes = blocks.groupBy("leaf").agg(F.collect_list(F.struct(F.col("block").alias("home"), F.col("n").alias("n_home"))).alias("homes"))
+    meetings = guests.select("leaf", "own", "block", "n").join(homes, "leaf").select("*", F.inline("homes")).filter("NOT own OR block <= home")
+    pairs = F.when(F.col("own") & (F.col("block") == F.col("home")), F.col("n").cast("long") * (F.col("n") - 1) / 2).otherwise(F.col("n").cast("long") * F.col("n_home"))
+    work = meetings.agg(F.count("*").alias("n_meetings"), F.coalesce(F.sum(pairs), F.lit(0.0)).cast("long").alias("n_compared"))
+    size = blocks.agg(F.sum("n").alias("n_points"), F.countDistinct("leaf").alias("n_leaves"))
+    return size.join(work, how="cross").select("n_points", "n_leaves", "n_meetings", "n_compared")
 
 
 def sparse_cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import clustering, components, linkage, similarity, tfidf, vectors
+from stallbook.operators import clustering, components, linkage, pivot_tree, similarity, tfidf, vectors
 
 
 def cosine(a, b):
@@ -25,9 +25,11 @@ def table(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vector array<double>")
 
 
-@pytest.mark.parametrize("block, threshold", [(2048, 0.2), (7, 0.2), (5, 0.05), (9, 0.9)])
-def test_cosine_pairs_equal_brute_force(spark, monkeypatch, block, threshold):
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("rows_of_leaf, fan, threshold", [(1000, 16, 0.2), (7, 4, 0.2), (5, 3, 0.05), (9, 4, 0.9)])
+def test_cosine_pairs_equal_brute_force(spark, monkeypatch, rows_of_leaf, fan, threshold):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: rows_of_leaf)
+    monkeypatch.setattr(pivot_tree, "FAN", fan)
+    monkeypatch.setattr(similarity, "VISITS", 2)
     x = crowd(1)
     points, members = similarity.distinct_directions(table(spark, x))
     assert members.count() == len(x) and points.agg(F.sum("copies")).first()[0] == len(x)
@@ -38,6 +40,48 @@ def test_cosine_pairs_equal_brute_force(spark, monkeypatch, block, threshold):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_points_that_no_pivot_parts(spark, monkeypatch):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: 5)
+    x = np.ones((23, 3)) + 1e-12 * np.arange(69).reshape(23, 3)  # one direction, but for rounding
+    points = table(spark, x).withColumnRenamed("vector", "unit").withColumn("unit", F.transform("unit", lambda v: v / math.sqrt(3)))
+    found = {(r["id_a"], r["id_b"]) for r in similarity.cosine_pairs(points, 0.1).collect()}
+    assert found == {(a, b) for a in range(23) for b in range(a + 1, 23)}
+
+
+def test_no_points_have_no_pairs(spark):
+    points = table(spark, []).withColumnRenamed("vector", "unit")
+    assert similarity.cosine_pairs(points, 0.1).count() == 0
+    assert tuple(similarity.compared_pairs(points, 0.1).first()) == (0, 0, 0, 0)
+
+
+def test_tree_covers_its_points(spark, monkeypatch):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: 12)
+    monkeypatch.setattr(pivot_tree, "FAN", 4)
+    x = crowd(3, n=150, dims=6)
+    points, _ = similarity.distinct_directions(table(spark, x))
+    tree = pivot_tree.build_tree(points)
+    nodes = {r["node"]: r for r in tree.nodes.collect()}
+    placed = tree.points.collect()
+    assert sorted(p["id"] for p in placed) == sorted(r["id"] for r in points.collect())
+    assert max(n.count("/") for n in nodes) > 1
+    for p in placed:
+        node = nodes[p["leaf"]]
+        assert node["leaf"] and node["n"] <= 12
+        away = np.linalg.norm(np.array(p["unit"]) - np.array(node["pivot"]))
+        assert node["low"] - 1e-6 <= away <= node["high"] + 1e-6
+
+
+@pytest.mark.parametrize("n", [1500, 15000])
+def test_grouped_vectors_compare_a_small_part_of_all_pairs(spark, monkeypatch, n):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: n // 30)
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(60, 16))
+    x = middle[rng.integers(0, 60, n)] + 0.05 * rng.normal(size=(n, 16))
+    points, _ = similarity.distinct_directions(table(spark, x))
+    work = similarity.compared_pairs(points, 0.02).first()
+    assert work["n_points"] == n and work["n_compared"] < 0.1 * n * n / 2
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.4])
 def test_sparse_pairs_equal_brute_force(spark, threshold):
     r = random.Random(4)
