@@ -1,132 +1,268 @@
 """Agglomerative clustering with a distance cut, exact and without a full distance matrix.
 
-Only clusters joined by an edge (a pair of points nearer than the cut) can ever merge, so the connected
-components of the edge graph are clustered on their own. Components of moderate size are finished by one
-grouped map; larger ones by rounds of joins in which all mutually nearest clusters merge at once. For single,
-complete and average linkage that gives the same partition as merging one pair at a time: both ways compare
-distances rounded to DECIMALS and order equal ones by the smaller, then the larger cluster name.
+Only clusters joined by an edge (a pair of points nearer than the cut) can ever merge, so the connected components of the edge
+graph are clustered on their own. A component that fits a task is finished by a nearest-neighbour chain in O(n^2). A larger one goes
+through rounds of joins in which all mutually nearest clusters merge at once, and is handed to the chain as soon as its clusters fit.
+A round looks again only at clusters that merged or whose nearest one did.
+
+Both ways see the same distances: vectors are whole multiples of 2^-SCALE, so sums and products are exact whole numbers in any order,
+and a mean is the same quotient everywhere. Equal distances follow the names of the two clusters. The name is the greatest
+of the points' keys (hash, id), so a merged pair never comes before both pairs it stems from. With this order average and complete
+linkage are reducible, and every order of merging mutually nearest clusters gives one partition. Hashed names also keep rows of
+equal distances from merging one by one.
 """
 
+from __future__ import annotations
+
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stallbook.functions.vectors import dot
 from stallbook.operators.components import connected_components
-from stallbook.scratch import cut_lineage
+from stallbook.scratch import cut_lineage, stored
 
-# Largest component that one task clusters in memory; larger ones go through the join rounds.
+#: Largest number of clusters of a component that one task holds as a matrix.
 LOCAL_POINTS = 1024
-# Distances count as equal if they agree to this many decimals; sums in another order differ far below that.
-DECIMALS = 9
-
-
-def _merge_locally(units: np.ndarray, sizes: np.ndarray, linkage: str, threshold: float) -> np.ndarray:
-    """Group number per point: repeatedly merge the two nearest groups below the threshold."""
-    distance = 1.0 - units @ units.T
-    np.fill_diagonal(distance, np.inf)
-    group = np.arange(len(units))
-    weight = sizes.astype(float)
-    while len(units) > 1:
-        shown = np.round(distance, DECIMALS)
-        i, j = divmod(int(shown.argmin()), len(units))
-        if not shown[i, j] < threshold:
+#: Bits of a coordinate, and further bits of a mean.
+SCALE, MEAN = 24, 20
+#: Bits of a limb: products of two, summed over 2^12 dimensions, are exact in double precision.
+_LIMB = 20
+_EXACT = T.DecimalType(38, 0)
+_UNKNOWN = -(1 << 60)
+
+
+def _least_similarity(threshold: float) -> int:
+    """Similarities above this whole number are nearer than the threshold."""
+    return math.floor((1 - Fraction(threshold)) * (1 << (2 * SCALE + MEAN)))
+
+
+def exact_products(totals: list[list[int]]) -> np.ndarray:
+    """All products of whole-number vectors as Python integers."""
+    rest = np.array(totals, np.int64)
+    limbs = []
+    while True:
+        low = rest & ((1 << _LIMB) - 1)
+        if (np.abs(rest) < 1 << _LIMB).all():
+            limbs.append(rest.astype(np.float64))
             break
+        limbs.append(low.astype(np.float64))
+        rest = rest >> _LIMB
+    out = np.zeros((len(rest), len(rest)), object)
+    for i, a in enumerate(limbs):
+        for j, b in enumerate(limbs):
+            out += (a @ b.T).astype(np.int64).astype(object) << (_LIMB * (i + j))
+    return out
+
+
+def nearest_neighbour_chain(similar: np.ndarray, weight: list[int] | None, bound: int) -> np.ndarray:
+    """Group of each cluster. similar: summed (with `weight`: average linkage) or least (complete linkage) similarity of two clusters.
+
+    Rows stand in the order of the clusters' names. The chain follows nearest neighbours until two are each other's nearest; a cluster
+    without a neighbour above `bound` is final, since no merge brings another one nearer.
+    """
+    n = len(similar)
+    similar = similar.copy()
+    close = similar.astype(np.float64)
+    weights = np.array(weight if weight is not None else [1] * n, object)
+    shown = weights.astype(np.float64)
+    group, alive = np.arange(n), np.ones(n, bool)
+    slack = float(1 << 2 * SCALE) * 1e-12
+
+    def exact(i: int, j: int) -> int:
+        return (similar[i, j] << MEAN) // (weights[i] * weights[j]) if weight is not None else similar[i, j] << MEAN
+
+    def nearest(i: int) -> tuple[int, int]:
+        """Nearest cluster and its similarity: the first in the order of pairs among equals."""
+        means = np.where(alive, close[i] / (shown * shown[i]) if weight is not None else close[i], -np.inf)
+        means[i] = -np.inf
+        ties = np.flatnonzero(means >= means.max() - slack - abs(means.max()) * 1e-14)
+        return min(((int(j), exact(i, j)) for j in ties if j != i and alive[j]), key=lambda x: (-x[1], min(i, x[0]), max(i, x[0])))
+
+    chain: list[int] = []
+    for start in range(n):
+        while alive[start] and alive.sum() > 1:
+            if not chain:
+                chain.append(start)
+            top = chain[-1]
+            other, value = nearest(top)
+            if value <= bound:
+                alive[top] = False
+                chain.pop()
+            elif len(chain) > 1 and other == chain[-2]:
+                del chain[-2:]
+                low, high = min(top, other), max(top, other)
+                if weight is not None:
+                    merged = similar[low] + similar[high]
+                    weights[high] += weights[low]
+                    shown[high] = float(weights[high])
+                else:
+                    merged = np.minimum(similar[low], similar[high])
+                similar[high], similar[:, high] = merged, merged
+                close[high] = close[:, high] = merged.astype(np.float64)
+                group[group == low] = high
+                alive[low] = False
+            else:
+                chain.append(other)
+    return group
+
+
+def _finished(clusters: DataFrame, pairs: DataFrame | None, linkage: str, threshold: float) -> DataFrame:
+    """Merges (u, v) of components that fit a task. `pairs` are known for complete linkage of clusters of more than one point."""
+    id_type = clusters.schema["cluster"].dataType.simpleString()
+    bound = _least_similarity(threshold)
+
+    def solve(rows: pd.DataFrame, known: pd.DataFrame | None) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "cluster"])
+        names = rows["cluster"].tolist()
+        totals, n = [[int(x) for x in t] for t in rows["total"]], [int(x) for x in rows["n"]]
         if linkage == "average":
-            merged = (weight[i] * distance[i] + weight[j] * distance[j]) / (weight[i] + weight[j])
+            group = nearest_neighbour_chain(exact_products(totals), n, bound)
         else:
-            merged = np.maximum(distance[i], distance[j])
-        merged[[i, j]] = np.inf
-        distance[i], distance[:, i] = merged, merged
-        distance[j], distance[:, j] = np.inf, np.inf
-        weight[i] += weight[j]
-        group[group == group[j]] = group[i]
-    return group
+            if known is None:
+                least = exact_products([[x // k for x in t] for t, k in zip(totals, n)]).astype(np.int64)
+            else:
+                place = {name: i for i, name in enumerate(names)}
+                least = np.full((len(rows), len(rows)), _UNKNOWN, np.int64)
+                points = rows["points"].tolist()
+                for a, b, worst, n_edges in known[["a", "b", "worst", "n_edges"]].itertuples(index=False, name=None):
+                    i, j = place[a], place[b]
+                    if n_edges == points[i] * points[j]:
+                        least[i, j] = least[j, i] = worst
+            group = nearest_neighbour_chain(least.astype(object), None, bound)
+        return pd.DataFrame({"u": names, "v": [names[g] for g in group]})
 
+    schema = f"u {id_type}, v {id_type}"
+    columns = ["component", "cluster", "h", "total", "n", "points"]
+    if pairs is None:
+        return clusters.select(columns).groupBy("component").applyInPandas(lambda rows: solve(rows, None), schema)
+    both = clusters.select(columns).groupBy("component").cogroup(pairs.select("component", "a", "b", "worst", "n_edges").groupBy("component"))
+    return both.applyInPandas(lambda rows, known: solve(rows, known) if len(rows) else pd.DataFrame({"u": [], "v": []}), schema)
 
-def _cluster_small(members: DataFrame, linkage: str, threshold: float) -> DataFrame:
-    id_type = members.schema["id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        group = _merge_locally(np.stack(pdf["unit"].to_numpy()), pdf["copies"].to_numpy(), linkage, threshold)
-        smallest = pd.Series(pdf["id"].to_numpy()).groupby(group).transform("min")
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster": smallest.to_numpy()})
+@F.pandas_udf(_EXACT)
+def _mean_similarity(t_a: pd.Series, t_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    from decimal import Decimal
 
-    return members.groupBy("component").applyInPandas(run, f"id {id_type}, cluster {id_type}")
+    def one(a, b, m, n) -> Decimal:
+        return Decimal((sum(x * y for x, y in zip(a.tolist(), b.tolist(), strict=True)) << MEAN) // (int(m) * int(n)))
 
+    return pd.Series([one(*row) for row in zip(t_a, t_b, n_a, n_b, strict=True)], dtype=object)
 
-def _average_links(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Mean distance over all point pairs of two clusters, from their vector sums."""
-    a = clusters.select(F.col("cluster").alias("a"), F.col("total").alias("t_a"), F.col("n").alias("n_a"))
-    b = clusters.select(F.col("cluster").alias("b"), F.col("total").alias("t_b"), F.col("n").alias("n_b"))
-    mean = F.round(1.0 - dot(F.col("t_a"), F.col("t_b")) / (F.col("n_a") * F.col("n_b")), DECIMALS)
-    return pairs.join(a, "a").join(b, "b").select("a", "b", mean.alias("d"))
 
+def _valued(pairs: DataFrame, clusters: DataFrame, linkage: str) -> DataFrame:
+    """Pairs with their similarity; null while a complete link is not known to be near everywhere."""
+    side = lambda x: clusters.select(F.col("cluster").alias(x), F.col("h").alias(f"h_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("total", "n", "points")))
+    joined = pairs.drop("h_a", "h_b").join(side("a"), "a").join(side("b"), "b")
+    if linkage == "average":
+        value = _mean_similarity("total_a", "total_b", "n_a", "n_b")
+    else:
+        value = F.when(F.col("n_edges") == F.col("points_a") * F.col("points_b"), F.col("worst").cast(_EXACT) * F.lit(1 << MEAN).cast(T.DecimalType(10, 0)))
+    return joined.select("component", "a", "b", "h_a", "h_b", "worst", "n_edges", value.cast(_EXACT).alias("value"))
 
-def _complete_links(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Largest distance between two clusters; unknown, thus too large, unless every pair is an edge."""
-    points = clusters.select("cluster", "points")
-    sizes_a = points.select(F.col("cluster").alias("a"), F.col("points").alias("p_a"))
-    sizes_b = points.select(F.col("cluster").alias("b"), F.col("points").alias("p_b"))
-    return pairs.join(sizes_a, "a").join(sizes_b, "b").filter("n_edges = p_a * p_b").select("a", "b", "d")
 
+def _first(x: str, y: str) -> Column:
+    return (F.col(f"h_{x}") < F.col(f"h_{y}")) | ((F.col(f"h_{x}") == F.col(f"h_{y}")) & (F.col(x) < F.col(y)))
 
-def _cluster_large(members: DataFrame, edges: DataFrame, linkage: str, threshold: float) -> DataFrame:
-    """Rounds of merging mutually nearest clusters; ties go to the smaller cluster name."""
-    assigned = cut_lineage(members.select("id", F.col("id").alias("cluster")))
-    clusters = cut_lineage(
-        members.select(
-            F.col("id").alias("cluster"),
-            F.transform("unit", lambda x: x * F.col("copies")).alias("total"),
-            F.col("copies").cast("double").alias("n"),
-            F.lit(1).cast("long").alias("points"),
-        )
-    )
-    pairs = cut_lineage(
-        edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("distance", DECIMALS).alias("d"), F.lit(1).cast("long").alias("n_edges"))
-    )
+
+def _by_rounds(clusters: DataFrame, edges: DataFrame, linkage: str, threshold: float, local_points: int) -> tuple[list[DataFrame], int]:
+    """Merges (u, v) of components too large for a task, and the number of rounds."""
+    bound = F.lit(str(_least_similarity(threshold))).cast(_EXACT)
+    clusters = stored(clusters, "clusters")
+    # Clusters still are single points: a total divided by its copies is the point.
+    point = F.transform("total", lambda x: F.try_divide(x, F.col("n")).cast("long"))
+    own, other = clusters.select(F.col("cluster").alias("a"), "component", point.alias("x")), clusters.select(F.col("cluster").alias("b"), point.alias("y"))
+    product = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, z: s + z)
+    single = edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).join(own, "a").join(other, "b")
+    pairs = single.select("component", "a", "b", product.alias("worst"), F.lit(1).cast("long").alias("n_edges"))
+    pairs = cut_lineage(_valued(pairs, clusters, linkage))
+    frontier, nearest = clusters.select(F.col("cluster").alias("a")), None
+    merges, rounds = [], 0
     while True:
-        links = _average_links(pairs, clusters) if linkage == "average" else _complete_links(pairs, clusters)
-        links = links.filter(F.col("d") < threshold)
-        sides = links.select("a", "b", "d").union(links.select("b", "a", "d"))
-        # Equal distances are ordered by the unordered pair, so every round merges at least one pair.
-        order = F.struct("d", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        nearest = sides.groupBy("a").agg(F.min(order).alias("best"))
+        # Components whose clusters fit a task leave for the chain.
+        sizes = stored(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+        fit = sizes.filter(F.col("size") <= local_points).select("component")
+        if not fit.isEmpty():
+            ready = clusters.join(fit, "component", "left_semi")
+            known = pairs.join(fit, "component", "left_semi") if linkage == "complete" else None
+            merges.append(cut_lineage(_finished(ready, known, linkage, threshold).filter("u <> v")))
+            clusters = cut_lineage(clusters.join(fit, "component", "left_anti"))
+            pairs = cut_lineage(pairs.join(fit, "component", "left_anti"))
+        links = pairs.filter(F.col("value") > bound)
+        low, high = (F.when(_first("a", "b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+        h_low, h_high = F.least("h_a", "h_b"), F.greatest("h_a", "h_b")
+        order = F.struct((-F.col("value")).alias("far"), h_low.alias("h_low"), low.alias("low"), h_high.alias("h_high"), high.alias("high"))
+        ranked = links.select("a", "b", order.alias("best"))
+        sides = ranked.select("a", "best").union(ranked.select(F.col("b").alias("a"), "best")).join(frontier, "a", "left_semi")
+        fresh = sides.groupBy("a").agg(F.min("best").alias("best"))
+        if nearest is not None:
+            fresh = nearest.join(clusters.select(F.col("cluster").alias("a")), "a", "left_semi").unionByName(fresh)
+        nearest = cut_lineage(fresh)
         chosen = nearest.groupBy("best").agg(F.count("*").alias("votes")).filter("votes = 2")
-        merges = cut_lineage(chosen.select(F.col("best.low").alias("into"), F.col("best.high").alias("gone")))
-        if merges.isEmpty():
-            return assigned
-        renamed = merges.select(F.col("gone").alias("cluster"), "into")
-
-        def follow(df: DataFrame, column: str) -> DataFrame:
-            moved = df.join(renamed.withColumnRenamed("cluster", column), column, "left")
-            return moved.withColumn(column, F.coalesce("into", column)).drop("into")
-
-        assigned = cut_lineage(follow(assigned, "cluster").select("id", "cluster"))
-        # Exactly two clusters meet in a merge, so their sums are added by one self join.
-        gone = clusters.join(renamed, "cluster").select(
+        # The greater name stays.
+        step = cut_lineage(chosen.select(F.col("best.low").alias("gone"), F.col("best.high").alias("into"), F.col("best.h_high").alias("h_into")))
+        if step.isEmpty():
+            return merges, rounds
+        rounds += 1
+        merges.append(step.select(F.col("gone").alias("u"), F.col("into").alias("v")))
+        took = clusters.join(step.select(F.col("gone").alias("cluster"), "into"), "cluster").select(
             F.col("into").alias("cluster"), F.col("total").alias("t2"), F.col("n").alias("n2"), F.col("points").alias("p2")
         )
         clusters = cut_lineage(
-            clusters.join(renamed, "cluster", "left_anti")
-            .join(gone, "cluster", "left")
+            clusters.join(step.select(F.col("gone").alias("cluster")), "cluster", "left_anti")
+            .join(took, "cluster", "left")
             .select(
-                "cluster",
-                F.when(F.col("t2").isNull(), F.col("total"))
-                .otherwise(F.zip_with("total", "t2", lambda x, y: x + y))
-                .alias("total"),
-                (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n"),
+                "component", "cluster", "h",
+                F.when(F.col("t2").isNull(), F.col("total")).otherwise(F.zip_with("total", "t2", lambda x, y: x + y)).alias("total"),
+                (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
                 (F.col("points") + F.coalesce("p2", F.lit(0))).alias("points"),
-            )
+            )
         )
-        pairs = cut_lineage(
-            follow(follow(pairs, "a"), "b")
+        touched = stored(step.select(F.explode(F.array("gone", "into")).alias("c"), "into"), "touched")
+        follow = lambda df, x: df.join(touched.withColumnsRenamed({"c": x, "into": f"into_{x}"}), x, "left")
+        moved = stored(follow(follow(pairs, "a"), "b"), "moved")
+        kept = moved.filter("into_a IS NULL AND into_b IS NULL").select(pairs.columns)
+        again = (
+            moved.filter("into_a IS NOT NULL OR into_b IS NOT NULL")
+            .select("component", F.coalesce("into_a", "a").alias("a"), F.coalesce("into_b", "b").alias("b"), "worst", "n_edges")
             .filter("a <> b")
-            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.max("d").alias("d"), F.sum("n_edges").alias("n_edges"))
+            .groupBy("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .agg(F.min("worst").alias("worst"), F.sum("n_edges").alias("n_edges"))
         )
+        pairs = cut_lineage(kept.unionByName(_valued(again, clusters, linkage)))
+        # Whoever merged, or was nearest to one that did, looks again; all others keep their nearest cluster.
+        names = touched.select("c")
+        lost = nearest.select("a", F.explode(F.array("best.low", "best.high")).alias("c")).join(names, "c", "left_semi").select("a").distinct()
+        gone = step.select(F.col("gone").alias("a"))
+        frontier = stored(lost.union(step.select("into")).distinct().join(gone, "a", "left_anti"), "frontier")
+        nearest = cut_lineage(nearest.join(frontier, "a", "left_anti").join(gone, "a", "left_anti"))
+
+
+def merge_rounds(points: DataFrame, edges: DataFrame, threshold: float, linkage: str, local_points: int) -> tuple[DataFrame, int]:
+    """Merges (u, v) of average or complete linkage and the number of rounds that large components took."""
+    components = connected_components(edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    copies = F.col("copies").cast("long")
+    whole = F.transform("unit", lambda x: F.rint(x * float(1 << SCALE)).cast("long") * F.col("copies").cast("long"))
+    placed = components.withColumnRenamed("node", "id").join(sizes, "component").join(points, "id")
+    clusters = stored(
+        placed.select("component", "size", F.col("id").alias("cluster"), F.xxhash64("id").alias("h"), whole.alias("total"), copies.alias("n"), F.lit(1).cast("long").alias("points")),
+        "components",
+    )
+    large = clusters.filter(F.col("size") > local_points).drop("size")
+    merges, rounds = [_finished(clusters.filter(F.col("size") <= local_points), None, linkage, threshold).filter("u <> v")], 0
+    if not large.isEmpty():
+        inner = edges.join(large.select(F.col("cluster").alias("id_a")), "id_a", "left_semi")
+        more, rounds = _by_rounds(large, inner, linkage, threshold, local_points)
+        merges += more
+    out = merges[0]
+    for part in merges[1:]:
+        out = out.unionByName(part)
+    return out, rounds
 
 
 def agglomerate(
@@ -136,17 +272,9 @@ def agglomerate(
 
     `edges` are all pairs nearer than `threshold`. Points without an edge stay alone.
     """
-    components = connected_components(edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
-    alone = points.join(components, points["id"] == components["node"], "left_anti").select("id", F.col("id").alias("cluster"))
-    if linkage == "single":
-        return components.select(F.col("node").alias("id"), F.col("component").alias("cluster")).union(alone)
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    placed = cut_lineage(
-        components.withColumnRenamed("node", "id").join(sizes, "component").join(points, "id")
-    )
-    small = _cluster_small(placed.filter(F.col("size") <= local_points), linkage, threshold)
-    large = placed.filter(F.col("size") > local_points)
-    if not large.isEmpty():
-        inner = edges.join(large.select(F.col("id").alias("id_a")), "id_a", "left_semi")
-        small = small.unionByName(_cluster_large(large, inner, linkage, threshold))
-    return small.unionByName(alone)
+    merges = edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    if linkage != "single":
+        merges, _ = merge_rounds(points, edges, threshold, linkage, local_points)
+    found = connected_components(merges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    alone = points.join(found, "id", "left_anti").select("id", F.col("id").alias("cluster"))
+    return found.unionByName(alone)

@@ -153,6 +153,62 @@ def test_ties_merge_alike_in_memory_and_by_joins(spark, how):
     assert ways[0] == ways[1] and 1 < len(set(ways[0].values())) < len(x)
 
 
+def greedy(similar, weight, bound):
+    """Merges of the two nearest groups, one at a time; equal ones in the order of their names."""
+    n = len(similar)
+    groups = {i: [i] for i in range(n)}
+
+    def value(a, b):
+        cells = [similar[i][j] for i in groups[a] for j in groups[b]]
+        if weight is None:
+            return min(cells) << linkage.MEAN
+        return (sum(cells) << linkage.MEAN) // (sum(weight[i] for i in groups[a]) * sum(weight[j] for j in groups[b]))
+
+    while len(groups) > 1:
+        far, low, high = min((-value(a, b), a, b) for a in groups for b in groups if a < b)
+        if -far <= bound:
+            break
+        groups[high] += groups.pop(low)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("how", ["average", "complete"])
+def test_chain_equals_greedy_merging(seed, how):
+    r = random.Random(seed)
+    n = r.randrange(1, 14)
+    weight = [r.randrange(1, 4) for _ in range(n)]
+    few = r.choice([3, 1000])  # three values make most distances equal
+    similar = np.zeros((n, n), object)
+    for i in range(n):
+        for j in range(i):
+            similar[i, j] = similar[j, i] = r.randrange(few) * (weight[i] * weight[j] if how == "average" else 1)
+    bound = (few // 3) << linkage.MEAN
+    group = linkage.nearest_neighbour_chain(similar, weight if how == "average" else None, bound)
+    found = {}
+    for i in range(n):
+        top = i
+        while group[top] != top:
+            top = group[top]
+        found.setdefault(top, set()).add(i)
+    assert {frozenset(g) for g in found.values()} == greedy(similar.tolist(), weight if how == "average" else None, bound)
+
+
+def test_products_of_whole_numbers_are_exact():
+    r = random.Random(7)
+    x = [[r.randrange(-(2**45), 2**45) for _ in range(5)] for _ in range(4)]
+    assert linkage.exact_products(x).tolist() == [[sum(p * q for p, q in zip(a, b)) for b in x] for a in x]
+
+
+def test_rounds_of_a_chain_graph_are_few(spark):
+    n = 120
+    angle = 0.02 * np.arange(n)
+    points, _ = similarity.distinct_directions(table(spark, np.column_stack([np.cos(angle), np.sin(angle)])))
+    edges = similarity.cosine_pairs(points, 0.0003)  # neighbours only
+    merges, rounds = linkage.merge_rounds(points, edges, 0.0003, "complete", 2)
+    assert merges.count() > n / 3 and 1 <= rounds <= 12
+
+
 def test_small_clusters_and_zero_vectors(spark):
     x = np.array([[1, 0], [1, 0.01], [1, 0.02], [0, 1], [0, 0]])
     found = {r["id"]: r["cluster_id"] for r in clustering.cluster_profiles(table(spark, x), 0.1, min_size=3).collect()}
