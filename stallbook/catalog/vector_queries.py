@@ -361,15 +361,31 @@ def v6_single(spark, folder):
     return clustering.cluster_profiles(id_vectors(spark, folder), EPS, "single", 3)
 
 
-for _linkage in ("average", "complete"):
+def agglomerate_sql(measure: str, threshold: float) -> str:
+    """Merges the two nearest groups of each component, one step at a time, on top of `pairs` and `comp`: merged (id, c)."""
+    return f"""state(step, component, id, c) AS (SELECT 0, component, node, node FROM comp
+      UNION ALL
+      SELECT s.step + 1, s.component, s.id, CASE WHEN s.c = best.high THEN best.low ELSE s.c END FROM state s JOIN (
+        SELECT component, first(low ORDER BY d, low, high) AS low, first(high ORDER BY d, low, high) AS high FROM (
+          SELECT a.component, a.c AS low, b.c AS high, {measure}(1 - sim) AS d FROM state a JOIN state b ON a.component = b.component AND a.c < b.c
+          JOIN pairs p ON p.id_a = a.id AND p.id_b = b.id GROUP BY ALL HAVING {measure}(1 - sim) < {threshold}) GROUP BY component) best ON s.component = best.component),
+    merged AS (SELECT id, c FROM state QUALIFY step = max(step) OVER (PARTITION BY component))"""
+
+
+def profile_clusters_sql(measure: str) -> str:
+    return f"""WITH {components_sql(f'1 - sim < {EDGE}')}, {agglomerate_sql(measure, EDGE)}
+      SELECT emb.id, CASE WHEN count(*) OVER (PARTITION BY coalesce(c, emb.id)) < 3 THEN -1 ELSE coalesce(c, emb.id) END AS cluster_id FROM emb LEFT JOIN merged ON merged.id = emb.id"""
+
+
+for _linkage, _measure in (("average", "avg"), ("complete", "max")):
 
     def _v6(spark, folder, linkage=_linkage):
         return clustering.cluster_profiles(id_vectors(spark, folder), EDGE, linkage, 3)
 
-    query(f"v6_cluster_profiles_{_linkage}")(_v6)
+    query(f"v6_cluster_profiles_{_linkage}", profile_clusters_sql(_measure))(_v6)
 
 
-@query("v6_cluster_profiles_by_joins")
+@query("v6_cluster_profiles_by_joins", profile_clusters_sql("avg"))
 def v6_joins(spark, folder):
     return clustering.cluster_profiles(id_vectors(spark, folder), EDGE, "average", 3, local_points=2)
 
@@ -462,7 +478,18 @@ def s16(spark, folder):
     return spark.read.text(path).withColumnRenamed("value", "product")
 
 
-@query("v6_cluster_profile_vectors")
+@query(
+    "v6_cluster_profile_vectors",
+    f"""WITH RECURSIVE {FREQUENCIES_SQL}, {ITEM_SQL}, pv AS (SELECT author, dim, sum(weight * x) / sum(weight) AS x FROM weights JOIN item_dims ON product = item GROUP BY ALL),
+      emb AS (SELECT author AS id, list(x ORDER BY dim) AS v FROM pv GROUP BY author HAVING max(abs(x)) > 0),
+      pairs AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.v, b.v) AS sim FROM emb a JOIN emb b ON a.id <> b.id),
+      edges AS (SELECT id_a, id_b FROM pairs WHERE 1 - sim < 0.02),
+      reach AS (SELECT id_a AS node, id_a AS root FROM edges UNION SELECT e.id_b, r.root FROM reach r JOIN edges e ON e.id_a = r.node),
+      comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node), {agglomerate_sql('avg', 0.02)},
+      named AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN emb.id IS NOT NULL THEN coalesce(c, emb.id) END AS c
+        FROM customer LEFT JOIN emb ON emb.id = CAST(c_custkey AS VARCHAR) LEFT JOIN merged ON merged.id = emb.id)
+      SELECT id, CASE WHEN c IS NULL THEN -2 WHEN count(*) OVER (PARTITION BY c) < 3 THEN -1 ELSE CAST(c AS BIGINT) END AS cluster_id FROM named""",
+)
 def v6_profiles(spark, folder):
     """Profiles clustered on their own product vectors, as the whole job runs on extracted profiles."""
     people = stored(_profile_vectors(spark, folder, True), "profile-vectors").select(F.col("user").alias("id"), "vector")
