@@ -456,15 +456,49 @@ def j8(spark, folder):
     return flat(matches(spark, folder))
 
 
-@query("d3_tag_entities")
-def d3(spark, folder):
-    return flat(tagging.tag_entities(docs(spark, folder), stored(train_patterns(spark, folder), "patterns"), ID))
+# Every match with optional tokens, then rounds that take what ranks best on all its tokens and drop what touches it.
+OPTIONAL_SQL = f"""{PATTERNS_SQL}, ws AS (SELECT id, list_transform(regexp_extract_all(text, '{TOKEN_PATTERN}'), lambda t: lower(t)) AS w FROM docs),
+  starts AS (SELECT id, i, list_slice(w, i + 1, i + (SELECT max(n) FROM dict)) AS ahead FROM (SELECT id, w, unnest(range(len(w))) AS i FROM ws)),
+  walk(id, i, label, tokens, ahead, j, m) AS (
+    SELECT s.id, s.i, d.label, d.tokens, s.ahead, least(d.n, 2), least(d.n, 2) FROM starts s JOIN dict d ON s.ahead[1] = d.tokens[1] AND (d.n = 1 OR s.ahead[2] = d.tokens[2])
+    UNION ALL
+    SELECT id, i, label, tokens, ahead, j + 1, m + CAST(coalesce(ahead[m + 1] = tokens[j + 1], false) AS BIGINT) FROM walk WHERE j < len(tokens)),
+  found AS (SELECT DISTINCT id, i, label, unnest(range(least(len(tokens), 2), m + 1)) AS n FROM walk WHERE j = len(tokens))"""
+
+TAGGED_SQL = f"""{OPTIONAL_SQL},
+  ranked AS (SELECT id, i, n, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, i, label) AS rk FROM found),
+  rounds(id, i, n, label, rk, win) AS (
+    SELECT id, i, n, label, rk, false FROM ranked
+    UNION ALL
+    SELECT id, i, n, label, rk, wins FROM (
+      SELECT id, i, n, label, rk, wins, bool_or(taken) AS touched FROM (
+        SELECT *, bool_or(wins) OVER (PARTITION BY id, t) AS taken FROM (
+          SELECT *, bool_and(best = rk) OVER (PARTITION BY id, rk) AS wins FROM (
+            SELECT *, min(rk) OVER (PARTITION BY id, t) AS best FROM (
+              SELECT id, i, n, label, rk, unnest(range(i, i + n)) AS t FROM rounds WHERE NOT win)))) GROUP BY ALL)
+    WHERE wins OR NOT touched),
+  entities AS (SELECT id, CAST(i AS INT) AS first_tok, CAST(i + n - 1 AS INT) AS last_tok, label FROM rounds WHERE win),
+  inside AS (SELECT id, unnest(range(first_tok, last_tok + 1)) AS idx FROM entities),
+  matched AS (SELECT * FROM entities UNION ALL SELECT id, idx, idx, 'MONEY' FROM toks ANTI JOIN inside USING (id, idx)
+    WHERE (regexp_matches(token, '^[+\\-±~]?{_DIGITS}(/{_DIGITS})?$') OR lower(token) IN ({_WORD_LIST})))"""
+
+
+@query("d2_pattern_matches", f"WITH RECURSIVE {OPTIONAL_SQL} SELECT id, CAST(i AS INT) AS first_tok, CAST(n AS INT) AS n, label FROM found")
+def d2_matches(spark, folder):
+    return flat(tagging.pattern_matches(docs(spark, folder), stored(train_patterns(spark, folder), "patterns"), ID))
 
 
-@query("d4_score_tagger")
-def d4(spark, folder):
-    patterns = stored(train_patterns(spark, folder), "patterns")
-    return jobs.score_tagger(docs(spark, folder), patterns, ID)
+@query(
+    "d3_tag_entities",
+    # A text meets its tags once and is cut there.
+    f"""WITH RECURSIVE {TAGGED_SQL}, per_doc AS (SELECT m.id, list(struct_pack(label := m.label, f := m.first_tok, l := m.last_tok, s := CAST(a.s AS INT), e := b.e)) AS ms
+          FROM matched m JOIN toks a ON a.id = m.id AND a.idx = m.first_tok JOIN toks b ON b.id = m.id AND b.idx = m.last_tok GROUP BY m.id),
+        cuts AS (SELECT p.id, unnest(ms) AS m, unnest(list_transform(ms, lambda x: substring(d.text, CAST(x.s + 1 AS BIGINT), CAST(x.e - x.s AS BIGINT)))) AS text
+          FROM per_doc p JOIN docs d ON d.id = p.id)
+        SELECT id, m.label AS label, text, m.f AS first_tok, m.l AS last_tok, m.s AS start_at, m.e AS end_at FROM cuts""",
+)
+def d3(spark, folder):
+    return flat(tagging.tag_entities(docs(spark, folder), stored(train_patterns(spark, folder), "patterns"), ID))
 
 
 @query("u1_annotate")
@@ -562,6 +596,16 @@ def a22(spark, folder):
     return scores.withColumns({c: r6(c) for c in ("precision", "recall", "f1", "misaligned")})
 
 
+@query(
+    "d4_score_tagger",
+    f"WITH RECURSIVE {TAGGED_SQL}, {ALIGNED_SQL[len(TOKENS_SQL) + 2:]}, okay AS (SELECT * FROM aligned WHERE aligned), "
+    + report_sql("okay", False, ", (SELECT round(count(*) FILTER (NOT aligned) / count(*), 6) + 0.0 FROM aligned) AS misaligned"),
+)
+def d4(spark, folder):
+    patterns = stored(train_patterns(spark, folder), "patterns")
+    return jobs.score_tagger(docs(spark, folder), patterns, ID).withColumns({c: r6(c) for c in ("precision", "recall", "f1", "misaligned")})
+
+
 # Pairs of both kinds with their features and whether the gold relations join them.
 D5_KINDS = (("PROD", "MONEY", "PROD_PRICE"), ("MONEY", "CRIT", "PRICE_CRIT"))
 

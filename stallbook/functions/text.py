@@ -1,6 +1,7 @@
 """Column functions over free text. All of them stay inside the JVM."""
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -138,32 +139,50 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
+class Tokens(NamedTuple):
+    """All tokens of a batch, one after the other: the row of each, its number there, its text, and its place in the row's text."""
+
+    row: np.ndarray
+    idx: np.ndarray
+    token: pa.Array
+    start: np.ndarray
+    end: np.ndarray
+
+
+# The characters of WHITESPACE, for functions that take a list of them.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def pieces_of(text: Column) -> Column:
+    """Tokens, each with the white space before it, so that they tile the text."""
+    return F.regexp_extract_all(text, F.lit(TOKEN_WITH_GAP_PATTERN), F.lit(0))
+
+
+def cut_pieces(pieces: pa.Array) -> Tokens:
+    """Tokens of a column of `pieces_of`: a running sum of the pieces' lengths is the token end."""
+    counts = pc.list_value_length(pieces).to_numpy()
+    flat = pieces.flatten()
+    upto = np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(counts)), counts)
+    end = upto - np.concatenate([[0], upto])[first[row]]
+    token = pc.utf8_ltrim(flat, characters=_SPACES)
+    return Tokens(row, np.arange(len(row)) - first[row], token, end - pc.utf8_length(token).to_numpy(zero_copy_only=False), end)
+
+
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a list of pieces as one row per piece: the other columns, idx, piece, end."""
+    """Rows with a list of pieces as one row per token: the other columns, idx, token, start, end."""
     for batch in batches:
-        pieces = batch.column("pieces")
-        counts = pc.list_value_length(pieces).to_numpy()
-        flat = pieces.flatten()
-        upto = np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64)
-        first = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(counts)), counts)
-        before = np.concatenate([[0], upto])[first[owner]]
-        rest = [batch.column(c).take(pa.array(owner)) for c in batch.schema.names[:-1]]
+        tokens = cut_pieces(batch.column("pieces"))
+        rest = [batch.column(c).take(pa.array(tokens.row)) for c in batch.schema.names[:-1]]
+        number = lambda x: pa.array(x.astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array((np.arange(len(owner)) - first[owner]).astype(np.int32)), flat, pa.array((upto - before).astype(np.int32))],
-            [*batch.schema.names[:-1], "idx", "piece", "end"],
+            [*rest, number(tokens.idx), tokens.token, number(tokens.start), number(tokens.end)], [*batch.schema.names[:-1], "idx", "token", "start", "end"]
         )
 
 
 def tokenize(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """One row per token: key, idx (from 0), token, start, end (exclusive).
-
-    Each match carries the white space before it, so matches tile the text and a running sum of their
-    lengths is the token end. All of it happens inside the row of the text, without a shuffle.
-    """
-    pieces = F.regexp_extract_all(F.col(text), F.lit(TOKEN_WITH_GAP_PATTERN), F.lit(0))
-    cut = spread(docs.select(*key, text)).filter(F.col(text).isNotNull()).select(*key, pieces.alias("pieces"))
-    fields = [f for f in cut.schema.fields if f.name != "pieces"]
-    tiled = cut.mapInArrow(_tile, T.StructType(fields).add("idx", T.IntegerType()).add("piece", T.StringType()).add("end", T.IntegerType()))
-    token = F.regexp_replace("piece", f"^{_SPACE}+", "")
-    return tiled.withColumn("token", token).select(*key, "idx", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+    """One row per token: key, idx (from 0), token, start, end (exclusive). All of it happens inside the row of the text, without a shuffle."""
+    cut = spread(docs.select(*key, text)).filter(F.col(text).isNotNull()).select(*key, pieces_of(F.col(text)).alias("pieces"))
+    out = T.StructType([f for f in cut.schema.fields if f.name != "pieces"]).add("idx", T.IntegerType()).add("token", T.StringType())
+    return cut.mapInArrow(_tile, out.add("start", T.IntegerType()).add("end", T.IntegerType()))

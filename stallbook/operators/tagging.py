@@ -4,12 +4,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallbook.functions.text import NUMBER_WORDS, is_number_like, spread, tokenize, tokens_of
+from stallbook.functions.text import NUMBER_WORDS, cut_pieces, pieces_of, spread, tokens_of
 from stallbook.operators.messages import non_blank
+from stallbook.operators.token_trie import longest_first, token_ends, with_matches
 from stallbook.schemas import MONEY, PATTERN_LABELS
 
 
@@ -33,142 +36,77 @@ def pattern_rows(patterns: DataFrame) -> DataFrame:
     )
 
 
-def longest_pattern(patterns: DataFrame) -> int:
-    return patterns.agg(F.max(F.size("tokens"))).first()[0] or 0
-
-
 def _words(docs: DataFrame, key: list[str]) -> DataFrame:
     words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
     return spread(docs.select(*key, "text")).select(*key, words.alias("words")).filter(F.size("words") > 0)
 
 
-def _starts(docs: DataFrame, key: list[str], longest: int) -> DataFrame:
-    """Every token position with the tokens that a pattern beginning there can read."""
-    ahead = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(longest)))
-    return _words(docs, key).select(*key, F.posexplode(ahead).alias("first", "ahead"))
-
-
-def _head(words: Column) -> Column:
-    return F.get(words, F.lit(0))
-
-
-def _heads(patterns: DataFrame) -> DataFrame:
-    """First words of the phrases with the phrases' lengths."""
-    return patterns.groupBy(_head(F.col("tokens")).alias("head")).agg(F.collect_set(F.size("tokens")).alias("lengths"))
-
-
 def dictionary_match(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """All places where a whole phrase occurs: key, first, last (token numbers), label."""
-    phrases = patterns.select("label", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("phrase"))
-    heads = _heads(patterns).select("head", F.explode("lengths").alias("n"))
-    # Only places whose first words begin a phrase get any further, and only with that head's lengths.
-    starts = _starts(docs, key, longest_pattern(patterns)).withColumn("head", _head(F.col("ahead"))).join(heads, "head")
-    found = (
-        starts.filter(F.size("ahead") >= F.col("n"))
-        .select(*key, "first", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("phrase"))
-        .join(phrases, ["n", "phrase"])
-    )
-    return found.select(*key, "first", (F.col("first") + F.col("n") - 1).alias("last"), "label")
+    found = with_matches(_words(docs, key), patterns, optional=False)
+    return found.select(*key, F.inline("found")).select(*key, "first", (F.col("first") + F.col("n") - 1).alias("last"), "label")
 
 
 def pattern_matches(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """All places where a phrase with optional later tokens occurs: key, first, n (tokens), label.
 
-    The join is on the mandatory tokens. How far the optional ones reach follows from one walk over them: each
-    either is the next text token or is skipped. Every shorter reach is a match as well. No variant of a phrase
-    is ever written out, so phrases may have any length.
+    The first two tokens of a phrase must match; each later one either is the next text token or is missing.
     """
-    longest = longest_pattern(patterns)
-    rules = patterns.select(
-        "label",
-        F.least(F.size("tokens"), F.lit(2)).alias("head_n"),
-        F.array_join(F.slice("tokens", 1, 2), " ").alias("head"),
-        F.slice("tokens", F.lit(3), F.greatest(F.size("tokens") - 2, F.lit(0))).alias("optional"),
-    )
-    heads = F.explode(F.sequence(F.lit(1), F.least(F.size("ahead"), F.lit(2))))
-    starts = _starts(docs, key, longest).select(*key, "first", "ahead", heads.alias("head_n")).withColumn(
-        "head", F.array_join(F.slice("ahead", F.lit(1), F.col("head_n")), " ")
-    )
-    taken = F.aggregate(
-        "optional",
-        F.lit(0),
-        lambda m, token: m + F.when(F.get("ahead", F.lit(2) + m).eqNullSafe(token), 1).otherwise(0),
-    )
-    return (
-        starts.join(rules, ["head_n", "head"])
-        .select(*key, "first", "label", "head_n", taken.alias("taken"))
-        .select(*key, "first", "label", F.explode(F.sequence("head_n", F.col("head_n") + F.col("taken"))).alias("n"))
-        .distinct()
-    )
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _accepted(first: pd.Series, n: pd.Series) -> pd.Series:
-    """Per document: which matches, taken in order, touch no token of an accepted one."""
-
-    def accept(starts: np.ndarray, sizes: np.ndarray) -> list[bool]:
-        used = np.zeros(int((starts + sizes).max()), dtype=bool)
-        flags = []
-        for start, end in zip(starts, starts + sizes):
-            free = not used[start:end].any()
-            if free:
-                used[start:end] = True
-            flags.append(free)
-        return flags
-
-    return pd.Series([accept(a, b) for a, b in zip(first, n)])
-
-
-def _without_overlap(matches: DataFrame, key: list[str]) -> DataFrame:
-    """Longest match first, then the earliest; a match that touches an accepted one is dropped."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "first", "label", "n")))
-    per_doc = matches.groupBy(*key).agg(ranked.alias("matches"))
-    flagged = per_doc.withColumn("accepted", _accepted(F.col("matches.first"), F.col("matches.n")))
-    kept = F.filter(F.arrays_zip("matches", "accepted"), lambda m: m["accepted"])
-    return flagged.select(*key, F.explode(kept).alias("m")).select(
-        *key,
-        F.col("m.matches.first").alias("first"),
-        (F.col("m.matches.first") + F.col("m.matches.n") - 1).alias("last"),
-        F.col("m.matches.label").alias("label"),
-    )
-
-
-def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str], tokens: DataFrame | None = None) -> DataFrame:
+    return with_matches(_words(docs, key), patterns, optional=True).select(*key, F.inline("found"))
+
+
+_TAGS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("first", "last", "start", "end"))]))
+_DIGITS = r"[.,]*\p{Nd}[\p{Nd}.,]*"
+
+
+def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with `pieces`, `words` and `found` as texts with `tags`, their entities without overlap."""
+    number = rf"^[+\-±~]?{_DIGITS}(/{_DIGITS})?$"
+    known = pa.array(list(NUMBER_WORDS))
+    for batch in batches:
+        tokens = cut_pieces(batch.column("pieces"))
+        begin, _ = token_ends(batch.column("words"))
+        f_begin, _ = token_ends(batch.column("found"))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(f_begin))
+        found = batch.column("found").flatten()
+        first = found.field(0).to_numpy().astype(np.int64) + begin[owner]
+        n = found.field(1).to_numpy().astype(np.int64)
+        coded = found.field(2).dictionary_encode()
+        labels = coded.dictionary.to_pylist()
+        order = np.argsort(np.argsort(np.array(labels, object)))[coded.indices.to_numpy()] if labels else np.zeros(0, np.int64)
+        taken = longest_first(first, n, order)
+        first, n, label = first[taken], n[taken], found.field(2).filter(pa.array(taken))
+        covered = np.zeros(int(begin[-1]) + 1, np.int64)
+        np.add.at(covered, first, 1)
+        np.add.at(covered, first + n, -1)
+        words = batch.column("words").flatten()
+        numeric = pc.or_(pc.match_substring_regex(words, number), pc.is_in(words, value_set=known)).to_numpy(zero_copy_only=False)
+        free = np.flatnonzero(numeric & (np.cumsum(covered[:-1]) == 0))
+        firsts, lasts = np.concatenate([first, free]), np.concatenate([first + n - 1, free])
+        names = pa.concat_arrays([label.cast(pa.string()), pa.array([MONEY] * len(free), pa.string())])
+        by_place = np.argsort(firsts, kind="stable")
+        firsts, lasts = firsts[by_place], lasts[by_place]
+        home = np.searchsorted(begin, firsts, "right") - 1
+        numbers = (firsts - begin[home], lasts - begin[home], tokens.start[firsts], tokens.end[lasts])
+        tags = pa.StructArray.from_arrays([names.take(pa.array(by_place)), *(pa.array(x, pa.int32()) for x in numbers)], ["label", "first", "last", "start", "end"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(home, minlength=batch.num_rows))])
+        rest = [c for c in batch.schema.names if c not in ("pieces", "words", "found")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tags)], [*rest, "tags"])
+
+
+def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """Dictionary entities without overlap, then number-like tokens outside them as prices.
 
-    Columns: key, label, text, first, last (tokens), start, end (characters). `tokens` spares cutting the
-    documents again.
+    Columns: key, label, text, first, last (tokens), start, end (characters). Of matches that share a token the longest stays, then
+    the earliest. A text is cut, matched and tagged inside its row; nothing is shuffled.
     """
-    tokens = tokenize(docs, key) if tokens is None else tokens
-    entities = _without_overlap(pattern_matches(docs, patterns, key), key)
-    covered = entities.select(*key, F.explode(F.sequence("first", "last")).alias("idx"))
-    numbers = (
-        tokens.filter(is_number_like(F.col("token")))
-        .join(covered, [*key, "idx"], "left_anti")
-        .select(*key, F.col("idx").alias("first"), F.col("idx").alias("last"), F.lit(MONEY).alias("label"))
-    )
-    edges = tokens.select(*key, "idx", "start", "end")
-    placed = (
-        entities.unionByName(numbers)
-        .join(edges.select(*key, F.col("idx").alias("first"), "start"), [*key, "first"])
-        .join(edges.select(*key, F.col("idx").alias("last"), "end"), [*key, "last"])
-    )
-    # A document's text meets its entities once, as one row, and is cut there.
-    per_doc = placed.groupBy(*key).agg(F.collect_list(F.struct("label", "first", "last", "start", "end")).alias("found"))
-    return (
-        docs.select(*key, "text")
-        .join(per_doc, key)
-        .select(*key, F.col("text").alias("doc_text"), F.inline("found"))
-        .select(
-            *key,
-            "label",
-            F.expr("substring(doc_text, start + 1, end - start)").alias("text"),
-            "first",
-            "last",
-            "start",
-            "end",
-        )
-    )
+    texts = spread(docs.select(*key, "text")).select(*key, "text", pieces_of(F.col("text")).alias("pieces"))
+    words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
+    matched = with_matches(texts.withColumn("words", words).filter(F.size("words") > 0), patterns, optional=True)
+    fields = [f for f in matched.schema.fields if f.name not in ("pieces", "words", "found")]
+    tagged = matched.mapInArrow(_tag, T.StructType(fields).add("tags", _TAGS))
+    inner = tagged.select(*key, F.col("text").alias("doc_text"), F.inline("tags"))
+    return inner.select(*key, "label", F.expr("substring(doc_text, start + 1, end - start)").alias("text"), "first", "last", "start", "end")
 
 
 Annotator = Callable[[str], list[tuple[int, int, str]]]

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import evaluation, tagging
+from stallbook.operators import evaluation, tagging, token_trie
 from stallbook.sources import corpora
 
 PATTERNS = "label string, tokens array<string>"
@@ -95,3 +96,37 @@ def test_annotate_skips_null_and_blank_messages(spark):
     messages = spark.createDataFrame([(1, "zwei 3,5"), (2, None), (3, " \n")], "id long, text string")
     found = tagging.annotate(messages, tagging.number_annotator, ["id"]).select("id", "text").collect()
     assert [tuple(r) for r in found] == [(1, "zwei"), (1, "3,5")]
+
+
+@pytest.mark.parametrize("limit", [4, 1 << 20])
+def test_matches_of_a_frequent_first_word_in_several_tries(spark, rows, monkeypatch, limit):
+    monkeypatch.setattr(token_trie, "TRIE_TOKENS", limit)
+    phrases = [("PROD", ["a", x, y]) for x in "ab" for y in "abc"] + [("LOC", ["a"]), ("PROD", ["b", "a", "a", "b", "c", "a"])]
+    text = "a a b c a b a b c a a a b d a b"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "d d")], "id int, text string")
+    table = spark.createDataFrame([(label, tokens) for label, tokens in phrases] + [("PER", [])], PATTERNS)
+    found = rows(tagging.pattern_matches(docs, table, ["id"]).select("first", "n", "label"))
+    assert found == sorted(brute_matches(text.split(), phrases), key=repr)
+    tags = rows(tagging.tag_entities(docs, table, ["id"]).select("first", "last", "label"))
+    assert tags == sorted(brute_tags(brute_matches(text.split(), phrases)), key=repr)
+
+
+def test_no_patterns_leave_numbers(spark, rows):
+    docs = spark.createDataFrame([(1, "zehn x 5")], "id int, text string")
+    table = spark.createDataFrame([], PATTERNS)
+    assert rows(tagging.tag_entities(docs, table, ["id"]).select("label", "text")) == [("MONEY", "5"), ("MONEY", "zehn")]
+    assert tagging.dictionary_match(docs, table, ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_first_equals_taking_one_at_a_time(seed):
+    r = np.random.default_rng(seed)
+    m = int(r.integers(0, 60))
+    first, n, order = r.integers(5, 40, m), r.integers(1, 7, m), r.permutation(m)
+    used, expected = set(), np.zeros(m, bool)
+    for i in sorted(range(m), key=lambda i: (-n[i], first[i], order[i])):
+        place = set(range(first[i], first[i] + n[i]))
+        if not place & used:
+            used |= place
+            expected[i] = True
+    assert token_trie.longest_first(first, n, order).tolist() == expected.tolist()
