@@ -35,7 +35,7 @@ def docs(spark, folder):
 
 
 def tokens_sql(source: str, key: str) -> str:
-    return f"""(SELECT *, e - length(token) AS s FROM (SELECT {key}, idx, regexp_replace(piece, '^[{WHITESPACE}]+', '') AS token,
+    return f"""(SELECT *, e - length(token) AS s FROM (SELECT {key}, idx, piece, regexp_replace(piece, '^[{WHITESPACE}]+', '') AS token,
       CAST(sum(length(piece)) OVER (PARTITION BY {key} ORDER BY idx) AS INT) AS e
       FROM (SELECT {key}, unnest(ps) AS piece, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS idx
         FROM (SELECT {key}, regexp_extract_all(text, '{TOKEN_WITH_GAP_PATTERN}') AS ps FROM {source}))))"""
@@ -459,8 +459,10 @@ def j8(spark, folder):
 # Every match with optional tokens, then rounds that take what ranks best on all its tokens and drop what touches it.
 OPTIONAL_SQL = f"""{PATTERNS_SQL}, ws AS (SELECT id, list_transform(regexp_extract_all(text, '{TOKEN_PATTERN}'), lambda t: lower(t)) AS w FROM docs),
   starts AS (SELECT id, i, list_slice(w, i + 1, i + (SELECT max(n) FROM dict)) AS ahead FROM (SELECT id, w, unnest(range(len(w))) AS i FROM ws)),
+  heads AS (SELECT label, tokens, least(n, 2) AS h, array_to_string(list_slice(tokens, 1, 2), ' ') AS head FROM dict),
+  places AS (SELECT id, i, ahead, h, array_to_string(list_slice(ahead, 1, h), ' ') AS head FROM starts, (VALUES (1), (2)) hs(h) WHERE len(ahead) >= h),
   walk(id, i, label, tokens, ahead, j, m) AS (
-    SELECT s.id, s.i, d.label, d.tokens, s.ahead, least(d.n, 2), least(d.n, 2) FROM starts s JOIN dict d ON s.ahead[1] = d.tokens[1] AND (d.n = 1 OR s.ahead[2] = d.tokens[2])
+    SELECT id, i, label, tokens, ahead, CAST(h AS BIGINT), CAST(h AS BIGINT) FROM places JOIN heads USING (h, head)
     UNION ALL
     SELECT id, i, label, tokens, ahead, j + 1, m + CAST(coalesce(ahead[m + 1] = tokens[j + 1], false) AS BIGINT) FROM walk WHERE j < len(tokens)),
   found AS (SELECT DISTINCT id, i, label, unnest(range(least(len(tokens), 2), m + 1)) AS n FROM walk WHERE j = len(tokens))"""
@@ -479,7 +481,7 @@ TAGGED_SQL = f"""{OPTIONAL_SQL},
     WHERE wins OR NOT touched),
   entities AS (SELECT id, CAST(i AS INT) AS first_tok, CAST(i + n - 1 AS INT) AS last_tok, label FROM rounds WHERE win),
   inside AS (SELECT id, unnest(range(first_tok, last_tok + 1)) AS idx FROM entities),
-  matched AS (SELECT * FROM entities UNION ALL SELECT id, idx, idx, 'MONEY' FROM toks ANTI JOIN inside USING (id, idx)
+  matched AS MATERIALIZED (SELECT * FROM entities UNION ALL SELECT id, idx, idx, 'MONEY' FROM toks ANTI JOIN inside USING (id, idx)
     WHERE (regexp_matches(token, '^[+\\-±~]?{_DIGITS}(/{_DIGITS})?$') OR lower(token) IN ({_WORD_LIST})))"""
 
 
@@ -490,12 +492,9 @@ def d2_matches(spark, folder):
 
 @query(
     "d3_tag_entities",
-    # A text meets its tags once and is cut there.
-    f"""WITH RECURSIVE {TAGGED_SQL}, per_doc AS (SELECT m.id, list(struct_pack(label := m.label, f := m.first_tok, l := m.last_tok, s := CAST(a.s AS INT), e := b.e)) AS ms
-          FROM matched m JOIN toks a ON a.id = m.id AND a.idx = m.first_tok JOIN toks b ON b.id = m.id AND b.idx = m.last_tok GROUP BY m.id),
-        cuts AS (SELECT p.id, unnest(ms) AS m, unnest(list_transform(ms, lambda x: substring(d.text, CAST(x.s + 1 AS BIGINT), CAST(x.e - x.s AS BIGINT)))) AS text
-          FROM per_doc p JOIN docs d ON d.id = p.id)
-        SELECT id, m.label AS label, text, m.f AS first_tok, m.l AS last_tok, m.s AS start_at, m.e AS end_at FROM cuts""",
+    f"""WITH RECURSIVE {TAGGED_SQL}, tokens_of AS (SELECT *, unnest(range(first_tok, last_tok + 1)) AS idx FROM matched)
+        SELECT id, label, string_agg(CASE WHEN idx = first_tok THEN token ELSE piece END, '' ORDER BY idx) AS text, first_tok, last_tok,
+          CAST(min(s) AS INT) AS start_at, max(e) AS end_at FROM tokens_of JOIN toks USING (id, idx) GROUP BY id, label, first_tok, last_tok""",
 )
 def d3(spark, folder):
     return flat(tagging.tag_entities(docs(spark, folder), stored(train_patterns(spark, folder), "patterns"), ID))

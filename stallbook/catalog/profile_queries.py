@@ -497,7 +497,7 @@ def months_sql(text: str) -> str:
       WHEN contains({low}, 'jah') THEN 12 WHEN contains({low}, 'mon') THEN 1 END"""
 
 
-CANDIDATES_SQL = f"""{RELATIONS_SQL}, cand AS (
+CANDIDATES_SQL = f"""{RELATIONS_SQL}, cand AS MATERIALIZED (
   SELECT p.author, p.chat_id, p.message_id, p.head_text AS product, p.tail_text AS price, c.tail_text AS crit
   FROM (SELECT * FROM rels WHERE label = 'PROD_PRICE') p LEFT JOIN (SELECT * FROM rels WHERE label <> 'PROD_PRICE') c
   ON p.author = c.author AND p.chat_id = c.chat_id AND p.message_id = c.message_id
@@ -508,7 +508,7 @@ OFFERS_SQL = f"""{CANDIDATES_SQL}, fam(type, part) AS (VALUES {_FAMILY_ROWS}),
          FROM cand JOIN fam ON contains(lower(product), part)),
   o2 AS (SELECT *, CASE WHEN crit IS NULL THEN 'none' WHEN months IS NOT NULL THEN 'months'
          WHEN contains(lower(crit), 'lif') THEN 'lifetime' END AS crit_kind FROM o1),
-  offers AS (SELECT author, chat_id, message_id, product, type, price, crit_kind, months AS crit_months,
+  offers AS MATERIALIZED (SELECT author, chat_id, message_id, product, type, price, crit_kind, months AS crit_months,
     CASE WHEN months <> 0 THEN price / months END AS price_per_month, crit_kind = 'months' AS is_normalized, price >= 0 AS is_priced
     FROM o2 WHERE crit_kind IS NOT NULL)"""
 
@@ -526,7 +526,7 @@ _OFFER_COLUMNS = """author, chat_id, message_id, product, type, round(price, 6)
   round(price_per_month, 6) + 0.0 AS price_per_month, is_normalized, is_priced"""
 
 
-@query("j5_offer_candidates", f"WITH {CANDIDATES_SQL} SELECT * FROM cand")
+@query("j5_offer_candidates", f"WITH {CANDIDATES_SQL} SELECT author, chat_id, message_id, product, price, crit FROM cand")
 def j5(spark, folder):
     return flat(offers.offer_candidates(inputs.relations(spark, folder)))
 
