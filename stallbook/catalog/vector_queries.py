@@ -407,17 +407,19 @@ NAMES_SQL = f"""{PRODUCT_CLUSTERS_SQL}, {ITEM_SQL},
   iv AS (SELECT item, list(x ORDER BY dim) AS p FROM item_dims GROUP BY item),
   cd AS (SELECT cluster_id, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM clusters JOIN emb USING (id) WHERE cluster_id >= 0),
   means AS (SELECT cluster_id, list(x ORDER BY dim) AS m FROM (SELECT cluster_id, dim, avg(x) AS x FROM cd GROUP BY ALL) GROUP BY cluster_id),
-  offered AS (SELECT DISTINCT cluster_id, p_name AS product FROM clusters JOIN part ON p_partkey = id WHERE cluster_id >= 0),
+  offered AS (SELECT DISTINCT cluster_id, p_name AS product FROM clusters JOIN part ON p_partkey % (SELECT count(*) FROM embeddings) = id WHERE cluster_id >= 0),
   dist AS (SELECT cluster_id, product, 1 - list_cosine_similarity(p, m) AS d FROM offered JOIN iv ON product = item JOIN means USING (cluster_id)),
   best AS (SELECT cluster_id, product, row_number() OVER (PARTITION BY cluster_id ORDER BY d, product) AS rk FROM dist WHERE d < 1),
   names AS (SELECT cluster_id, coalesce(product, '') AS cluster_name FROM means LEFT JOIN (SELECT * FROM best WHERE rk = 1) USING (cluster_id))"""
 
 
-def named_clusters(spark, folder):
+def named_clusters(spark, folder, clean=False):
     clusters = stored(product_clusters(spark, folder), "clusters")
-    products = inputs.table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product"))
+    # Every part belongs to a vector: parts are dealt to the vector ids, which count from 0, in turn.
+    n = inputs.table(spark, folder, "embeddings").count()
+    products = inputs.table(spark, folder, "part").select(F.pmod("p_partkey", F.lit(n)).alias("id"), F.col("p_name").alias("product"))
     names = clustering.cluster_names(
-        clusters, id_vectors(spark, folder), products, item_vectors(spark, folder).withColumnRenamed("item", "product")
+        clusters, id_vectors(spark, folder), products, item_vectors(spark, folder).withColumnRenamed("item", "product"), clean
     )
     return clusters, names
 
@@ -427,6 +429,17 @@ def v9(spark, folder):
     return named_clusters(spark, folder)[1]
 
 
+CLEAN_NAMES_SQL = NAMES_SQL.replace(
+    "best AS (SELECT cluster_id, product, row_number()",
+    "clean AS (SELECT cluster_id, regexp_replace(product, '[^\\p{L}\\p{N}_]', '', 'g') AS product, d FROM dist),\n  best AS (SELECT cluster_id, product, row_number()",
+).replace("FROM dist WHERE d < 1)", "FROM clean WHERE d < 1 AND product <> '')").replace("coalesce(product, '')", "coalesce(product, 'NO_NAME')")
+
+
+@query("v9_clean_cluster_names", f"WITH {CLEAN_NAMES_SQL} SELECT cluster_id, cluster_name FROM names")
+def v9_clean(spark, folder):
+    return named_clusters(spark, folder, clean=True)[1]
+
+
 @query(
     "s11_write_clusters",
     f"""WITH {NAMES_SQL} SELECT id, cluster_id, CASE WHEN cluster_id = -1 THEN 'NO_CLUSTER' ELSE cluster_name || ' / ' || CAST(cluster_id AS STRING) END AS cluster_name,

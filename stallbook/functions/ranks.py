@@ -1,56 +1,64 @@
 """Exact ranks and quantiles without sorting a whole group in one task."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
+from stallbook.scratch import stored
+
+#: A sketch misses a rank by at most 1 / ACCURACY of the rows; groups of fewer rows are exact but for rounding.
+ACCURACY = 10_000
+_BELOW, _INSIDE, _ABOVE = -1, 0, 1
+
+
+def _brackets(quantiles: list[float]) -> tuple[Column, Column]:
+    """The sketched values, and from them a struct (i, quantile, low, high) for each quantile."""
+    inner = [q for q in quantiles if 0 < q < 1]
+    points = [min(max(q + side * 2 / ACCURACY, 0.0), 1.0) for q in inner for side in (-1, 1)]
+    out = []
+    for i, q in enumerate(quantiles):
+        at = 2 * len([x for x in quantiles[:i] if 0 < x < 1])
+        low, high = (F.col("least"),) * 2 if q <= 0 else (F.col("most"),) * 2 if q >= 1 else (F.col("edges")[at], F.col("edges")[at + 1])
+        out.append(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("quantile"), low.alias("low"), high.alias("high")))
+    return F.percentile_approx("v", points or [0.5], ACCURACY), F.array(*out)
 
 
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, quantiles: list[float], bucket_width: float = 1.0
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """Quantiles per group with linear interpolation: `by`, `n`, and an array column `q` in the given order.
 
-    Equal values are counted before anything is sorted, and values are ranked in two steps: inside a bucket of
-    `bucket_width`, then over the bucket totals. No task sees more than one bucket of distinct values or the
-    totals of one group.
+    A mergeable sketch of each group brackets every quantile between two values. One more pass counts what lies below a bracket
+    and the values inside it, and only these few are ranked. Both passes combine on the map side, so a group of any size and any
+    scale leaves a task as a sketch, counts, and the distinct values of its brackets.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("v"))
-        .agg(F.count("*").alias("c"))
-        .withColumn("bucket", F.floor(F.col("v") / bucket_width))
+    names = [f"by_{i}" for i in range(len(by))]
+    rows = stored(df.select(*(F.col(c).alias(x) for c, x in zip(by, names)), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"), "values")
+    sketched, brackets = _brackets(quantiles)
+    sketch = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), sketched.alias("edges"))
+    asked = stored(sketch.select(*(F.col(x).alias(f"k_{x}") for x in names), "n", brackets.alias("b")), "sketches").filter("n > 0")
+    same = reduce(and_, (F.col(x).eqNullSafe(F.col(f"k_{x}")) for x in names), F.lit(True))
+    zone = lambda x: F.when(F.col("v") < x["low"], _BELOW).when(F.col("v") > x["high"], _ABOVE).otherwise(_INSIDE)
+    places = F.transform("b", lambda x: F.struct(x["i"].alias("i"), x["quantile"].alias("quantile"), zone(x).alias("zone")))
+    met = rows.join(F.broadcast(asked) if not by else asked, same).select(*names, "n", "v", F.inline(places))
+    counted = met.groupBy(*names, "n", "i", "quantile", "zone", F.when(F.col("zone") == _INSIDE, F.col("v")).alias("at")).agg(
+        F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last")
     )
-    in_bucket = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(*_UP_TO_HERE)
-    before_bucket = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    totals = (
-        counted.groupBy(*by, "bucket")
-        .agg(F.sum("c").alias("bucket_n"))
-        .withColumn("offset", F.coalesce(F.sum("bucket_n").over(before_bucket), F.lit(0)))
-        .withColumn("n", F.sum("bucket_n").over(whole))
-    )
-    ranked = (
-        counted.withColumn("upto", F.sum("c").over(in_bucket))
-        .join(totals.drop("bucket_n"), [*by, "bucket"])
-        .withColumn("last", F.col("offset") + F.col("upto") - 1)
-        .withColumn("first", F.col("last") - F.col("c") + 1)
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
-
-    picks = []
-    for i, q in enumerate(quantiles):
-        position = q * (F.col("n") - 1)
-        picks += [at(F.floor(position)).alias(f"lo{i}"), at(F.ceil(position)).alias(f"hi{i}")]
-    picked = ranked.groupBy(*by, "n").agg(*picks)
+    order = Window.partitionBy(*names, "i").orderBy("zone", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.sum("c").over(order))
+    position = F.col("quantile") * (F.col("n") - 1)
+    below = F.coalesce(F.max(F.when(F.col("zone") == _BELOW, F.col("c"))), F.lit(0))
 
-    def interpolated(i: int, q: float) -> Column:
-        position = q * (F.col("n") - 1)
-        return F.col(f"lo{i}") + (position - F.floor(position)) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
+    def pick(rank: Column) -> Column:
+        """Small groups can miss a bracket by one rank, and that neighbour is known."""
+        under, over = F.max(F.when(F.col("zone") == _BELOW, F.col("last"))), F.min(F.when(F.col("zone") == _ABOVE, F.col("first")))
+        inside = F.min(F.when((F.col("zone") == _INSIDE) & (F.col("upto") > rank), F.col("at")))
+        return F.when(F.first(rank) < below, under).otherwise(F.coalesce(inside, over))
 
-    return picked.select(*by, "n", F.array(*[interpolated(i, q) for i, q in enumerate(quantiles)]).alias("q"))
+    picked = ranked.groupBy(*names, "n", "i", "quantile").agg(pick(F.floor(position)).alias("lo"), pick(F.ceil(position)).alias("hi"))
+    point = F.col("lo") + (position - F.floor(position)) * (F.col("hi") - F.col("lo"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", point.alias("x")))), lambda x: x["x"])
+    return picked.groupBy(*names, "n").agg(listed.alias("q")).select(*(F.col(x).alias(c) for c, x in zip(by, names)), "n", "q")
 
 
 def order_digest(key: list[str], seed: int) -> Column:

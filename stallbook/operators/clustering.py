@@ -171,7 +171,7 @@ def cluster_layout(vectors: DataFrame) -> DataFrame:
 
 def cluster_medians(layout: DataFrame) -> DataFrame:
     """Median position per cluster."""
-    middle = lambda axis: exact_quantiles(layout, ["cluster"], axis, [0.5], 0.01).select(
+    middle = lambda axis: exact_quantiles(layout, ["cluster"], axis, [0.5]).select(
         "cluster", F.col("q")[0].alias(axis)
     )
     return middle("x").join(middle("y"), "cluster")

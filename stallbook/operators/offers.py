@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stallbook.functions.ranks import exact_quantiles
 from stallbook.functions.text import normalize_price, normalize_product_name, subscription_length
 from stallbook.schemas import PROD_PRICE
+from stallbook.scratch import stored
 
 # Product families and the letters that identify them inside a lower-cased product text.
 FAMILIES = {"Netflix": "netfl", "NordVPN": "nordv", "Sky": "sky"}
@@ -88,10 +89,10 @@ def histogram_offers(offers: DataFrame, types: list[str]) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, by: list[str], value: str, bucket_width: float = 1.0) -> DataFrame:
+def box_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Five-number summary per group."""
     names = ["min", "q1", "median", "q3", "max"]
-    stats = exact_quantiles(df, by, value, FIVE_NUMBERS, bucket_width)
+    stats = exact_quantiles(df, by, value, FIVE_NUMBERS)
     return stats.select(*by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
 
 
@@ -128,7 +129,7 @@ def product_price_ranges(prices: DataFrame, more_than: int = 15, cap: float = 10
         normalize_product_name(F.col("product")).alias("product"), normalize_price(F.col("price_text")).alias("price")
     ).filter("price >= 0")
     # Equal prices travel as one row with a count until the frequent products are known.
-    counted = priced.groupBy("product", "price").agg(F.count("*").alias("n"))
+    counted = stored(priced.groupBy("product", "price").agg(F.count("*").alias("n")), "prices")
     frequent = (
         counted.groupBy("product").agg(F.sum("n").alias("n_prices")).filter(F.col("n_prices") > more_than)
     )

@@ -38,6 +38,8 @@ class PivotTree:
     nodes: DataFrame
     points: DataFrame
     rows: int
+    #: The root is the only leaf.
+    single: bool
 
 
 def leaf_rows(dims: int) -> int:
@@ -127,7 +129,7 @@ def build_tree(points: DataFrame) -> PivotTree | None:
         nodes = nodes.unionByName(level)
     for part in done[1:]:
         leaves = leaves.unionByName(part)
-    return PivotTree(nodes, leaves.withColumnRenamed("node", "leaf"), rows)
+    return PivotTree(nodes, leaves.withColumnRenamed("node", "leaf"), rows, len(levels) == 1)
 
 
 def _meets(radius: float) -> Column:

@@ -36,6 +36,8 @@ def _meetings(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     if tree is None:
         return None
     blocks = stored(packed(tree), "blocks")
+    if tree.single:
+        return blocks, blocks.select(*(F.col(c).alias(c) for c in blocks.columns), F.lit(True).alias("own"))
     coming = visits(tree, blocks, math.sqrt(2.0 * threshold)).select(F.col("at").alias("leaf"), F.lit(False).alias("own"), "block", "ids", "n", "data")
     at_home = blocks.select("leaf", F.lit(True).alias("own"), "block", "ids", "n", "data")
     guests = stored(coming.unionByName(at_home), "visits")

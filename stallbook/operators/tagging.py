@@ -16,16 +16,24 @@ from stallbook.operators.token_trie import longest_first, token_ends, with_match
 from stallbook.schemas import MONEY, PATTERN_LABELS
 
 
+def _span_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of every span, cut from a decoded text: a character of UTF-8 is found only by reading all before it."""
+    for batch in batches:
+        labels, parts = [], []
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            whole = text.as_py()
+            for span in spans:
+                labels.append(span["label"])
+                parts.append(whole[span["start"] : span["end"]])
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(parts, pa.string())], ["label", "part"])
+
+
 def build_patterns(docs: DataFrame, labels: tuple[str, ...] = PATTERN_LABELS) -> DataFrame:
     """Distinct lower-cased token sequences of the annotated spans: label, tokens."""
-    part = F.lower(F.expr("substring(text, s.start + 1, s.end - s.start)"))
-    return (
-        docs.select("text", F.explode("spans").alias("s"))
-        .filter(F.col("s.label").isin(*labels))
-        .select(F.col("s.label").alias("label"), tokens_of(part).alias("tokens"))
-        .filter(F.size("tokens") > 0)
-        .distinct()
-    )
+    wanted = F.filter("spans", lambda s: s["label"].isin(*labels) & (s["start"] >= 0) & (s["end"] > s["start"]))
+    rows = spread(docs.select("text", wanted.alias("spans"))).filter(F.col("text").isNotNull() & (F.size("spans") > 0))
+    parts = rows.mapInArrow(_span_texts, "label string, part string").distinct()
+    return parts.select("label", tokens_of(F.lower("part")).alias("tokens")).distinct().filter(F.size("tokens") > 0)
 
 
 def pattern_rows(patterns: DataFrame) -> DataFrame:
@@ -55,12 +63,11 @@ def pattern_matches(docs: DataFrame, patterns: DataFrame, key: list[str]) -> Dat
     return with_matches(_words(docs, key), patterns, optional=True).select(*key, F.inline("found"))
 
 
-_TAGS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("first", "last", "start", "end"))]))
 _DIGITS = r"[.,]*\p{Nd}[\p{Nd}.,]*"
 
 
 def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with `pieces`, `words` and `found` as texts with `tags`, their entities without overlap."""
+    """Texts with `pieces`, `words` and `found` as one row for each of their entities without overlap."""
     number = rf"^[+\-±~]?{_DIGITS}(/{_DIGITS})?$"
     known = pa.array(list(NUMBER_WORDS))
     for batch in batches:
@@ -87,11 +94,18 @@ def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_place = np.argsort(firsts, kind="stable")
         firsts, lasts = firsts[by_place], lasts[by_place]
         home = np.searchsorted(begin, firsts, "right") - 1
-        numbers = (firsts - begin[home], lasts - begin[home], tokens.start[firsts], tokens.end[lasts])
-        tags = pa.StructArray.from_arrays([names.take(pa.array(by_place)), *(pa.array(x, pa.int32()) for x in numbers)], ["label", "first", "last", "start", "end"])
+        starts, ends = tokens.start[firsts], tokens.end[lasts]
         offsets = np.concatenate([[0], np.cumsum(np.bincount(home, minlength=batch.num_rows))])
-        rest = [c for c in batch.schema.names if c not in ("pieces", "words", "found")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tags)], [*rest, "tags"])
+        parts = []
+        for row in np.flatnonzero(np.diff(offsets)).tolist():
+            text, (a, b) = batch.column("text")[row].as_py(), offsets[row : row + 2]
+            parts.extend(text[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
+        rest = [c for c in batch.schema.names if c not in ("text", "pieces", "words", "found")]
+        numbers = (firsts - begin[home], lasts - begin[home], starts, ends)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(pa.array(home)) for c in rest), names.take(pa.array(by_place)), pa.array(parts, pa.string()), *(pa.array(x, pa.int32()) for x in numbers)],
+            [*rest, "label", "tag_text", "first", "last", "start", "end"],
+        )
 
 
 def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
@@ -103,10 +117,11 @@ def tag_entities(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFr
     texts = spread(docs.select(*key, "text")).select(*key, "text", pieces_of(F.col("text")).alias("pieces"))
     words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(t))
     matched = with_matches(texts.withColumn("words", words).filter(F.size("words") > 0), patterns, optional=True)
-    fields = [f for f in matched.schema.fields if f.name not in ("pieces", "words", "found")]
-    tagged = matched.mapInArrow(_tag, T.StructType(fields).add("tags", _TAGS))
-    inner = tagged.select(*key, F.col("text").alias("doc_text"), F.inline("tags"))
-    return inner.select(*key, "label", F.expr("substring(doc_text, start + 1, end - start)").alias("text"), "first", "last", "start", "end")
+    out = T.StructType([f for f in matched.schema.fields if f.name not in ("text", "pieces", "words", "found")])
+    out = out.add("label", T.StringType()).add("tag_text", T.StringType())
+    for name in ("first", "last", "start", "end"):
+        out = out.add(name, T.IntegerType())
+    return matched.mapInArrow(_tag, out).select(*key, "label", F.col("tag_text").alias("text"), "first", "last", "start", "end")
 
 
 Annotator = Callable[[str], list[tuple[int, int, str]]]

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 TRIE_TOKENS = 1 << 20
 #: Tokens of a phrase that must match; each later one may be missing if tokens are optional.
 MANDATORY = 2
+# Above the number of tokens in any phrase of a trie: places and lengths are sorted as one number.
+_LONGEST = TRIE_TOKENS + 1
 
 MATCHES = T.ArrayType(T.StructType().add("first", T.IntegerType()).add("n", T.IntegerType()).add("label", T.StringType()))
 _MATCHES = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("label", pa.string())]))
@@ -39,6 +41,7 @@ class TokenTrie:
     starts: np.ndarray
     accepted: np.ndarray
     labels: list[str]
+    optional: bool
 
     def step(self, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the places go on (by index, once for every edge), and where to."""
@@ -88,12 +91,12 @@ def build_trie(phrases: list[tuple[str, list[str]]], optional: bool) -> TokenTri
     table = np.array(sorted(edges), np.int64).reshape(-1, 3)
     accepted = np.array(sorted((node, number[label]) for node, label in ends), np.int64).reshape(-1, 2)
     starts = np.searchsorted(accepted[:, 0], np.arange(len(parent) + 1))
-    return TokenTrie(pa.array(list(words), pa.string()), table[:, 0] * len(words) + table[:, 1], table[:, 2], starts, accepted[:, 1], labels)
+    return TokenTrie(pa.array(list(words), pa.string()), table[:, 0] * len(words) + table[:, 1], table[:, 2], starts, accepted[:, 1], labels, optional)
 
 
 def walk(trie: TokenTrie, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matches (first, n, label number), sorted, in word numbers `ids` (-1: in no phrase). ends: where the text of each token ends."""
-    at, node = np.flatnonzero(ids >= 0), None
+    at = np.flatnonzero(ids >= 0)
     node = np.zeros(len(at), np.int64)
     found, n = [], 0
     while len(at):
@@ -102,12 +105,13 @@ def walk(trie: TokenTrie, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray
         inside = inside[ids[here[inside]] >= 0]
         places, node = trie.step(node[inside], ids[here[inside]])
         at, n = at[inside][places], n + 1
-        once = np.unique(at * len(trie.starts) + node)
-        at, node = np.divmod(once, len(trie.starts))
+        if trie.optional:  # two ways of leaving tokens out can meet
+            at, node = np.divmod(np.unique(at * len(trie.starts) + node), len(trie.starts))
         owner, accepted = _expand(trie.starts[node], trie.starts[node + 1])
-        found.append(np.column_stack([at[owner], np.full(len(owner), n), trie.accepted[accepted]]))
-    out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    return out[:, 0], out[:, 1], out[:, 2]
+        found.append((at[owner] * _LONGEST + n) * len(trie.labels) + trie.accepted[accepted])
+    key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    place, label = np.divmod(key, max(len(trie.labels), 1))
+    return *np.divmod(place, _LONGEST), label
 
 
 def token_ends(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stallbook.functions import ranks
 from stallbook.functions.ranks import exact_quantiles
 from stallbook.operators import offers
 
@@ -59,16 +60,27 @@ def test_price_ranges(spark, rows):
     assert rows(found.agg(F.min("product"), F.sum("n"), F.max("price"), F.max("n_prices"))) == [("uhren", 16, 15.0, 17)]
 
 
-@pytest.mark.parametrize("width", [0.5, 1.0, 1000.0])
-def test_quantiles_equal_numpy(spark, width):
+@pytest.mark.parametrize("accuracy", [4, 50, 10_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
     rng = np.random.default_rng(5)
     # Half of the values are one and the same, and some are negative.
-    data = [("a", float(v)) for v in rng.normal(3, 20, 301).round(2)] + [("a", 7.0)] * 300 + [("b", 1.5)]
+    data = [("a", float(v)) for v in rng.normal(3, 20, 301).round(2)] + [("a", 7.0)] * 300 + [("b", 1.5), (None, 1.0), (None, 2.0), ("c", None)]
+    data += [(f"s{n}", float(v)) for n in range(2, 14) for v in rng.random(n)]
     df = spark.createDataFrame(data, "g string, x double")
     q = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    found = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "x", q, width).collect()}
-    assert found["a"] == pytest.approx(list(np.quantile([v for g, v in data if g == "a"], q)))
-    assert found["b"] == [1.5] * 6
+    found = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "x", q).collect()}
+    assert set(found) == {g for g, v in data if v is not None}
+    for group, shown in found.items():
+        assert shown == pytest.approx(list(np.quantile([v for g, v in data if g == group and v is not None], q)))
+
+
+def test_quantiles_of_many_distinct_ratios(spark):
+    values = spark.range(1_000_000).select((F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 1_000_003).alias("x"))
+    x = np.sort((np.arange(1_000_000) * 7919 % 1_000_003) / 1_000_003)
+    q = [0.0, 0.25, 0.5, 0.999, 1.0]
+    row = exact_quantiles(values, [], "x", q).first()
+    assert row["n"] == 1_000_000 and row["q"] == pytest.approx(list(np.quantile(x, q)), abs=1e-12)
 
 
 def test_price_trend(spark):
