@@ -13,7 +13,7 @@ from stallbook.catalog.inputs import (
     USER_NAME_SQL,
     user_name,
 )
-from stallbook.catalog.registry import flat, query, r6
+from stallbook.catalog.registry import SQL, flat, query, r6
 from stallbook.functions.text import LENGTH_PATTERN, NUMBER_WORDS, is_float, normalize_price, normalize_product_name, number_word, subscription_length
 from stallbook.operators import activity, corpus, messages, offers, pairing, summaries
 from stallbook.plans import jobs
@@ -392,7 +392,7 @@ def a11(spark, folder):
 EXPORT_LIMIT = 500
 
 
-def write_exports(spark, folder):
+def write_exports(spark, folder, **options):
     """Conversations as chat exports, one per line; the declared count is twice the number of user turns."""
     rows = inputs.messages(spark, folder)
     message = F.struct(
@@ -413,7 +413,7 @@ def write_exports(spark, folder):
         ).alias("info"),
     )
     path = fresh_dir(spark, "exports")
-    exports.select("info", "messages").write.json(path)
+    exports.select("info", "messages").write.options(**options).json(path)
     return path
 
 
@@ -436,6 +436,22 @@ def s1(spark, folder):
     )
 
 
+@query("s1_read_large_chat", SQL["s1_read_chat"])
+def s1_large(spark, folder):
+    """Exports of one file each, read in byte ranges far smaller than a file."""
+    rows = stored(chats.read_ranges(spark, write_exports(spark, folder, maxRecordsPerFile=1), range_bytes=1 << 16), "ranges")
+    sources = rows.filter("info IS NOT NULL").select("chat_id", F.col("info.source").alias("source"))
+    return chats.ranged_messages(rows).join(sources, "chat_id").select(
+        "source",
+        "message_id",
+        F.col("user.id").alias("user_id"),
+        F.col("user.username").alias("username"),
+        F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"),
+        "ts_local",
+        "text",
+    )
+
+
 @query(
     "s2_validate_message_count",
     f"""WITH {MSG_SQL} SELECT chat_id AS source, 2 * count(*) FILTER (user_id LIKE 'user%') AS declared, count(*) AS actual

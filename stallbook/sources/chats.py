@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.schemas import CHAT
+from stallbook.schemas import CHAT, MESSAGE
+from stallbook.sources.export_ranges import RANGE_BYTES, ChatExportSource
 
 # An ISO 8601 stamp may end in Z, +02:00, +0200 or +02, or have no offset.
 _OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2})?)$"
@@ -35,13 +36,13 @@ def wall_clock(stamp: Column) -> Column:
     return F.when(stamp.contains("T"), F.regexp_replace(stamp, _OFFSET, "")).otherwise(stamp).try_cast("timestamp_ntz")
 
 
-def messages_of(exports: DataFrame) -> DataFrame:
-    """One row per message, `ts` as an instant and `ts_local` as the sender's wall clock. An unreadable stamp fails and names the message."""
+def _shown(messages: DataFrame) -> DataFrame:
+    """Columns of messages (chat_id, m)."""
     m = F.col("m")
     stamp = m["datetime"]
     unreadable = F.raise_error(F.concat_ws(" ", F.lit("no time stamp:"), stamp, F.lit("in message"), m["id"].cast("string"), F.lit("of"), F.col("chat_id")))
     ts = F.when(stamp.isNull() | instant(stamp).isNotNull(), instant(stamp)).otherwise(unreadable)
-    return exports.select("chat_id", F.explode("messages").alias("m")).select(
+    return messages.select(
         "chat_id",
         m["id"].alias("message_id"),
         m["user"].alias("user"),
@@ -53,6 +54,11 @@ def messages_of(exports: DataFrame) -> DataFrame:
     )
 
 
+def messages_of(exports: DataFrame) -> DataFrame:
+    """One row per message, `ts` as an instant and `ts_local` as the sender's wall clock. An unreadable stamp fails and names the message."""
+    return _shown(exports.select("chat_id", F.explode("messages").alias("m")))
+
+
 def count_violations(exports: DataFrame) -> DataFrame:
     """Exports whose declared message count differs from the number of messages in them."""
     actual = F.coalesce(F.size("messages"), F.lit(0)).cast("long")
@@ -61,16 +67,39 @@ def count_violations(exports: DataFrame) -> DataFrame:
     ).filter("declared IS DISTINCT FROM actual")
 
 
+def _count_message(declared: Column, actual: Column) -> Column:
+    return F.concat_ws(" ", F.lit("declared message count"), declared, F.lit("but found"), actual, F.lit("in"), F.col("chat_id"))
+
+
 def checked(exports: DataFrame) -> DataFrame:
     """The exports again; reading one with a wrong message count fails and names both numbers."""
     actual = F.coalesce(F.size("messages"), F.lit(0)).cast("long")
     declared = F.col("info.message_count")
-    message = F.concat_ws(
-        " ", F.lit("declared message count"), declared, F.lit("but found"), actual, F.lit("in"), F.col("chat_id")
-    )
-    valid = F.when(declared.eqNullSafe(actual), F.col("messages")).otherwise(F.raise_error(message))
+    valid = F.when(declared.eqNullSafe(actual), F.col("messages")).otherwise(F.raise_error(_count_message(declared, actual)))
     return exports.withColumn("messages", valid)
 
 
 def read_chat(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     return messages_of(checked(read_exports(spark, path, multi_line)))
+
+
+def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """chat_id, info, m: one row per info and per message of exports (one per file) of any size, read in byte ranges."""
+    spark.dataSource.register(ChatExportSource)
+    rows = spark.read.format("chat_export").option("path", path).option("rangeBytes", range_bytes).load()
+    parsed = lambda kind, schema: F.when(F.col("kind") == kind, F.from_json("body", schema))
+    return rows.select("chat_id", parsed("info", CHAT["info"].dataType).alias("info"), parsed("message", MESSAGE).alias("m"))
+
+
+def ranged_messages(rows: DataFrame) -> DataFrame:
+    """The messages among the rows of `read_ranges`, as `messages_of` shows them."""
+    return _shown(rows.filter("m IS NOT NULL").select("chat_id", "m"))
+
+
+def read_large_chat(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As `read_chat`, but a file is split. A wrong message count fails; the counts are one row per export."""
+    rows = read_ranges(spark, path, range_bytes)
+    counts = rows.groupBy("chat_id").agg(F.max("info.message_count").alias("declared"), F.count("m").alias("actual"))
+    declared, actual = F.col("declared"), F.col("actual")
+    fine = F.when(declared.eqNullSafe(actual), F.col("m")).otherwise(F.raise_error(_count_message(declared, actual)))
+    return _shown(rows.filter("m IS NOT NULL").join(counts, "chat_id").select("chat_id", fine.alias("m")))

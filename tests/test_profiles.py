@@ -1,3 +1,4 @@
+import io
 import json
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallbook.operators import activity, messages, summaries
 from stallbook.plans import jobs
-from stallbook.sources import chats, profiles
+from stallbook.sources import chats, export_ranges, profiles
 
 USER = "struct<id: string, first_name: string, last_name: string, username: string, phone: string>"
 ANNOTATED = f"""chat_id string, message_id long, user {USER}, ts timestamp, ts_local timestamp_ntz, text string,
@@ -136,6 +137,43 @@ def test_wrong_message_count(spark, tmp_path):
         chats.read_chat(spark, str(tmp_path)).collect()
 
 
+TRICKY = ['{"id": 1, "user"', '\\"}, {"id":5', "}]", "äöü€ 😀 {", '", "info": {"message_count": 9}', None, "", "[{", '\\', ':"x"', "{" * 30 + "}"]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("size", [1, 7, 64, 333, 10**6])
+def test_ranges_of_any_size_find_every_object_once(indent, size, monkeypatch):
+    monkeypatch.setattr(export_ranges, "BLOCK_BYTES", 16 if size < 100 else 1 << 20)
+    for ascii_only in (True, False):
+        whole = export(len(TRICKY), TRICKY)
+        raw = json.dumps(whole, indent=indent, ensure_ascii=ascii_only).encode()
+        found = [x for at in range(0, len(raw), size) for x in export_ranges.objects_of(io.BytesIO(raw), at, min(at + size, len(raw)))]
+        assert [json.loads(body) for _, kind, body in found if kind == "message"] == whole["messages"]
+        assert [json.loads(body) for _, kind, body in found if kind == "info"] == [whole["info"]]
+
+
+def test_a_torn_export_fails():
+    raw = json.dumps(export(1, ["a"])).encode()[:-30]
+    with pytest.raises(ValueError, match="ends inside"):
+        list(export_ranges.objects_of(io.BytesIO(raw), 0, len(raw)))
+
+
+def test_large_chats_equal_whole_ones(spark, tmp_path):
+    for name, texts in (("a.json", TRICKY * 3), ("b.json", ["x", "y"])):
+        (tmp_path / name).write_text(json.dumps(export(len(texts), texts), indent=1, ensure_ascii=False))
+    whole = sorted(map(repr, chats.read_chat(spark, str(tmp_path)).collect()))
+    split = chats.read_large_chat(spark, str(tmp_path), 500)
+    assert sorted(map(repr, split.collect())) == whole
+    assert chats.read_ranges(spark, str(tmp_path), 500).rdd.getNumPartitions() > 4
+    assert sorted(map(repr, chats.read_large_chat(spark, f"file://{tmp_path}/a.json").collect())) == [r for r in whole if "a.json" in r]
+
+
+def test_large_chat_of_a_wrong_count(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(export(3, ["a"])))
+    with pytest.raises(PySparkException, match="3 but found 1"):
+        chats.read_large_chat(spark, str(tmp_path)).collect()
+
+
 def test_activity(spark, rows):
     times = spark.sql(
         "SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-01 10:00:00'), ('a', TIMESTAMP_NTZ '2024-01-01 11:00:00'),"
