@@ -19,7 +19,7 @@ from stallbook.functions.text import (
     replace_nonprint,
     tokenize,
 )
-from stallbook.operators import corpus, evaluation, pairing, tagging
+from stallbook.operators import alignment, corpus, evaluation, pairing, tagging
 from stallbook.operators.messages import named_entities, users_of
 from stallbook.operators.vectors import contextual_profile_vectors
 from stallbook.plans import jobs
@@ -332,12 +332,11 @@ def n10(spark, folder):
 
 @query("n11_span_to_tokens", f"WITH {RANGED_SQL} SELECT id, pos, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at, label, first_tok, last_tok, ok FROM ranged")
 def n11(spark, folder):
-    return flat(corpus.span_tokens(docs(spark, folder), doc_tokens(spark, folder), ID))
+    return flat(alignment.span_tokens(docs(spark, folder), ID))
 
 
 def tagged_tokens(spark, folder):
-    tokens = stored(doc_tokens(spark, folder), "tokens")
-    return corpus.bio_tags(tokens, corpus.span_tokens(docs(spark, folder), tokens, ID), ID)
+    return alignment.bio_tags(docs(spark, folder), ID)
 
 
 @query("n12_bio_tags", f"WITH {TAGS_SQL} SELECT id, idx, token, s AS start_at, e AS end_at, tag FROM tagged")
@@ -402,7 +401,7 @@ def n14(spark, folder):
         LEFT JOIN owner t ON t.id = d.id AND t.rel_pos = d.rel_pos AND t.side = 'tail'""",
 )
 def j14(spark, folder):
-    found = corpus.resolve_relations(docs(spark, folder), stored(doc_tokens(spark, folder), "tokens"), ID)
+    found = alignment.resolve_relations(docs(spark, folder), ID)
     return found.select("id", "rel_pos", "label", "head_pos", "tail_pos")
 
 
@@ -579,7 +578,7 @@ GOLD_RANGES_SQL = span_tokens_sql("spans", "toks", ["id"])
 
 @query("a21_classification_report", f"WITH {MATCH_SQL}, {GOLD_RANGES_SQL}, okay AS (SELECT * FROM ranged WHERE ok), {report_sql('okay', True)}")
 def a21(spark, folder):
-    gold = corpus.span_tokens(docs(spark, folder), doc_tokens(spark, folder), ID).filter("ok")
+    gold = alignment.span_tokens(docs(spark, folder), ID).filter("ok")
     report = evaluation.classification_report(stored(matches(spark, folder), "matches"), gold, ["id", "first", "last"])
     return report.withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
 
@@ -663,6 +662,6 @@ def v3(spark, folder):
     found = inputs.annotated(inputs.messages(spark, folder)).withColumn("user", inputs.user_name())
     tokens = tokenize(found, key)
     in_context = F.array(F.length("token").cast("double"), F.col("idx").cast("double"), F.col("start").cast("double"))
-    spans = corpus.span_tokens(found, tokens, key).filter("ok AND label = 'PROD'").join(found.select(*key, "user"), key)
+    spans = alignment.span_tokens(found, key).filter("ok AND label = 'PROD'").join(found.select(*key, "user"), key)
     vectors = contextual_profile_vectors(tokens.withColumn("vector", in_context), spans, users_of(found), key, 3)
     return flat(vectors.select("user", *[r6(F.col("vector")[i]).alias(f"x{i + 1}") for i in range(3)]))

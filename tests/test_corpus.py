@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stallbook.functions.text import tokenize
-from stallbook.operators import corpus
+from stallbook.operators import alignment, corpus
 from stallbook.sources import corpora
 
 DOCS = """id long, text string, spans array<struct<start: int, end: int, label: string>>,
@@ -107,7 +107,7 @@ def test_prepare_iaa(spark, rows):
 
 def ranges(spark, text, spans):
     docs = frame(spark, (text, spans))
-    found = corpus.span_tokens(docs, tokenize(docs, ["id"]), ["id"]).orderBy("pos").collect()
+    found = alignment.span_tokens(docs, ["id"]).orderBy("pos").collect()
     return [(r["first"], r["last"], r["ok"]) for r in found]
 
 
@@ -137,7 +137,7 @@ def test_random_spans_equal_brute_force(spark):
     by_doc = {}
     for t in tokens.orderBy("idx").collect():
         by_doc.setdefault(t["id"], []).append(t)
-    for found in corpus.span_tokens(docs, tokens, ["id"]).collect():
+    for found in alignment.span_tokens(docs, ["id"]).collect():
         text, toks = texts[found["id"]], by_doc[found["id"]]
         start, end = found["start"], found["end"]
         while text[start:end].startswith(" "):
@@ -157,7 +157,7 @@ def test_random_spans_equal_brute_force(spark):
 def test_later_spans_overwrite_tags(spark):
     docs = frame(spark, ("a b c d", [(0, 5, "PROD"), (2, 7, "LOC")]))
     tokens = tokenize(docs, ["id"])
-    tagged = corpus.bio_tags(tokens, corpus.span_tokens(docs, tokens, ["id"]), ["id"]).orderBy("idx")
+    tagged = alignment.bio_tags(docs, ["id"]).orderBy("idx")
     assert [r["tag"] for r in tagged.collect()] == ["B-PROD", "B-LOC", "I-LOC", "I-LOC"]
     sizes = corpus.corpus_sizes(docs.withColumn("split", F.lit("train")), tagged, ["id"])
     assert tuple(sizes.first()) == ("train", 1, 4, 4)
@@ -176,7 +176,7 @@ def test_relations_without_a_span_are_reported(spark, rows):
     docs = frame(
         spark, ("Netflix fuer 5 Euro", [(0, 7, "PROD"), (13, 14, "MONEY")], [(13, 14, 0, 7, "PROD_PRICE"), (0, 7, 8, 12, "PROD_PRICE")])
     )
-    found = corpus.resolve_relations(docs, tokenize(docs, ["id"]), ["id"])
+    found = alignment.resolve_relations(docs, ["id"])
     assert rows(found.select("rel_pos", "head_pos", "tail_pos")) == [(0, 1, 0), (1, 0, None)]
 
 
