@@ -608,18 +608,31 @@ def d4(spark, folder):
 D5_KINDS = (("PROD", "MONEY", "PROD_PRICE"), ("MONEY", "CRIT", "PRICE_CRIT"))
 
 
+# The line entities have positions but no text; their messages count as lines of this many characters.
+LINE_CHARS, LONGEST_MESSAGE = 120, 1200
+
+
 def labelled_pairs(spark, folder, head, tail, label):
-    pairs = evaluation.pair_features(pairing.adjacent_candidates(inputs.entities(spark, folder), pair=(head, tail)))
+    entities = inputs.entities(spark, folder)
+    candidates = pairing.adjacent_candidates(entities, pair=(head, tail))
+    breaks = entities.select("chat_id", "message_id").distinct().withColumn("at", F.explode(F.sequence(F.lit(LINE_CHARS), F.lit(LONGEST_MESSAGE), F.lit(LINE_CHARS))))
+    pairs = evaluation.between_features(evaluation.pair_features(candidates), entities, breaks)
     gold = inputs.relations(spark, folder).filter(F.col("label") == label)
     return evaluation.label_pairs(pairs, gold).withColumn("label", F.lit(label))
 
 
 def _features_sql(head, tail, label):
-    return f"""(WITH {adjacent_sql(head, tail)}, gold AS (SELECT DISTINCT chat_id, message_id, h_s, h_e, t_s FROM ({gold_ends_sql(label)}))
+    breaks = lambda at: f"floor((greatest({at}, 1) - 1) / {LINE_CHARS})"
+    return f"""(WITH {adjacent_sql(head, tail)}, gold AS (SELECT DISTINCT chat_id, message_id, h_s, h_e, t_s FROM ({gold_ends_sql(label)})),
+      ranged AS (SELECT *, row_number() OVER () AS pair, CASE WHEN e <= price_s THEN e ELSE price_e END AS low, CASE WHEN e <= price_s THEN price_s ELSE s END AS high FROM pairs),
+      inner_edges AS (SELECT * REPLACE (greatest(low, high) AS high) FROM ranged),
+      between_count AS (SELECT r.pair, count(*) AS n FROM inner_edges r JOIN ents x ON x.chat_id = r.chat_id AND x.message_id = r.message_id AND x.s >= r.low AND x.s < r.high GROUP BY r.pair)
       SELECT '{label}' AS label, p.chat_id, p.message_id, p.s AS start_at, p.e AS end_at, p.text, p.price_s AS price_start,
         CAST(abs(p.price_s - p.e) AS DOUBLE) AS distance, CAST(is_after AS DOUBLE) AS is_after, CAST(length(p.text) AS DOUBLE) AS product_length,
-        CAST(length(p.price_text) AS DOUBLE) AS price_length, CAST(gold.h_s IS NOT NULL AS INT) + 0.0 :: DOUBLE AS related
-      FROM pairs p LEFT JOIN gold ON p.chat_id = gold.chat_id AND p.message_id = gold.message_id AND p.s = gold.h_s AND p.e = gold.h_e AND p.price_s = gold.t_s)"""
+        CAST(length(p.price_text) AS DOUBLE) AS price_length, CAST(coalesce(b.n, 0) AS DOUBLE) AS entities_between,
+        CAST({breaks('high')} = {breaks('low')} AS INT) + 0.0 :: DOUBLE AS same_line, CAST(gold.h_s IS NOT NULL AS INT) + 0.0 :: DOUBLE AS related
+      FROM inner_edges p LEFT JOIN between_count b ON b.pair = p.pair
+      LEFT JOIN gold ON p.chat_id = gold.chat_id AND p.message_id = gold.message_id AND p.s = gold.h_s AND p.e = gold.h_e AND p.price_s = gold.t_s)"""
 
 
 def gold_ends_sql(label):
@@ -638,7 +651,7 @@ def d5_features(spark, folder):
 @query("d5_score_relations")
 def d5(spark, folder):
     """Scores of all pairs of both kinds, each kind with a model of its own; the pairs themselves are checked by d5_pair_features."""
-    scored = [evaluation.score_relations(p, p) for p in (stored(labelled_pairs(spark, folder, *kind), "pairs") for kind in D5_KINDS)]
+    scored = [evaluation.score_relations(p, folds=3) for p in (stored(labelled_pairs(spark, folder, *kind), "pairs") for kind in D5_KINDS)]
     columns = ["label", "chat_id", "message_id", "start", "end", "text", "price_start", "related", r6("probability").alias("probability")]
     return flat(scored[0].select(columns).unionByName(scored[1].select(columns)))
 

@@ -115,7 +115,7 @@ def adjacent_sql(head, tail):
           FROM p JOIN other m ON p.chat_id = m.chat_id AND p.message_id = m.message_id),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY chat_id, message_id, s, e, text, is_after
           ORDER BY abs(price_s - e), pos, price_e, price_text) AS rk FROM sided),
-        pairs AS (SELECT chat_id, message_id, s, e, text, is_after, price_text, price_s FROM ranked WHERE rk = 1)"""
+        pairs AS (SELECT chat_id, message_id, s, e, text, is_after, price_text, price_s, price_e FROM ranked WHERE rk = 1)"""
 
 
 PAIR_KINDS = {"candidates": ("PROD", "MONEY", "PROD_PRICE"), "lengths": ("MONEY", "CRIT", "PRICE_CRIT")}

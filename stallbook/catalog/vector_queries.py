@@ -457,13 +457,14 @@ def s11(spark, folder):
 
 @query("v15_cluster_layout")
 def v15(spark, folder):
+    """Median position of every cluster, and its distance to each cluster that lies close."""
     rows = inputs.class_vectors(spark, folder).withColumnRenamed("class", "cluster")
     layout = stored(clustering.cluster_layout(rows), "layout")
     medians = stored(clustering.cluster_medians(layout), "medians")
     close = clustering.close_clusters(medians)
-    return medians.join(close.groupBy("cluster").agg(F.count("*").alias("n_close")), "cluster", "left").select(
-        "cluster", F.coalesce("n_close", F.lit(0)).alias("n_close")
-    )
+    both = close.unionByName(close.select(F.col("other").alias("cluster"), F.col("cluster").alias("other"), "distance"))
+    shown = medians.join(both, "cluster", "left")
+    return shown.select("cluster", r6("x").alias("x"), r6("y").alias("y"), "other", r6("distance").alias("distance"))
 
 
 @query(

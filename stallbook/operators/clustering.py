@@ -162,11 +162,13 @@ def silhouette(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
 
 
 def cluster_layout(vectors: DataFrame) -> DataFrame:
-    """Two principal components per row: id, cluster, x, y."""
+    """Two principal components per row: id, cluster, x, y. The greatest weight of a component is positive, so reruns agree in sign."""
     rows = vectors.select("id", "cluster", array_to_vector(doubles(F.col("vector"))).alias("features"))
     model = PCA(k=2, inputCol="features", outputCol="xy").fit(rows)
+    weights = model.pc.toArray()
+    signs = np.sign(weights[np.abs(weights).argmax(axis=0), [0, 1]]).tolist()
     xy = vector_to_array("xy")
-    return model.transform(rows).select("id", "cluster", xy[0].alias("x"), xy[1].alias("y"))
+    return model.transform(rows).select("id", "cluster", *((xy[i] * signs[i]).alias(axis) for i, axis in enumerate("xy")))
 
 
 def cluster_medians(layout: DataFrame) -> DataFrame:

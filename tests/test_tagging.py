@@ -130,3 +130,31 @@ def test_longest_first_equals_taking_one_at_a_time(seed):
             used |= place
             expected[i] = True
     assert token_trie.longest_first(first, n, order).tolist() == expected.tolist()
+
+
+def test_between_features_equal_a_scan(spark, rows):
+    r = random.Random(11)
+    spots = [(m, s, s + r.randrange(1, 9)) for m in range(4) for s in sorted(r.sample(range(120), 25))]
+    breaks = [(m, at) for m in range(3) for at in sorted(r.sample(range(130), 6))]
+    chosen = [(i, *r.choice(spots)[1:], *r.choice(spots)[1:]) for i in range(4) for _ in range(40)]
+    entities = spark.createDataFrame(spots + spots[:5], "m int, start int, end int")
+    pairs = spark.createDataFrame([(m, a, b, (c, d)) for m, a, b, c, d in set(chosen)], "m int, start int, end int, price struct<start: int, end: int>")
+    found = evaluation.between_features(pairs, entities, spark.createDataFrame(breaks, "m int, at int"), ["m"])
+    expected = []
+    for m, a, b, c, d in set(chosen):
+        low, high = (b, c) if b <= c else (d, a)
+        n = sum(m == x and low <= s < high for x, s, _ in spots + spots[:5])
+        expected.append((m, a, b, c, float(n), float(not any(m == x and low <= at < high for x, at in breaks))))
+    assert rows(found.select("m", "start", "end", "price.start", "entities_between", "same_line")) == sorted(expected, key=repr)
+
+
+def test_no_pair_is_scored_by_a_model_that_saw_it(spark):
+    r = random.Random(12)
+    data = [("c", m, i, float(r.random()), float(m % 2)) for m in range(60) for i in range(3)]
+    # Outside its own message, a feature says nothing about the label: only a model that saw the pair could score it well.
+    pairs = spark.createDataFrame(data, "chat_id string, message_id long, i int, distance double, related double")
+    zero = {name: F.lit(0.0) for name in evaluation.PAIR_FEATURES if name != "distance"}
+    scored = evaluation.score_relations(pairs.withColumns(zero), folds=4).select("message_id", "i", "fold", "probability").collect()
+    assert len(scored) == len(data) and len({(x["message_id"], x["i"]) for x in scored}) == len(data)
+    assert all(len({x["fold"] for x in scored if x["message_id"] == m}) == 1 for m in range(60)) and {x["fold"] for x in scored} == {0, 1, 2, 3}
+    assert all(0 < x["probability"] < 1 for x in scored)
