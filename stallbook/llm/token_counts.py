@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallbook.llm.tokens import chunks
+from stallbook.scratch import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern of the vocabulary, which cuts a text before pairs are merged.
@@ -68,6 +69,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     Sums run inside buckets of lengths, and the buckets' totals are added from a table of one row for each bucket.
     """
+    # The histogram is read three times; written, the texts are encoded once.
+    hist = stored(hist, "lengths")
     placed = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     totals = placed.groupBy("bucket").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     longer = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
