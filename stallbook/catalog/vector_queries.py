@@ -509,3 +509,30 @@ def v6_profiles(spark, folder):
     people = stored(_profile_vectors(spark, folder, True), "profile-vectors").select(F.col("user").alias("id"), "vector")
     clusters = agglomerative_clusters(people, 0.02, "average")
     return clustering.cluster_sizes(clusters.withColumn("cluster", F.col("cluster").cast("long")), 3)
+
+
+# Part descriptions as profiles that mention one product each: their n-grams differ enough for a cut in between.
+TFIDF_CUT = 0.25
+TFIDF_SQL = f"""WITH RECURSIVE {PART_GRAMS_SQL}, grams AS MATERIALIZED (SELECT k AS id, gram, w FROM weights JOIN docs USING (id)),
+  half AS MATERIALIZED (SELECT a.id AS id_a, b.id AS id_b, sum(a.w * b.w) AS sim FROM grams a JOIN grams b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
+  near AS (SELECT * FROM half WHERE 1 - sim < {TFIDF_CUT}), edges AS (SELECT id_a, id_b FROM near UNION ALL SELECT id_b, id_a FROM near),
+  reach AS (SELECT id_a AS node, id_a AS root FROM edges UNION SELECT e.id_b, r.root FROM reach r JOIN edges e ON e.id_a = r.node),
+  comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+  inside AS (SELECT h.* FROM half h JOIN comp a ON a.node = h.id_a JOIN comp b ON b.node = h.id_b AND a.component = b.component),
+  pairs AS MATERIALIZED (SELECT id_a, id_b, sim FROM inside UNION ALL SELECT id_b, id_a, sim FROM inside), {agglomerate_sql('avg', TFIDF_CUT)},
+  named AS (SELECT k AS id, docs.id AS product, coalesce(c, k) AS c FROM docs LEFT JOIN merged ON merged.id = k),
+  clusters AS (SELECT id, product, CASE WHEN count(*) OVER (PARTITION BY c) < 3 THEN -1 ELSE c END AS cluster_id FROM named),
+  sums AS (SELECT cluster_id, gram, sum(w) AS t FROM clusters JOIN grams USING (id) WHERE cluster_id >= 0 GROUP BY ALL),
+  norms AS (SELECT cluster_id, sqrt(sum(t * t)) AS norm FROM sums GROUP BY cluster_id),
+  dist AS (SELECT cluster_id, regexp_replace(product, '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS name, round(1 - sum(w * t) / any_value(norm), 9) AS d
+    FROM clusters JOIN grams USING (id) JOIN sums USING (cluster_id, gram) JOIN norms USING (cluster_id) GROUP BY cluster_id, product),
+  best AS (SELECT cluster_id, first(name ORDER BY d, name) AS name FROM dist WHERE d < 1 AND name <> '' GROUP BY cluster_id)
+  SELECT id, cluster_id, CASE cluster_id WHEN -1 THEN 'NO_CLUSTER' ELSE coalesce(name, 'NO_NAME') END AS cluster_name FROM clusters LEFT JOIN best USING (cluster_id)"""
+
+
+@query("v6_cluster_tfidf", TFIDF_SQL)
+def v6_tfidf(spark, folder):
+    text = F.concat_ws(" ", "p_brand", "p_name", "p_type")
+    people = stored(inputs.table(spark, folder, "part").groupBy(text.alias("user")).agg(F.min("p_partkey").alias("id")), "part-texts")
+    clusters, names = jobs.cluster_tfidf(people.select("user", F.col("user").alias("text")), people, TFIDF_CUT, 3)
+    return clustering.with_names(clusters, names)

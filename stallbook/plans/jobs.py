@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.functions.text import tokenize
-from stallbook.operators import clustering, corpus, evaluation, messages, pairing, summaries, tagging, vectors
+from stallbook.operators import clustering, corpus, evaluation, messages, pairing, summaries, tagging, text_clusters, tfidf, vectors
 from stallbook.schemas import MESSAGE_KEY
 from stallbook.scratch import stored
 from stallbook.sources import profiles
@@ -98,3 +98,22 @@ def score_tagger(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFr
     gold = stored(corpus.contract_to_tokens(docs, tokens, key), "gold")
     return evaluation.rule_scores(predicted, gold.filter("aligned"), [*key, "first", "last"], gold)
 
+
+
+def cluster_tfidf(mentions: DataFrame, users: DataFrame, threshold: float, min_size: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Clusters (id, cluster_id) of all users by the character n-grams of the products they mention (user, text), and the clusters' names.
+
+    `users` has user and a number id; a cluster is named by its smallest id. Users without products are -2, those in clusters of fewer than
+    `min_size` are -1.
+    """
+    n = users.count()
+    numbered = users.select("user", F.col("id").cast("long").alias("id"))
+    words = stored(tfidf.profile_words(mentions), "profile_words")
+    grams = tfidf.char_tfidf(words, n).join(numbered, "user")
+    weights = stored(grams.select("id", F.col("gram").alias("term"), "weight"), "profile_grams")
+    found = text_clusters.sparse_clusters(weights, threshold)
+    clusters = stored(clustering.cluster_sizes(numbered.select("id").join(found, "id", "left"), min_size), "tfidf_clusters")
+    offered = mentions.join(numbered, "user").select("id", F.col("text").alias("product")).distinct()
+    product_words = tfidf.profile_words(mentions.select(F.col("text").alias("user"), "text").distinct())
+    product_weights = tfidf.char_weights(product_words, words, n).select(F.col("user").alias("product"), F.col("gram").alias("term"), "weight")
+    return clusters, text_clusters.sparse_cluster_names(clusters, weights, offered, product_weights)

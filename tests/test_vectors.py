@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import clustering, components, linkage, pivot_tree, similarity, tfidf, vectors
+from stallbook.operators import clustering, components, linkage, pivot_tree, similarity, text_clusters, tfidf, vectors
 
 
 def cosine(a, b):
@@ -153,6 +153,19 @@ def test_ties_merge_alike_in_memory_and_by_joins(spark, how):
     assert ways[0] == ways[1] and 1 < len(set(ways[0].values())) < len(x)
 
 
+@pytest.mark.parametrize("local_points", [1000, 3])
+def test_sparse_clusters_equal_brute_force(spark, local_points):
+    rng = np.random.default_rng(13)
+    x = np.abs(crowd(13, n=36, dims=6, centres=4, noise=0.3)) * (rng.random((36, 6)) < 0.8) + np.array([0.3, 0, 0, 0, 0, 0])
+    x[5] = x[9] = x[20]  # copies
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    weights = spark.createDataFrame([(i, f"t{t}", float(unit[i, t])) for i in range(36) for t in range(6) if unit[i, t] > 0], "id long, term string, weight double")
+    found = {}
+    for r in text_clusters.sparse_clusters(weights, 0.1, local_points).collect():
+        found.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(g) for g in found.values()} == brute_clusters(x, 0.1, "average") and all(min(g) == c for c, g in found.items())
+
+
 def greedy(similar, weight, bound):
     """Merges of the two nearest groups, one at a time; equal ones in the order of their names."""
     n = len(similar)
