@@ -153,15 +153,14 @@ def test_ties_merge_alike_in_memory_and_by_joins(spark, how):
     assert ways[0] == ways[1] and 1 < len(set(ways[0].values())) < len(x)
 
 
-@pytest.mark.parametrize("local_points", [1000, 3])
-def test_sparse_clusters_equal_brute_force(spark, local_points):
+def test_sparse_clusters_equal_brute_force(spark):
     rng = np.random.default_rng(13)
     x = np.abs(crowd(13, n=36, dims=6, centres=4, noise=0.3)) * (rng.random((36, 6)) < 0.8) + np.array([0.3, 0, 0, 0, 0, 0])
     x[5] = x[9] = x[20]  # copies
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     weights = spark.createDataFrame([(i, f"t{t}", float(unit[i, t])) for i in range(36) for t in range(6) if unit[i, t] > 0], "id long, term string, weight double")
     found = {}
-    for r in text_clusters.sparse_clusters(weights, 0.1, local_points).collect():
+    for r in text_clusters.sparse_clusters(weights, 0.1).collect():
         found.setdefault(r["cluster"], set()).add(r["id"])
     assert {frozenset(g) for g in found.values()} == brute_clusters(x, 0.1, "average") and all(min(g) == c for c, g in found.items())
 
@@ -325,6 +324,11 @@ def test_close_clusters(spark, rows):
 
 def test_local_merge_handles_weights():
     units = np.array([[1.0, 0.0], [math.cos(0.5), math.sin(0.5)], [math.cos(1.0), math.sin(1.0)]])
-    even = linkage._merge_locally(units.copy(), np.array([1, 1, 1]), "average", 0.3)
-    heavy = linkage._merge_locally(units.copy(), np.array([50, 1, 1]), "average", 0.3)
+
+    def groups(copies):
+        whole = [[round(x * 2**linkage.SCALE) * n for x in row] for row, n in zip(units.tolist(), copies)]
+        group = linkage.nearest_neighbour_chain(linkage.exact_products(whole), copies, linkage._least_similarity(0.3))
+        return [int(g if group[g] == g else group[g]) for g in group]
+
+    even, heavy = groups([1, 1, 1]), groups([50, 1, 1])
     assert len(set(even)) == 1 and len(set(heavy)) == 2
