@@ -1,16 +1,18 @@
 """Documents whose sets of word n-grams have a Jaccard similarity of at least `threshold`.
 
 1. Documents with the same words are one class; one representative goes on.
-2. MinHash bands of the representatives give buckets; a bucket links its members to its smallest one, and connected buckets
-   form candidate groups. No pairs are formed here.
-3. A group is cut into blocks of bounded size. Each pair of blocks is a task: pairs of bounded length ratio compare their MinHash
-   values step by step, and a pair is dropped once the posterior probability of reaching the threshold (uniform prior) falls
-   below `tolerance`. The rest is verified exactly on the n-gram sets.
-4. A task returns a row for each representative: its number of linked documents and the smallest representative that
+2. MinHash bands of the representatives give buckets. Of buckets with the same members only one stays.
+3. Members of a bucket compare their MinHash values step by step, and a pair is dropped once the posterior probability of reaching the
+   threshold (uniform prior) falls below `tolerance`. Buckets are cut into blocks of bounded size; only the bands' own values, two bytes
+   each, are sent. Members that pairs already connect are not compared again; a task returns which member each one hangs on.
+4. What these pairs connect is a candidate group: texts that only share a template share buckets, but form no group. A group is cut into
+   blocks of bounded size. Each pair of blocks is a task: pairs of bounded length ratio are judged on further MinHash values in the
+   same way, and the rest is verified exactly on the n-gram sets.
+5. A task returns a row for each representative: its number of linked documents and the smallest representative that
    links reach within the task. Pairs are never written, however large a group is.
 
 Rows and bands follow from the threshold: a pair at it shares no bucket with probability (1 - threshold^rows)^bands, at most `MISS`;
-each comparison step loses at most `tolerance`. Nothing is capped: large groups only have more tasks.
+each comparison step loses at most `tolerance`. The values of step 3 include those that agree in the bucket, which only keeps more. Nothing is capped: large groups only have more tasks.
 
 Defined cases: null or empty texts and texts without words link with nothing. A text of fewer than `n` words has one n-gram, all its
 words. A null doc_id takes no part and has null class_id and copy_of. Rows that share a doc_id are one node and end up in one class.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ MISS, VALUES = 6e-5, 192
 #: MinHash values compared one step after the other, and values in a step.
 SKETCH, STEP = 256, 32
 #: Documents and n-grams of a block.
-BLOCK_DOCS, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_GRAMS = 512, 1 << 20
+#: Members of a block of a bucket, and rows that small buckets put in one task.
+BUCKET_BLOCK, TASK_ROWS = 2048, 8192
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -88,18 +93,23 @@ def _signatures(n: int, threshold: float):
                 grams, starts = _grams(words, n)
                 full = np.flatnonzero(np.diff(starts))
                 bands = np.zeros((len(full), n_bands), np.uint64)
-                hashed = np.empty_like(grams)
+                hashed, values = np.empty_like(grams), np.empty((len(full), len(factors)), np.uint16)
                 for k, factor in enumerate(factors if len(full) else ()):
                     np.multiply(grams, factor, out=hashed)
-                    bands[:, k // per_band] += (np.minimum.reduceat(hashed, starts[full]) >> np.uint64(32)) * mix[k % per_band]
+                    least = np.minimum.reduceat(hashed, starts[full]) >> np.uint64(32)
+                    bands[:, k // per_band] += least * mix[k % per_band]
+                    values[:, k] = least & np.uint64(0xFFFF)
                 bands += np.arange(n_bands, dtype=np.uint64)  # a key belongs to one band
                 bands ^= bands >> np.uint64(31)
                 bands *= np.uint64(0x94D049BB133111EB)
                 offsets = np.zeros(part.num_rows + 1, np.int32)
                 offsets[full + 1] = n_bands
+                sketch: list[bytes | None] = [None] * part.num_rows
+                for i, row in zip(full.tolist(), values, strict=True):
+                    sketch[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))],
-                    ["doc_id", "words", "bands"],
+                    [part.column("doc_id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), pa.array(bands.ravel().view(np.int64))), pa.array(sketch, pa.binary())],
+                    ["doc_id", "words", "bands", "sketch"],
                 )
 
     return run
@@ -119,14 +129,14 @@ def _gram_sets(n: int):
     return run
 
 
-def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
+def least_matches(threshold: float, tolerance: float, values: int = SKETCH) -> dict[int, int]:
     """For n compared MinHash values, the fewest equal ones that leave a pair its chance.
 
     With a uniform prior the similarity is Beta(m + 1, n - m + 1) after m equal values of n, so it reaches the threshold with the
     probability that n + 1 draws of that chance have at most m successes.
     """
     out = {}
-    for n in range(STEP, SKETCH + 1, STEP):
+    for n in range(STEP, values + 1, STEP):
         below = 0.0
         for m in range(n + 2):
             below += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -136,8 +146,52 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
+def _alive(sketch: np.ndarray, at: int, others: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Those of `others` that may reach the threshold with row `at`, after all steps."""
+    equal = np.zeros(len(others), np.int32)
+    for seen, fewest in least.items():
+        if not len(others):
+            break
+        equal += (sketch[others, seen - STEP : seen] == sketch[at, seen - STEP : seen]).sum(axis=1, dtype=np.int32)
+        keep = equal >= fewest
+        others, equal = others[keep], equal[keep]
+    return others
+
+
+def _connect(threshold: float, tolerance: float):
+    """rep, root of the members of buckets that pairs with a chance connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, rep, block, low, high = (table[c].to_numpy() for c in ("key", "rep", "block", "low", "high"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(rep), -1)
+        least = least_matches(threshold, tolerance, sketch.shape[1])
+        out: dict[str, list] = {"rep": [], "root": []}
+        order = np.lexsort((rep, key))
+        for members in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            first = members[0]
+            rows, part = sketch[members], block[members]
+            if low[first] == high[first]:
+                left = right = np.arange(len(members))
+            else:
+                left, right = np.flatnonzero(part == low[first]), np.flatnonzero(part == high[first])
+            root = np.arange(len(members))
+            for place, a in enumerate(left):
+                others = right[place + 1 :] if left is right else right
+                found = _alive(rows, a, others[root[others] != root[a]], least)
+                if len(found):
+                    touched = np.unique(root[np.append(found, a)])
+                    root[np.isin(root, touched)] = touched[0]
+            moved = rep[members] != rep[members[root]]
+            out["rep"].append(rep[members][moved])
+            out["root"].append(rep[members[root]][moved])
+        return pa.table({k: pa.array(np.concatenate(v), pa.int64()) for k, v in out.items()})
+
+    return run
+
+
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each place of `left`, the places of `right` it links with; of two places in both, the pair is met once."""
+    exact = Fraction(str(threshold)).limit_denominator(10**9)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, ids = np.unique(flat, return_inverse=True)
@@ -152,21 +206,15 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     for at, a in enumerate(left):
         others = right[at + 1 :] if same else right
         others = others[np.minimum(sizes[others], sizes[a]) >= threshold * np.maximum(sizes[others], sizes[a]) - 1e-9]
-        equal = np.zeros(len(others), np.int32)
-        for seen, fewest in least.items():
-            if not len(others):
-                break
-            equal += (sketch[others, seen - STEP : seen] == sketch[a, seen - STEP : seen]).sum(axis=1, dtype=np.int32)
-            alive = equal >= fewest
-            others, equal = others[alive], equal[alive]
+        others = _alive(sketch, a, others, least)
         if not len(others):
             continue
         marked[own[a]] = True
         common = np.add.reduceat(marked[np.concatenate([own[b] for b in others])].astype(np.int32), np.cumsum(sizes[others]) - sizes[others])
         marked[own[a]] = False
-        # Whole numbers on both sides: common / union >= threshold, with the threshold in thousandths.
+        # Whole numbers on both sides: common / union >= threshold, the decimal fraction as written.
         union = sizes[others] + sizes[a] - common
-        yield a, others[common * 1000 >= union * round(threshold * 1000)]
+        yield a, others[common.astype(np.int64) * exact.denominator >= union * exact.numerator]
 
 
 def _verify(threshold: float, tolerance: float):
@@ -202,21 +250,32 @@ def _verify(threshold: float, tolerance: float):
     return run
 
 
-def candidate_groups(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal words (words, rep, copies), and node, component of the representatives that share a bucket with another."""
-    classes = signed.filter("words is not null and doc_id is not null").groupBy("words").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count("*").alias("copies"))
-    classes = stored(classes.select("words", F.col("first.doc_id").alias("rep"), "copies", F.col("first.bands").alias("bands")), "word_classes")
-    rows = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
-    edges = rows.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-    return classes.drop("bands"), connected_components(edges)
+def candidate_groups(signed: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal words (words, rep, copies), and node, component of the representatives that pairs with a chance connect."""
+    classes = signed.filter("words is not null and doc_id is not null").groupBy("words").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select("words", F.col("first.doc_id").alias("rep"), "copies", F.col("first.bands").alias("bands"), F.col("first.sketch").alias("sketch")), "word_classes")
+    named = [F.xxhash64(F.lit(i), "rep", "words").alias(f"h{i}") for i in (1, 2)]
+    places = classes.select("rep", *named, F.explode("bands").alias("key"))
+    buckets = places.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+    different = buckets.filter("first < last").groupBy("members", "first", "last", "x1", "x2").agg(F.min("key").alias("key"))
+    blocks = different.select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    met = stored(places.join(blocks, "key").select("key", "rep", "h1", "blocks"), "buckets")
+    shared = max(1, met.count() // TASK_ROWS)
+    visits = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(shared))).otherwise(F.xxhash64("key", low, high))
+    tasks = visits.select("key", "rep", "h1", "block", low.alias("low"), high.alias("high"), task.alias("task"))
+    sketches = classes.select(F.col("rep").alias("r"), named[0].alias("h"), "sketch")
+    sent = tasks.join(sketches, (F.col("rep") == F.col("r")) & (F.col("h1") == F.col("h"))).select("task", "key", "rep", "block", "low", "high", "sketch")
+    edges = stored(sent.groupBy("task").applyInArrow(_connect(threshold, tolerance), "rep long, root long").distinct(), "chances")
+    return classes.drop("bands", "sketch"), connected_components(edges.select(F.col("rep").alias("u"), F.col("root").alias("v")))
 
 
 def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """doc_id, class_id (smallest doc_id that links reach), copy_of (smallest doc_id with the same words), n_links for each row."""
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    signed = stored(docs.select(F.col("doc_id").cast("long"), binary).mapInArrow(_signatures(n, threshold), "doc_id long, words binary, bands array<long>"), "signatures")
-    classes, nodes = candidate_groups(signed)
+    signed = stored(docs.select(F.col("doc_id").cast("long"), binary).mapInArrow(_signatures(n, threshold), "doc_id long, words binary, bands array<long>, sketch binary"), "signatures")
+    classes, nodes = candidate_groups(signed, threshold, tolerance)
 
     wanted = nodes.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "copies")
     texts = docs.select(F.col("doc_id").cast("long"), binary).join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "group", "copies", "text")
@@ -224,8 +283,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, toler
 
     sizes = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     small = F.col("blocks") == 1
-    total = sets.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0]
-    shared = max(1, int(total // BLOCK_GRAMS))  # groups of one block share tasks
+    total, n_sets = sets.agg(F.coalesce(F.sum("n_grams"), F.lit(0)), F.count("*")).first()
+    shared = max(1, int(total // BLOCK_GRAMS), n_sets // BLOCK_DOCS)  # groups of one block share tasks
     blocked = sets.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tasks = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "rep",

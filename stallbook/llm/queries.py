@@ -115,7 +115,36 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.per_document(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-@query("op9_ngram_join")
+@query(
+    "op9_ngram_join",
+    r"""
+WITH RECURSIVE d AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), classes AS MATERIALIZED (
+    SELECT ws, min(doc_id) AS rep, count(*) AS copies FROM d WHERE len(ws) > 0 AND doc_id IS NOT NULL GROUP BY ws
+), grams AS MATERIALIZED (
+    SELECT DISTINCT rep, array_to_string(list_slice(ws, s, s + 4), ' ') AS g FROM (SELECT rep, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM classes)
+), sizes AS (
+    SELECT rep, count(*) AS n FROM grams GROUP BY rep
+), common AS (
+    SELECT a.rep AS u, b.rep AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep
+), links AS MATERIALIZED (
+    SELECT u, v FROM common JOIN sizes x ON x.rep = u JOIN sizes y ON y.rep = v WHERE 10 * c >= 8 * (x.n + y.n - c)
+), reach AS (
+    SELECT rep AS u, rep AS v FROM classes
+    UNION
+    SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), roots AS (
+    SELECT u, min(v) AS class_id FROM reach GROUP BY u
+), linked AS (
+    SELECT u, sum(copies) AS n FROM links JOIN classes ON rep = v GROUP BY u
+)
+SELECT d.doc_id, coalesce(class_id, CASE WHEN len(d.ws) = 0 THEN d.doc_id END) AS class_id, coalesce(rep, CASE WHEN len(d.ws) = 0 THEN d.doc_id END) AS copy_of,
+    CAST(coalesce(copies - 1 + coalesce(n, 0), 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN classes ON classes.ws = d.ws AND d.doc_id IS NOT NULL LEFT JOIN roots ON roots.u = rep LEFT JOIN linked ON linked.u = rep
+""",
+)
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 

@@ -180,6 +180,38 @@ def test_rows_with_one_doc_id_are_one_node(spark):
     assert found == {(5, 5), (9, 5), (7, 5)}
 
 
+def template_corpus(n, seed=4):
+    """Texts of one template and words of their own: a similarity of about 0.42 with each other."""
+    rng = np.random.default_rng(seed)
+    template = " ".join(f"t{i}" for i in range(94))
+    return [(i, template + " " + " ".join(f"o{i}x{w}" for w in rng.integers(0, 10**6, 62))) for i in range(n)]
+
+
+def test_a_shared_template_forms_no_group(spark):
+    docs = frame(spark, template_corpus(3000)).select("doc_id", F.col("text").cast("binary").alias("text"))
+    signed = docs.mapInArrow(ngram_join._signatures(5, 0.8), "doc_id long, words binary, bands array<long>, sketch binary")
+    shared = signed.select("doc_id", F.explode("bands").alias("key")).groupBy("key").count().filter("count > 1")
+    assert shared.count() > 0  # buckets are shared, groups are not
+    _, nodes = ngram_join.candidate_groups(signed, 0.8, 1e-6)
+    assert nodes.count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_blocks_of_a_bucket_connect_all_that_link(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", block)
+    rows = [(i, " ".join(f"w{n}" for n in range(200)) + f" tail {i}") for i in range(60)]
+    found = ngram_join.similar_documents(frame(spark, rows)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in found} == {(0, 59)}
+
+
+def test_the_threshold_is_the_decimal_fraction(spark):
+    # 13 of 16 n-grams: 0.8125 is reached, 0.8126 is not.
+    words = [f"w{n}" for n in range(17)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "a", "b", "c"]))]
+    links = lambda t: {r["n_links"] for r in ngram_join.similar_documents(frame(spark, rows), threshold=t).collect()}
+    assert links(0.8125) == {1} and links(0.8126) == {0}
+
+
 def test_posterior_bound():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert least[32] < 32 * 0.8 and least[256] < 256 * 0.8 and all(0 < least[n] for n in least)
