@@ -151,10 +151,10 @@ def per_document(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """The documents that the mix takes, with all their columns and the number of copies."""
+    """The documents that the mix takes, with all their columns and n_copies, the number of copies, in place of a column of that name."""
     plan = mix(docs, weights, cap).select(F.col("doc_id").alias("p_doc"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "m", F.col("copies").alias("all_copies"))
     rows = docs.select(F.struct("*").alias("d"), n_words().alias("size"))
     joined = rows.join(plan, F.col("d.doc_id").eqNullSafe(F.col("p_doc")) & F.col("d.source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     place = F.row_number().over(Window.partitionBy("p_doc", "p_source", "p_size").orderBy(F.xxhash64("d.text")))
     kept = joined.withColumn("n_copies", _share(F.col("all_copies"), F.col("m"), place).cast("int")).filter("n_copies > 0")
-    return kept.select("d.*", "n_copies")
+    return kept.select(*(F.col(f"d.`{c}`") for c in docs.columns if c.lower() != "n_copies"), "n_copies")

@@ -230,27 +230,51 @@ def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int) -> tup
     return found, cosines
 
 
+def _judged(model: Model, texts: pa.Array, bare: tuple[float, list[int]]) -> tuple[np.ndarray, list[list[int]]]:
+    """Scores and evidence of some texts; `bare` is that of all texts without terms."""
+    text, term, count = term_counts(split_words(texts), model.terms)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    scores, evidence = np.empty(len(texts)), []
+    for i in range(len(texts)):
+        if cuts[i] == cuts[i + 1]:
+            scores[i], found = bare
+        else:
+            scores[i], found = model.judge(term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]])
+        evidence.append(found)
+    return scores, evidence
+
+
+def _bare(model: Model) -> tuple[float, list[int]]:
+    return model.judge(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _score(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = given.value
-        bare = model.judge(np.zeros(0, np.int64), np.zeros(0, np.int64))  # the same for all texts without terms
+        bare = _bare(model)
         for batch in batches:
             for part in chunks(batch):
-                text, term, count = term_counts(split_words(part.column("text")), model.terms)
-                cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-                scores = np.empty(part.num_rows)
-                evidence: list[list[int]] = []
-                for i in range(part.num_rows):
-                    if cuts[i] == cuts[i + 1]:
-                        scores[i], found = bare
-                    else:
-                        scores[i], found = model.judge(term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]])
-                    evidence.append(found)
+                scores, evidence = _judged(model, part.column("text"), bare)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "row", "score", "evidence"])
 
     return run
 
 
+def _below(given, threshold: float):
+    """The rows of a batch, with all their columns, whose text scores below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = given.value
+        bare = _bare(model)
+        for batch in batches:
+            kind = pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary()
+            texts = pa.RecordBatch.from_arrays([batch.column("text").cast(kind).fill_null(b"")], ["text"])
+            scores = [_judged(model, part.column("text"), bare)[0] for part in chunks(texts)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < threshold))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, row (hash of the text), score and evidence (doc_ids of the neighbours, the nearest first) for each row."""
     given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
@@ -259,7 +283,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    bad = score(docs, fit(docs, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("bad_doc"), F.col("row").alias("bad_row")).distinct()
-    rows = docs.select(F.struct("*").alias("d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"))
-    return rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("bad_doc")) & (F.col("row") == F.col("bad_row")), "left_anti").select("d.*")
+    """The documents that score below the threshold, with all their columns. One map: no text is shuffled."""
+    given = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # bounded by EXAMPLES and TERMS
+    return docs.mapInArrow(_below(given, threshold), docs.schema)

@@ -75,6 +75,8 @@ def test_toxicity(spark, rows):
     assert found[0]["evidence"] and all(0 <= r["score"] <= 1 for r in found.values())
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 320 + 6
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r["doc_id"] for r in toxicity.score(docs, model).filter("score < 0.3").collect()), key=repr)
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
 
 
 def test_nearest_examples_are_exact(spark, rows):

@@ -83,6 +83,8 @@ def test_mixing(spark):
     assert sorted(map(tuple, mixing.per_document(mixing.mix(docs.repartition(5))).collect()), key=repr) == sorted(map(tuple, found), key=repr)
     kept = mixing.mixed_documents(docs)
     assert kept.columns == [*docs.columns, "n_copies"] and kept.agg(F.sum(F.col("n_copies") * mixing.n_words())).first()[0] == sum(taken.values())
+    clashing = mixing.mixed_documents(docs.withColumn("N_copies", F.lit("x")))
+    assert clashing.columns == [*docs.columns, "n_copies"] and clashing.count() == kept.count()
 
 
 def test_tilts_solve_the_dual(spark):
