@@ -1,8 +1,8 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests finds random. DataFrame operations only.
 
 Base kinds: `assign` (a name such as password, a sign and a value of 6 characters or more), `access` (AKIA and 20 characters or more in all) and
-`hex` (24 hexadecimal digits or more). Matches are leftmost and do not overlap within a kind; those that are too short are dropped
-afterwards. Positions are code points: a text is split at its matches, and the lengths of the pieces are summed up.
+`hex` (24 hexadecimal digits or more). Matches are leftmost and do not overlap within a kind; assignments that are too short are dropped
+afterwards. Runs of the other kinds are maximal, so their patterns ask for the length at once: a run that is too short holds no later match. Positions are code points: a text is split at its matches, and the lengths of the pieces are summed up.
 
 Random tokens are runs of at least `MIN_TOKEN` characters of [A-Za-z0-9+/_-] outside the base spans whose characters name an
 encoding: hexadecimal, base32, base36, base62 or base64. Three tests compare each token with independent uniform draws from its
@@ -25,8 +25,8 @@ from stallbook.scratch import stored
 
 # The kinds in the order in which they are listed, each with its pattern and its smallest length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 BASE = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
 
 MIN_TOKEN = 20
@@ -44,16 +44,13 @@ ALPHABETS = {
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
-# What a run of long enough matches looks like; only texts with one are worked on. Runs are maximal, so these find just the texts
-# in which a match of the pattern passes its length. Assignments depend on what an earlier match took, so any match counts there.
-_LONG = {"access": ACCESS[:-1] + "{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 _TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % MIN_TOKEN
 
 
 def _found(text: Column, kind: str, pattern: str, group: int) -> Column:
     """Matches of a pattern with the text piece before each."""
     return F.when(
-        F.regexp_like(text, F.lit(_LONG.get(kind, pattern))),
+        F.regexp_like(text, F.lit(pattern)),
         F.transform(
             F.filter(
                 F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.split(text, pattern, -1).alias("before")),
@@ -70,7 +67,7 @@ def _matches(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     patterns = [(kind, pattern, 2 if kind == "assign" else 0) for kind, pattern, _ in BASE] + [("random", _TOKEN, 0)]
     some = F.regexp_like(text, F.lit(ASSIGN))
-    for pattern in (*_LONG.values(), _TOKEN):
+    for pattern in (ACCESS, HEX, _TOKEN):
         some = some | F.regexp_like(text, F.lit(pattern))
     hits = rows.filter(some).dropDuplicates(["doc_id", "row"])
     # One pass over a text for all kinds; places rise within a kind.
