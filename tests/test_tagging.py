@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +159,16 @@ def test_no_pair_is_scored_by_a_model_that_saw_it(spark):
     assert len(scored) == len(data) and len({(x["message_id"], x["i"]) for x in scored}) == len(data)
     assert all(len({x["fold"] for x in scored if x["message_id"] == m}) == 1 for m in range(60)) and {x["fold"] for x in scored} == {0, 1, 2, 3}
     assert all(0 < x["probability"] < 1 for x in scored)
+
+
+def test_many_matches_of_a_text_in_several_tries(spark, monkeypatch):
+    words = ["a", "b", "c", "d"]
+    text = " ".join(words[i % 4] for i in range(60_000))
+    phrases = [("PROD", [words[(i + k) % 4] for k in range(3)]) for i in range(4)] + [("LOC", ["a", "b", "d"]), ("LOC", ["a", "b", "c", "d"])]
+    docs, patterns = spark.createDataFrame([(1, text), (2, None), (3, "a b")], "id long, text string"), spark.createDataFrame(phrases, "label string, tokens array<string>")
+    expected = tagging.pattern_matches(docs, patterns, ["id"]).groupBy("id", "n", "label").count().collect()
+    monkeypatch.setattr(token_trie, "TRIE_TOKENS", 4)
+    started = time.monotonic()
+    found = tagging.pattern_matches(docs, patterns, ["id"])
+    assert sorted(found.groupBy("id", "n", "label").count().collect()) == sorted(expected)
+    assert time.monotonic() - started < 30  # work in proportion to the matches of a row, not to their square
