@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import evaluation, tagging, token_trie
+from stallbook.operators import evaluation, pairing, tagging, token_trie
 from stallbook.sources import corpora
 
 PATTERNS = "label string, tokens array<string>"
@@ -172,3 +172,29 @@ def test_many_matches_of_a_text_in_several_tries(spark, monkeypatch):
     found = tagging.pattern_matches(docs, patterns, ["id"])
     assert sorted(found.groupBy("id", "n", "label").count().collect()) == sorted(expected)
     assert time.monotonic() - started < 30  # work in proportion to the matches of a row, not to their square
+
+
+def test_pairs_of_all_kinds_come_from_one_shuffle(spark, rows):
+    rng = random.Random(5)
+    data, gold = [], []
+    for m in range(40):
+        for _ in range(rng.randrange(0, 14)):
+            label, start = rng.choice(["PROD", "MONEY", "CRIT", "LOC"]), rng.randrange(0, 30)
+            data += [("c", m, rng.randrange(100), label, rng.choice("xyz") * rng.randrange(1, 6), start, start + rng.randrange(1, 6))] * rng.choice([1, 1, 2])
+        for label, head, tail in (("PROD_PRICE", "PROD", "MONEY"), ("PRICE_CRIT", "MONEY", "CRIT")):
+            ends = lambda kind: [r for r in data if r[1] == m and r[3] == kind]  # noqa: B023, E731
+            gold += [("c", m, (a[4], a[5], a[6]), (b[4], b[5], b[6]), label) for a in ends(head) for b in ends(tail) if rng.random() < 0.3]
+    entities = spark.createDataFrame(data, "chat_id string, message_id int, pos int, label string, text string, start int, end int")
+    end = "struct<text: string, start: int, end: int>"
+    relations = spark.createDataFrame(gold, f"chat_id string, message_id int, head {end}, tail {end}, label string")
+    breaks = spark.createDataFrame([("c", m, at) for m in range(40) for at in (7, 15, 16)], "chat_id string, message_id int, at int")
+    kinds = (("PROD", "MONEY", "PROD_PRICE"), ("MONEY", "CRIT", "PRICE_CRIT"))
+    shown = ["chat_id", "message_id", "start", "end", "text", "price", *evaluation.PAIR_FEATURES, "price_start", "related"]
+    found = evaluation.related_pairs(entities, relations, breaks, kinds)
+    for head, tail, label in kinds:
+        pairs = evaluation.between_features(evaluation.pair_features(pairing.adjacent_candidates(entities, pair=(head, tail))), entities, breaks)
+        expected = evaluation.label_pairs(pairs, relations.filter(F.col("label") == label)).select(shown)
+        assert rows(found.filter(F.col("label") == label).select(shown)) == rows(expected)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("+- Exchange ") == 1
