@@ -1,6 +1,6 @@
 """A splittable reader of chat exports: one export, however large, is read by many tasks.
 
-The partitions of this data source are byte ranges. A range owns the objects that begin in it; it finds its first one by itself: inside a
+The partitions of this data source are byte ranges, and a task reads several small files. A range owns the objects that begin in it; it finds its first one by itself: inside a
 JSON string every quote is escaped, so a brace that a plain quoted key and a colon follow is never part of a text. Whether that
 object is a message or a part of one shows behind its end: an element of the array is followed by a bracket or by a comma and a brace.
 The last message is read beyond the end of the range. A task holds one message and one block of bytes.
@@ -11,12 +11,15 @@ The files may lie in any store that pyarrow reaches; `chats.read_exports` reads
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range, and bytes that are read at once.
 RANGE_BYTES, BLOCK_BYTES = 64 << 20, 1 << 20
+#: A task reads files of at most this many bytes in all; a file counts some more for being opened, so small files share a task.
+TASK_BYTES, OPEN_BYTES = 64 << 20, 1 << 20
 _LOOK_BACK = 256
 # The keys of an export and of the objects in it.
 _KEYS = "info messages date message_count message_count_limit source id user datetime message reply_to type first_name last_name username phone".split()
@@ -98,9 +101,25 @@ def objects_of(file, start: int, end: int) -> Iterator[tuple[int, str, bytes]]:
         window.cut(at)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+class _Ranges(InputPartition):
+    """Byte ranges (path, start, end) of one task."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def dealt(ranges: list[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
+    """Ranges in their order, cut into tasks; each range of a file of several has a task of its own."""
+    tasks, held = [], TASK_BYTES
+    of_file = Counter(path for path, _, _ in ranges)
+    for one in ranges:
+        cost = one[2] - one[1] + OPEN_BYTES if of_file[one[0]] == 1 else TASK_BYTES
+        if held + cost > TASK_BYTES:
+            tasks.append([])
+            held = 0
+        tasks[-1].append(one)
+        held += cost
+    return tasks
 
 
 def _file_system(path: str):
@@ -113,21 +132,23 @@ class _RangeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         from pyarrow import fs
 
         system, root = _file_system(self.path)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         shown = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
-        return [_Range(path, at, min(at + self.size, size)) for path, size in shown for at in range(0, size, self.size)]
+        ranges = [(path, at, min(at + self.size, size)) for path, size in shown for at in range(0, size, self.size)]
+        return [_Ranges(task) for task in dealt(ranges)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
         system, _ = _file_system(self.path)
-        name = partition.path.rsplit("/", 1)[-1]
-        with system.open_input_file(partition.path) as file:
-            for at, kind, body in objects_of(file, partition.start, partition.end):
-                yield name, at, kind, body.decode()
+        for path, start, end in partition.ranges:
+            name = path.rsplit("/", 1)[-1]
+            with system.open_input_file(path) as file:
+                for at, kind, body in objects_of(file, start, end):
+                    yield name, at, kind, body.decode()
 
 
 class ChatExportSource(DataSource):

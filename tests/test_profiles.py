@@ -184,3 +184,12 @@ def test_activity(spark, rows):
     hourly = activity.hourly_activity(times)
     assert hourly.count() == 48 and rows(hourly.filter("n > 0")) == [("a", 10, 2), ("a", 11, 1), ("b", 0, 1)]
     assert tuple(activity.most_active_profile(times).first()) == ("a", 3)
+
+
+def test_small_files_share_a_task_and_large_ones_do_not():
+    small = [(f"f{i}", 0, 2_000) for i in range(1_000)]
+    large = [("g", at, at + export_ranges.RANGE_BYTES) for at in range(0, 4 * export_ranges.RANGE_BYTES, export_ranges.RANGE_BYTES)]
+    tasks = export_ranges.dealt(small + large)
+    assert [r for task in tasks for r in task] == small + large and all(tasks)
+    assert len(tasks) <= 24 and all(len(task) == 1 for task in tasks[-4:])
+    assert export_ranges.dealt([]) == []
