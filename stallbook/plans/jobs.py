@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.functions.text import tokenize
-from stallbook.operators import clustering, corpus, evaluation, messages, pairing, summaries, tagging, text_clusters, tfidf, vectors
+from stallbook.operators import alignment, clustering, evaluation, messages, pairing, summaries, tagging, text_clusters, tfidf, vectors
 from stallbook.schemas import MESSAGE_KEY
 from stallbook.scratch import stored
 from stallbook.sources import profiles
@@ -93,9 +92,8 @@ def embedding_report(class_vectors: DataFrame) -> DataFrame:
 
 def score_tagger(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """Dictionary tagger against the gold spans of the same documents, both as token ranges."""
-    tokens = stored(tokenize(docs, key), "tokens")
     predicted = tagging.tag_entities(docs, patterns, key)
-    gold = stored(corpus.contract_to_tokens(docs, tokens, key), "gold")
+    gold = stored(alignment.contract_spans(docs, key), "gold")
     return evaluation.rule_scores(predicted, gold.filter("aligned"), [*key, "first", "last"], gold)
 
 

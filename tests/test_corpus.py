@@ -172,6 +172,21 @@ def test_contract_searches_nearby(spark, rows):
     assert rows(again.select("id", "first", "aligned")) == [(0, None, False), (1, 1, True)]
 
 
+def test_spans_contract_inside_the_row(spark, rows):
+    docs = frame(
+        spark,
+        ("der Schuh und der Hut", [(0, 9, "PROD"), (5, 8, "PROD"), (20, 21, "PROD"), (9, 10, "PROD"), (3, 3, "LOC"), (10, 90, "LOC")]),
+        ("x Hut Hut", [(3, 6, "PROD"), (2, 9, "PROD")]),
+        ("ein huT", [(4, 7, "PROD")]),
+        ("äö üß  ÄÖ\n3,5 €x", [(a, b, "PER") for a in range(0, 14) for b in range(a, 16)]),
+        ("", [(0, 2, "PROD")]),
+    )
+    found = alignment.contract_spans(docs, ["id"])
+    assert rows(found) == rows(corpus.contract_to_tokens(docs, tokenize(docs, ["id"]), ["id"]))
+    found.collect()
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_relations_without_a_span_are_reported(spark, rows):
     docs = frame(
         spark, ("Netflix fuer 5 Euro", [(0, 7, "PROD"), (13, 14, "MONEY")], [(13, 14, 0, 7, "PROD_PRICE"), (0, 7, 8, 12, "PROD_PRICE")])
