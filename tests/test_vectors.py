@@ -332,3 +332,28 @@ def test_local_merge_handles_weights():
 
     even, heavy = groups([1, 1, 1]), groups([50, 1, 1])
     assert len(set(even)) == 1 and len(set(heavy)) == 2
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_links_have_the_components_of_all_pairs_and_few_edges(spark, monkeypatch, inclusive):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: 9)
+    monkeypatch.setattr(similarity, "LEAST_HOME_VALUES", 80)
+    monkeypatch.setattr(similarity, "VISITS", 3)
+    x = crowd(17, n=150, dims=5)
+    points, _ = similarity.distinct_directions(table(spark, x))
+    pairs = similarity.cosine_pairs(points, 0.15, inclusive).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    links = similarity.cosine_links(points, 0.15, inclusive)
+    n, homes = points.count(), 3
+    assert links.count() < min(homes * n, pairs.count())
+    found, expected = (sorted(map(tuple, components.connected_components(e).collect())) for e in (links, pairs))
+    assert found == expected and len({c for _, c in found}) > 1
+
+
+def test_a_vector_visits_no_more_tasks_than_there_are_homes(spark, monkeypatch):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: 10)
+    monkeypatch.setattr(similarity, "LEAST_HOME_VALUES", 64)
+    monkeypatch.setattr(similarity, "VISITS", 4)
+    x = np.random.default_rng(4).normal(size=(300, 8))  # no grouping: every leaf meets every other
+    points, _ = similarity.distinct_directions(table(spark, x))
+    coming, homes = similarity._met_homes(points, 0.9)
+    assert homes == 4 and coming.agg(F.sum("n")).first()[0] <= 4 * 300
