@@ -357,3 +357,19 @@ def test_a_vector_visits_no_more_tasks_than_there_are_homes(spark, monkeypatch):
     points, _ = similarity.distinct_directions(table(spark, x))
     coming, homes = similarity._met_homes(points, 0.9)
     assert homes == 4 and coming.agg(F.sum("n")).first()[0] <= 4 * 300
+
+
+@pytest.mark.parametrize("how", ["average", "complete"])
+def test_rounds_need_connected_edges_and_no_pairs(spark, how):
+    points, _ = similarity.distinct_directions(table(spark, crowd(19, n=30, noise=0.5)))
+    links = similarity.cosine_links(points, 0.3).select(F.col("u").alias("id_a"), F.col("v").alias("id_b"))
+    ways = [sorted(map(tuple, linkage.agglomerate(points, links, 0.3, how, size).collect())) for size in (1000, 2)]
+    assert ways[0] == ways[1] and 1 < len({c for _, c in ways[0]}) < len(ways[0])
+
+
+def test_copies_but_for_rounding_are_one_point(spark):
+    x = np.array([[0.3, 0.4, 0.5], [0.3 + 5e-16, 0.4, 0.5], [0.3, 0.4 - 5e-16, 0.5], [0.3, 0.4, 0.6]])
+    assert similarity.distinct_directions(table(spark, x))[0].count() > 2
+    points, members = similarity.distinct_directions(table(spark, x), linkage.SCALE)
+    assert sorted((r["id"], r["copies"]) for r in points.collect()) == [(0, 3), (3, 1)]
+    assert sorted(map(tuple, members.collect())) == [(0, 0), (1, 0), (2, 0), (3, 3)]
