@@ -70,3 +70,13 @@ def test_adjacent_candidates_take_both_sides(spark, rows):
     data = [("u", "c", 1, 0, "MONEY", "a", 0, 1), ("u", "c", 1, 1, "PROD", "p", 3, 5), ("u", "c", 1, 2, "MONEY", "b", 9, 10), ("u", "c", 1, 3, "MONEY", "c", 20, 21)]
     found = pairing.adjacent_candidates(spark.createDataFrame(data, SCHEMA))
     assert rows(found.select("is_after", F.col("price.text"))) == [(0, "a"), (1, "b")]
+
+
+def test_a_task_sorts_a_bounded_number_of_entities(spark, monkeypatch, rows):
+    data = [("u", "c", m, i, "PROD" if i % 2 else "MONEY", f"t{i}", 10 * i, 10 * i + 3) for m in range(40) for i in range(5)]
+    entities = spark.createDataFrame(data, "user string, chat_id string, message_id long, pos int, label string, text string, start int, end int")
+    few = rows(pairing.nearest_price(entities))
+    monkeypatch.setattr(pairing, "TASK_ROWS", 10)
+    dealt, tasks = pairing._dealt(entities, "PROD", "MONEY")
+    assert tasks == 20 and pairing._nearest_positions(dealt, tasks, pairing.MESSAGE_KEY).rdd.getNumPartitions() == 20
+    assert rows(pairing.nearest_price(entities)) == few and len(few) == 80
