@@ -16,12 +16,18 @@ def held_out(folds: int, out: int) -> Column:
     return F.coalesce(fold(folds) == out, F.lit(True))
 
 
+def once_labelled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of labelled rows; labels other than 0 and 1 and repeated doc_ids with different labels are left out."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).filter("y = most").select("doc_id", "y")
+
+
 def sampled(labels: DataFrame, label: str, limit: int) -> DataFrame:
     """doc_id, y, share of at most `limit` labelled rows of each class in hash order; `share` is the sampled part of its class.
 
     Labels other than 0 and 1 and repeated doc_ids with different labels are left out.
     """
-    once = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).filter("y = most")
+    once = once_labelled(labels, label)
     totals = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [
         once.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", F.col("y").cast("int").alias("y"), F.lit(min(1.0, limit / n)).alias("share"))

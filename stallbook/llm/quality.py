@@ -3,8 +3,9 @@
 A document's score is linear in features of its whole text: rates of neighbouring character classes, word length, repeated and
 distinct words, words in a line. The weights maximise the likelihood of preference pairs: in each, a document labelled 1 beats one
 labelled 0, with the logistic probability of their score difference. Pairs are drawn from a bounded sample of labelled
-rows, `PARTNERS` for each document, never all of them. The threshold is the quantile of the sampled scores that the labels' base
-rate names; the final score is the logistic function of the distance to it.
+rows, `PARTNERS` for each document, never all of them. With these weights every labelled row that may be learned from is scored: the base
+rate is theirs, the threshold is the exact quantile of their scores that it names, and the slope fits them all; the final score is the
+logistic function of the distance to the threshold.
 
 Defined cases: null or empty texts have all features 0 and get a score like any other. Without labels of both classes every score
 is the base rate (0.5 without labels). Other columns are not read.
@@ -20,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.llm.learning import sampled, sampled_texts
+from stallbook.functions.ranks import exact_quantiles
+from stallbook.llm.learning import once_labelled, sampled, sampled_texts
 from stallbook.llm.tokens import buffers, chunks, split_words
+from stallbook.scratch import stored
 
 #: Bounds of the sample: examples of each class, and partners of each in preference pairs.
 EXAMPLES, PARTNERS = 4000, 8
@@ -117,20 +120,30 @@ def rank(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = 1.
     return w
 
 
-def _quantile(values: np.ndarray, weight: np.ndarray, share: float) -> float:
-    """Middle of the gap below which `share` of the weight lies."""
-    order = np.argsort(values, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    at = int(np.searchsorted(below, share - 1e-12))
-    return float((values[order][min(at, len(values) - 1)] + values[order][min(at + 1, len(values) - 1)]) / 2)
+def _calibrated(values: DataFrame) -> tuple[float, float, float]:
+    """Base rate, threshold and slope from the values of all labelled rows (y, value): the threshold is the middle of the gap below which
+    as many rows lie as are labelled 0."""
+    counts = values.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
+    n0 = counts["n"] - counts["n1"]
+    threshold = exact_quantiles(values, [], "value", [(n0 - 0.5) / (counts["n"] - 1)]).first()["q"][0]
+    slope, away = 1.0, F.col("value") - threshold
+    sign = 2 * F.col("y") - 1
+    for _ in range(25):  # the slope that fits the labels best at this threshold
+        margin = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sign * away * slope))
+        miss = 1 / (1 + F.exp(margin))
+        sums = values.agg(F.sum(miss * sign * away).alias("pull"), F.sum(miss * (1 - miss) * away * away).alias("curve")).first()
+        before, slope = slope, min(max(slope + (sums["pull"] - slope) / (sums["curve"] + 1), 0.05), 10.0)
+        if abs(slope - before) < 1e-9:
+            break
+    return counts["n1"] / counts["n"], threshold, slope
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: int = EXAMPLES, partners: int = PARTNERS) -> Model:
-    """Learn from rows of `labels` (doc_id and the label); at most `examples` of each class."""
+    """Learn from rows of `labels` (doc_id and the label): weights from at most `examples` of each class, base rate, threshold and slope from all."""
     texts = sampled_texts(docs, sampled(labels, label, examples)).dropDuplicates(["doc_id"])
     rows = texts.select("doc_id", "y", "share", "text").mapInArrow(_sampled_features, "doc_id long, y int, share double, x binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    y, weight = np.array([r["y"] for r in rows]), np.array([1 / r["share"] for r in rows])
+    y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         base = float(y.mean()) if rows else 0.5
         return Model(np.zeros(FEATURES), np.full(FEATURES, np.inf), 0.0, 0.0, base)
@@ -143,21 +156,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
     one, zero = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     better, worse = _pairs(len(one), len(zero), partners)
     weights = rank(scaled, one[better], zero[worse])
-    values = scaled @ weights
-    base = float((weight * y).sum() / weight.sum())
-    threshold = _quantile(values, weight, 1 - base)
-    slope, signs = 1.0, 2 * y - 1
-    for _ in range(25):  # the slope that fits the labels best at this threshold
-        margin = np.clip(signs * (values - threshold) * slope, -30, 30)
-        miss = 1 / (1 + np.exp(margin))
-        gradient = (weight * miss * signs * (values - threshold)).sum() - slope
-        curve = (weight * miss * (1 - miss) * (values - threshold) ** 2).sum() + 1
-        slope = min(max(slope + gradient / curve, 0.05), 10.0)
     full = np.zeros(FEATURES)
     full[used] = weights / spread
+    # Every labelled row is valued, not the sample alone; the values are two numbers a row.
+    model = Model(full, most, 0.0, 1.0, 0.5)
+    texts = docs.select("doc_id", "text").join(once_labelled(labels, label), "doc_id")
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    rows = texts.select(F.col("doc_id").cast("long"), F.col("y").cast("int").alias("y"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    valued = rows.mapInArrow(_values(given), "doc_id long, y int, value double")
+    values = stored(valued.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("value").alias("value")), "values")
+    base, threshold, slope = _calibrated(values)
     return Model(full, most, threshold, slope, base)
 
 
+def _values(given):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = given.value
+        for batch in batches:
+            for part in chunks(batch):
+                values = np.minimum(features(part.column("text")), model.most) @ model.weights
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(values)], ["doc_id", "y", "value"])
+
+    return run
+
+
 def _score(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = given.value

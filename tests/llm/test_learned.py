@@ -190,3 +190,16 @@ def test_forward_backward_equals_enumeration():
             for a, b in zip(p, p[1:]):
                 counted[a, b] += v / z
     assert expected == pytest.approx(counted)
+
+
+def test_quality_threshold_comes_from_all_labelled_rows(spark):
+    good, bad = "A plain line of words that reads well.\n", "##|| %% zz $$ @@ ||##\n"
+    docs = [(i, (good if i % 5 == 0 else bad) * (1 + i % 3) + "x" * (i % 7)) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in docs], "doc_id long, quality int")
+    model = quality.fit(frame, labels, examples=6)
+    scores = sorted(r["score"] for r in quality.score(frame, model).collect())
+    assert model.base == 24 / 120
+    # As many rows lie below the threshold as are labelled 0, and it is the middle of the gap.
+    assert scores[95] < 0.5 < scores[96]
+    assert np.log(scores[95] / (1 - scores[95])) == pytest.approx(-np.log(scores[96] / (1 - scores[96])), rel=1e-6)
