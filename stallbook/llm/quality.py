@@ -158,13 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
     weights = rank(scaled, one[better], zero[worse])
     full = np.zeros(FEATURES)
     full[used] = weights / spread
-    # Every labelled row is valued, not the sample alone; the values are two numbers a row.
-    model = Model(full, most, 0.0, 1.0, 0.5)
-    texts = docs.select("doc_id", "text").join(once_labelled(labels, label), "doc_id")
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    rows = texts.select(F.col("doc_id").cast("long"), F.col("y").cast("int").alias("y"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    valued = rows.mapInArrow(_values(given), "doc_id long, y int, value double")
-    values = stored(valued.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("value").alias("value")), "values")
+    # Every labelled row is valued, not the sample alone. Texts are valued where they are read; two numbers a row meet the labels.
+    valued = _valued(docs, Model(full, most, 0.0, 1.0, 0.5)).groupBy("doc_id").agg(F.min("value").alias("value"))
+    values = stored(valued.join(once_labelled(labels, label), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "value"), "values")
     base, threshold, slope = _calibrated(values)
     return Model(full, most, threshold, slope, base)
 
@@ -175,11 +171,18 @@ def _values(given):
         for batch in batches:
             for part in chunks(batch):
                 values = np.minimum(features(part.column("text")), model.most) @ model.weights
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(values)], ["doc_id", "y", "value"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values)], ["doc_id", "value"])
 
     return run
 
 
+def _valued(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and value for each row: its features times the weights."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(_values(given), "doc_id long, value double")
+
+
 def _score(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = given.value

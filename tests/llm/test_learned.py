@@ -203,3 +203,18 @@ def test_quality_threshold_comes_from_all_labelled_rows(spark):
     # As many rows lie below the threshold as are labelled 0, and it is the middle of the gap.
     assert scores[95] < 0.5 < scores[96]
     assert np.log(scores[95] / (1 - scores[95])) == pytest.approx(-np.log(scores[96] / (1 - scores[96])), rel=1e-6)
+
+
+def test_quality_texts_do_not_meet_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word {i}" + "!" * (i % 2)) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    plans, store = [], quality.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(quality, "stored", stored)
+    quality.fit(docs, labels)
+    # Texts become numbers below the join, so the join moves no text.
+    assert len(plans) == 1 and plans[0].index("Join") < plans[0].index("MapInArrow")
