@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import clustering, components, linkage, pivot_tree, similarity, text_clusters, tfidf, vectors
+from stallbook.operators import blocks, clustering, components, linkage, pivot_tree, similarity, text_clusters, tfidf, vectors
 
 
 def cosine(a, b):
@@ -304,6 +304,25 @@ def test_char_grams(spark, rows):
     assert norms.first()["s"] == pytest.approx(1.0)
 
 
+def test_char_weights_in_blocks_and_slices(spark, rows, monkeypatch):
+    made = [(None if u == 3 else f"u{u}", f"w{'é' * (w % 3)}{w}-{w * u % 4}", 1 + (u + w) % 3) for u in range(40) for w in range(0, 60, 1 + u)]
+    words = spark.createDataFrame([*made, ("u0", "a", 2), ("x", "b", 1)], "user string, word string, n long")
+    counts, weights = rows(tfidf.gram_counts(words)), rows(tfidf.char_tfidf(words, 41).withColumn("weight", F.round("weight", 9)))
+    joined = words.join(tfidf._word_grams(words, 4), "word").groupBy("user", "gram").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
+    assert counts == rows(joined) and len(counts) == len(weights)
+    monkeypatch.setattr(blocks, "BLOCK_NUMBERS", 700)  # several blocks, and profiles of several slices
+    assert rows(tfidf.gram_counts(words)) == counts
+    cut = tfidf.char_tfidf(words, 41)
+    assert rows(cut.withColumn("weight", F.round("weight", 9))) == weights
+
+
+def test_char_weights_move_no_grams(spark):
+    words = spark.range(2000).selectExpr("concat('u', id % 500) AS user", "concat('a long product name ', id % 20) AS word", "id % 3 + 1 AS n")
+    plan = tfidf.char_tfidf(words, 500)._jdf.queryExecution().optimizedPlan().toString()
+    # The grams of a profile come out of the last step; no join or aggregate above it takes them up again.
+    assert "CoGroup" in plan.split("\n")[0] and "Aggregate [user" not in plan
+
+
 def test_cluster_names(spark, rows):
     clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, -1)], "id long, cluster_id long")
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.2]), (3, [0.0, 1.0]), (4, [1.0, 1.0])], "id long, vector array<double>")
