@@ -288,6 +288,29 @@ def test_profile_vectors(spark):
     assert plain["u"] == pytest.approx([2 / 3, 1 / 3])
 
 
+def test_profile_vectors_in_blocks_and_slices(spark, monkeypatch):
+    rng = random.Random(4)
+    made = [(f"u{u}", f"p{rng.randrange(30)}") for u in range(40) for _ in range(1 + u * u // 20)]
+    mentions = spark.createDataFrame([*made, (None, "p1")], "user string, text string")
+    items = {f"p{p}": [rng.random() for _ in range(8)] for p in range(25)}  # five products have no vector
+    frame = spark.createDataFrame(list(items.items()), "product string, vector array<double>")
+    users = spark.createDataFrame([(f"u{u}",) for u in range(42)], "user string")
+    for limit in (1 << 20, 200):  # one block, then several blocks and profiles of several slices
+        monkeypatch.setattr(blocks, "BLOCK_NUMBERS", limit)
+        found = {r["user"]: r["vector"] for r in vectors.profile_vectors(mentions, frame, users, 8, 42, use_tf_idf=False).collect()}
+        for u in range(42):
+            own = [items[p] for v, p in made if v == f"u{u}" and p in items]
+            assert found[f"u{u}"] == pytest.approx(np.mean(own, axis=0) if own else np.zeros(8))
+
+
+def test_profile_vectors_do_not_travel_with_mentions(spark):
+    mentions = spark.range(3000).selectExpr("concat('u', id % 500) AS user", "concat('p', id % 7) AS text")
+    items = spark.range(7).selectExpr("concat('p', id) AS product", "array(1.0D, id * 1.0D) AS vector")
+    plan = vectors.profile_vectors(mentions, items, mentions.select("user").distinct(), 2, 500)._jdf.queryExecution().optimizedPlan().toString()
+    # Vectors meet mentions inside a block; no row of a mention with its vector is aggregated.
+    assert "FlatMapCoGroupsInArrow" in plan and "SummaryBuilder" not in plan
+
+
 def test_product_in_every_profile_weighs_nothing(spark):
     mentions = spark.createDataFrame([("u", "a"), ("v", "a")], "user string, text string")
     items = spark.createDataFrame([("a", [1.0, 0.0])], "product string, vector array<double>")
