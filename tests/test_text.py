@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,10 @@ def test_numbers_are_not_java_literals(spark):
     given = {"1": True, "-2.5": True, ".5": True, "3.": True, "1e3": True, "1d": False, "1f": False, "2.0D": False, "": False, "x": False, "1,5": False}
     df = spark.createDataFrame([(t,) for t in given], "t string")
     assert {r["t"]: r["f"] for r in df.select("t", is_float(F.col("t")).alias("f")).collect()} == given
+
+
+def test_texts_cross_in_bounded_batches(spark):
+    docs = spark.range(4000).select("id", F.repeat(F.lit("word "), 2000).alias("text")).coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    found = [r["n"] for r in text.spread(docs).mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 4000 * 10000 and max(found) < 2 * text.BATCH_BYTES
