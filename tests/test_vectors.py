@@ -415,3 +415,11 @@ def test_copies_but_for_rounding_are_one_point(spark):
     points, members = similarity.distinct_directions(table(spark, x), linkage.SCALE)
     assert sorted((r["id"], r["copies"]) for r in points.collect()) == [(0, 3), (3, 1)]
     assert sorted(map(tuple, members.collect())) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+
+
+def test_words_are_learned_on_all_cores(spark, monkeypatch):
+    used, learner = [], vectors.Word2Vec
+    monkeypatch.setattr(vectors, "Word2Vec", lambda **given: used.append(given["numPartitions"]) or learner(**given))
+    docs = spark.range(60).select(F.concat(F.lit("Red ring "), F.col("id")).alias("text")).coalesce(1)
+    found = {r["token"]: len(r["vector"]) for r in vectors.train_word_vectors(docs, dims=4, min_count=60).collect()}
+    assert found == {"red": 4, "ring": 4} and used == [spark.sparkContext.defaultParallelism]
