@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stallbook.catalog import vector_queries
 from stallbook.operators import blocks, clustering, components, linkage, pivot_tree, similarity, text_clusters, tfidf, vectors
 
 
@@ -423,3 +424,20 @@ def test_words_are_learned_on_all_cores(spark, monkeypatch):
     docs = spark.range(60).select(F.concat(F.lit("Red ring "), F.col("id")).alias("text")).coalesce(1)
     found = {r["token"]: len(r["vector"]) for r in vectors.train_word_vectors(docs, dims=4, min_count=60).collect()}
     assert found == {"red": 4, "ring": 4} and used == [spark.sparkContext.defaultParallelism]
+
+
+def test_copies_are_pairs_and_linked_nodes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(pivot_tree, "leaf_rows", lambda dims: 4)
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.0, 3.0]), (5, [-1.0, -1.0]), (6, [0.0, 0.0]), (7, [0.0, 0.0]), (8, None), (None, [1.0, 0.0])]
+    vectors_of = spark.createDataFrame([(i, 0, v) for i, v in rows], "vec_id long, label int, embedding array<double>")
+    vectors_of.write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = {tuple(r) for r in vector_queries.j13(spark, str(tmp_path)).select("id_a", "id_b").collect()}
+    assert near == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    assert {tuple(r) for r in vector_queries.v8(spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
+
+
+def test_many_copies_are_all_paired_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIR_ROWS", 50)
+    points = similarity.all_vectors(table(spark, np.ones((60, 3))))
+    found = similarity.cosine_pairs(points, 0.1).collect()
+    assert sorted((r["id_a"], r["id_b"]) for r in found) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
