@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.operators import alignment, clustering, evaluation, messages, pairing, summaries, tagging, text_clusters, tfidf, vectors
+from stallbook.operators import clustering, evaluation, messages, pairing, summaries, tag_counts, text_clusters, tfidf, vectors
 from stallbook.schemas import MESSAGE_KEY
 from stallbook.scratch import stored
 from stallbook.sources import profiles
@@ -92,10 +92,7 @@ def embedding_report(class_vectors: DataFrame) -> DataFrame:
 
 def score_tagger(docs: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
     """Dictionary tagger against the gold spans of the same documents, both as token ranges."""
-    predicted = tagging.tag_entities(docs, patterns, key)
-    gold = stored(alignment.contract_spans(docs, key), "gold")
-    return evaluation.rule_scores(predicted, gold.filter("aligned"), [*key, "first", "last"], gold)
-
+    return evaluation.scores_of(*tag_counts.tag_counts(docs, patterns, key, contract=True, entities=True))
 
 
 def cluster_tfidf(mentions: DataFrame, users: DataFrame, threshold: float, min_size: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import evaluation, pairing, tagging, token_trie
+from stallbook.operators import alignment, evaluation, pairing, tag_counts, tagging, token_trie
 from stallbook.sources import corpora
 
 PATTERNS = "label string, tokens array<string>"
@@ -198,3 +199,38 @@ def test_pairs_of_all_kinds_come_from_one_shuffle(spark, rows):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("+- Exchange ") == 1
+
+
+@pytest.mark.parametrize("entities", [False, True])
+@pytest.mark.parametrize("contract", [False, True])
+def test_counts_inside_the_texts_equal_a_join_of_all_matches(spark, rows, monkeypatch, contract, entities):
+    monkeypatch.setattr(token_trie, "TRIE_TOKENS", 4)
+    monkeypatch.setattr(token_trie, "GROUP_TOKENS", 9)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["red", "ring", "Bonn", "zehn", "a"]) for _ in range(rng.randrange(0, 12))) for _ in range(12)]
+    data = [(i % 9 if i < 11 else None, t or None, [(s, s + rng.randrange(2, 9), rng.choice(["PROD", "LOC", "MONEY"])) for s in range(0, len(t), 5)]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "id long, text string, spans array<struct<start: int, end: int, label: string>>")
+    table = spark.createDataFrame([("PROD", ["red", "ring", "a"]), ("PROD", ["ring"]), ("LOC", ["bonn"]), ("LOC", ["a", "bonn"]), ("PROD", ["bonn"])], PATTERNS)
+    counts, misaligned = tag_counts.tag_counts(docs, table, ["id"], contract, entities)
+    found = tagging.tag_entities(docs, table, ["id"]) if entities else tagging.dictionary_match(docs, table, ["id"])
+    gold = (alignment.contract_spans(docs, ["id"]) if contract else alignment.span_tokens(docs, ["id"])).withColumn("fits", F.col("aligned" if contract else "ok"))
+    assert rows(counts) == rows(evaluation.label_counts(found, gold.filter("fits"), ["id", "first", "last"]))
+    assert misaligned.first()[0] == pytest.approx(gold.filter("NOT fits").count() / gold.count())
+
+
+def test_one_map_stage_holds_all_tries(spark, monkeypatch):
+    monkeypatch.setattr(token_trie, "TRIE_TOKENS", 2)
+    docs = spark.createDataFrame([(1, "red ring a b c")], "id long, text string")
+    table = spark.createDataFrame([("PROD", [x]) for x in "abcdefgh"], PATTERNS)
+    for found, n in ((tagging.dictionary_match(docs, table, ["id"]), 3), (tagging.tag_entities(docs, table, ["id"]), 3)):
+        assert found.count() == n
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_words_of_one_hash_stay_apart(spark, rows, monkeypatch):
+    monkeypatch.setattr(token_trie, "word_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    phrases = pa.table({"label": ["PROD", "LOC"], "tokens": [["a", "b"], ["c"]]})
+    trie = token_trie.build_trie(phrases, True)
+    words = pa.array(["c", "x", "b", "a"])
+    ids = trie.numbers(words, token_trie.word_hashes(words))
+    assert trie.twins == 3 and ids[1] == -1 and trie.words.take(pa.array(ids[[0, 2, 3]])).to_pylist() == ["c", "b", "a"]
