@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stallbook.operators import pairing
+from stallbook.operators import pairing, summaries
 
 SCHEMA = "user string, chat_id string, message_id long, pos int, label string, text string, start int, end int"
 
@@ -80,3 +80,28 @@ def test_a_task_sorts_a_bounded_number_of_entities(spark, monkeypatch, rows):
     dealt, tasks = pairing._dealt(entities, "PROD", "MONEY")
     assert tasks == 20 and pairing._nearest_positions(dealt, tasks, pairing.MESSAGE_KEY).rdd.getNumPartitions() == 20
     assert rows(pairing.nearest_price(entities)) == few and len(few) == 80
+
+
+def test_nearest_price_moves_the_rows_once(spark):
+    data = [*random_entities(5), ("u", None, 1, 1, "PROD", "P", 0, 3), ("u", None, 1, 2, "MONEY", "M", 5, 6)]
+    found = pairing.nearest_price(spark.createDataFrame(data, SCHEMA))
+    assert found.filter("chat_id IS NULL").first()["price_text"] is None  # rows without a message have no neighbours
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_product_summary_counts_distinct_prices_and_messages(spark, rows):
+    r = random.Random(8)
+    data = [(r.choice(["u", "v", None]), "c", r.choice([1, 2, 3, None]), r.choice(["Ring", "ring", "Hat"]), r.randrange(5), r.choice(["1", "2", None])) for _ in range(60)]
+    mentions = spark.createDataFrame(data, "user string, chat_id string, message_id long, text string, start int, price_text string")
+    order = lambda x: (x[2] is not None, x[2] or 0, x[4], x[3])
+    expected = []
+    for user, product in {(d[0], d[3].lower()) for d in data}:
+        of = [d for d in data if (d[0], d[3].lower()) == (user, product)]
+        expected.append((user, product, min(of, key=order)[3], len({d[5] for d in of} - {None}), len({d[2] for d in of} - {None})))
+    found = summaries.product_summary(mentions)
+    assert rows(found) == sorted(expected, key=repr)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Expand" not in plan
