@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stallbook.catalog import inputs
 from stallbook.operators import alignment, evaluation, pairing, tag_counts, tagging, token_trie
 from stallbook.sources import corpora
 
@@ -234,3 +235,21 @@ def test_words_of_one_hash_stay_apart(spark, rows, monkeypatch):
     words = pa.array(["c", "x", "b", "a"])
     ids = trie.numbers(words, token_trie.word_hashes(words))
     assert trie.twins == 3 and ids[1] == -1 and trie.words.take(pa.array(ids[[0, 2, 3]])).to_pylist() == ["c", "b", "a"]
+
+
+def test_pairs_of_lines_equal_pairs_of_their_entities_and_move_less(spark, rows):
+    rng = random.Random(7)
+    some = lambda *given: rng.choice([*given, None])
+    names = ["prod", "money", "crit", "loc", "per", "paym"]
+    data = [("c", m, n, *[x for name in names for x in ("Ring" if name == "prod" else some("a", "bcd"), rng.randrange(40))]) for m in range(8) for n in range(rng.randrange(1, 6))]
+    lines = spark.createDataFrame(data, "chat_id string, message_id long, line_no int, " + ", ".join(f"{c} string, {c}_at int" for c in names)).withColumn("author", F.lit("u"))
+    breaks = lines.select("chat_id", "message_id").distinct().withColumn("at", F.array(F.lit(10), F.lit(30)))
+    kinds = (("PROD", "MONEY", "PROD_PRICE"), ("MONEY", "CRIT", "PRICE_CRIT"))
+    expected = evaluation.related_pairs(inputs.entities(spark, "", lines), inputs.relations(spark, "", lines), breaks.withColumn("at", F.explode("at")), kinds)
+    marks = F.transform(F.coalesce("at", F.array().cast("array<int>")), lambda x: evaluation.item(kind=F.lit(1), start=x))
+    items = F.concat(inputs.line_entities(evaluation.item), inputs.line_relations(evaluation.item), marks)
+    found = evaluation.pairs_of_items(lines.drop("author").unionByName(breaks, allowMissingColumns=True), items, 50, kinds)
+    assert rows(found) == rows(expected) and found.count() > 20
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.index("Generate inline") < plan.rindex("Exchange")  # the items are made behind the shuffle
